@@ -16,7 +16,7 @@ LABELLED_ROWS, POOL_ROWS = 8_000, 8_000
 HASHED_WORDS, HASHED_META = 1 << 14, 1 << 8
 ROUNDS, SURE = 2, 0.97
 THRESHOLD = 0.5
-MAX_ITER = 25
+MAX_ITER = 15
 
 _TEXT_SHAPE = ["letters", "capitals", "distinct_words", "word_length"]
 _META_SHAPE = ["log_chars", "log_lines", "line_chars"]
