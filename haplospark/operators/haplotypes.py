@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import hash_int, is_callable
+from ..functions.lineage import cut
 from .calls import variable_sites
 from .distance import all_pairs
 
@@ -95,7 +96,7 @@ def spanning_network(distances: DataFrame, max_rounds: int = 64) -> DataFrame:
     Boruvka: each round every component takes its least edge out, and components that are so joined become one, so rounds
     are at most the logarithm of the haplotypes. Each round's components are a checkpoint; the edges stay distributed.
     """
-    edges = distances.select("contig", "h1", "h2", "weight")
+    edges = cut(distances.select("contig", "h1", "h2", "weight"))
     nodes = edges.select("contig", F.col("h1").alias("node")).unionByName(edges.select("contig", F.col("h2").alias("node"))).distinct()
     part = nodes.withColumn("part", F.col("node"))
     tree = None
@@ -103,9 +104,8 @@ def spanning_network(distances: DataFrame, max_rounds: int = 64) -> DataFrame:
         ends = edges.join(part.withColumnsRenamed({"node": "h1", "part": "p1"}), ["contig", "h1"]).join(part.withColumnsRenamed({"node": "h2", "part": "p2"}), ["contig", "h2"]).filter("p1 <> p2")
         out = ends.select("contig", F.explode(F.array(F.struct(F.col("p1").alias("own"), F.col("p2").alias("other")), F.struct(F.col("p2").alias("own"), F.col("p1").alias("other")))).alias("e"), "weight", "h1", "h2")
         least = out.groupBy("contig", F.col("e.own").alias("own")).agg(F.min(F.struct("weight", "h1", "h2", F.col("e.other").alias("other"))).alias("m"))
-        least = least.select("contig", "own", "m.*").persist()
+        least = cut(least.select("contig", "own", "m.*"))
         if least.isEmpty():
-            least.unpersist()
             break
         new = least.select("contig", "h1", "h2", "weight").distinct()
         tree = new if tree is None else tree.unionByName(new)
@@ -115,12 +115,13 @@ def spanning_network(distances: DataFrame, max_rounds: int = 64) -> DataFrame:
         jump = jump.join(back, ["contig", "other"], "left").select("contig", "own", F.when((F.col("of") == F.col("own")) & (F.col("own") < F.col("other")), F.col("own")).otherwise(F.col("other")).alias("root"))
         while True:
             on = jump.select("contig", F.col("own").alias("root"), F.col("root").alias("next"))
-            after = jump.join(on, ["contig", "root"]).select("contig", "own", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")).persist()
+            after = jump.join(on, ["contig", "root"]).select("contig", "own", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved"))
+            after = cut(after)
             done = after.filter("moved").isEmpty()
             jump = after.drop("moved")
             if done:
                 break
-        part = part.join(jump.select("contig", F.col("own").alias("part"), "root"), ["contig", "part"], "left").select("contig", "node", F.coalesce("root", "part").alias("part")).persist()
+        part = cut(part.join(jump.select("contig", F.col("own").alias("part"), "root"), ["contig", "part"], "left").select("contig", "node", F.coalesce("root", "part").alias("part")))
     return edges.limit(0) if tree is None else tree.distinct()
 
 

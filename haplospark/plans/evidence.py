@@ -107,18 +107,18 @@ def top2_inverted_repeat_pair(spark, sf_dir):
 
 
 def _shifted(hits):
-    return hits.withColumn("sstart", F.col("sstart") + F.col("hit_no") % 4 * 100).withColumn("send", F.col("send") + F.col("hit_no") % 4 * 100)
+    return hits.withColumn("sstart", F.col("sstart") + F.col("hit_no") % 7 * 100).withColumn("send", F.col("send") + F.col("hit_no") % 7 * 100)
 
 
-SHIFTED = "h AS (SELECT * REPLACE (sstart + hit_no % 4 * 100 AS sstart, send + hit_no % 4 * 100 AS send) FROM hits)"
+SHIFTED = "h AS (SELECT * REPLACE (sstart + hit_no % 7 * 100 AS sstart, send + hit_no % 7 * 100 AS send) FROM hits)"
 
 
 @query(with_ctes(f""", {SHIFTED}, f AS (SELECT *, least(qstart, sstart) - 1 AS s1, CASE WHEN qstart <= sstart THEN qend ELSE send END AS e1, greatest(qstart, sstart) - 1 AS s2, CASE WHEN qstart <= sstart THEN send ELSE qend END AS e2
-  FROM h WHERE qstart <= qend AND sstart <= send AND identity >= 85 AND (qstart <> sstart OR qend <> send)),
-  g AS (SELECT * FROM f WHERE s1 <= 80 AND abs(s2 - 200) <= 80 AND abs(e2 - 260) <= 80 QUALIFY row_number() OVER (PARTITION BY query ORDER BY length DESC, bitscore DESC, hit_no) = 1)
+  FROM h WHERE qstart <= qend AND sstart <= send AND identity >= 82 AND (qstart <> sstart OR qend <> send)),
+  g AS (SELECT * FROM f WHERE s1 <= 300 AND abs(s2 - 400) <= 300 AND abs(e2 - 460) <= 300 QUALIFY row_number() OVER (PARTITION BY query ORDER BY length DESC, bitscore DESC, hit_no) = 1)
   SELECT query, s1 AS start_1, e1 AS end_1, s2 AS start_2, e2 AS end_2 FROM g""", "hits"))
 def top3_terminal_repeat(spark, sf_dir):
-    return iv.terminal_repeat(_shifted(fx.hits(spark, sf_dir)), 200, 260, 85.0, 80, "query").select("query", *[F.col(c).cast("long").alias(c) for c in ("start_1", "end_1", "start_2", "end_2")])
+    return iv.terminal_repeat(_shifted(fx.hits(spark, sf_dir)), 400, 460, 82.0, 300, "query").select("query", *[F.col(c).cast("long").alias(c) for c in ("start_1", "end_1", "start_2", "end_2")])
 
 
 @query(with_ctes(f""", {SHIFTED}, f AS (SELECT * FROM h WHERE (qstart <> sstart OR qend <> send) AND length >= 40 AND identity >= 95), c AS (SELECT query, least(qstart, qend)::BIGINT - 1 AS start, greatest(qstart, qend)::BIGINT AS "end" FROM f
