@@ -3,4 +3,4 @@
 
 def load() -> None:
     """Import the modules, which register their queries."""
-    from . import alignments, evidence, haplotypes, identity, populations  # noqa: F401
+    from . import alignments, evidence, haplotypes, identity, populations, scenarios  # noqa: F401
