@@ -9,6 +9,8 @@ plain ids; readers fetch the tail, look a document up and decompress its frame a
 from __future__ import annotations
 
 import array
+import json
+import os
 import re
 import struct
 import uuid
@@ -28,52 +30,81 @@ from .shared import partitions, resolve, shared_folder, store
 
 FRAME_BYTES = 256 << 10
 FILE_BYTES = 128 << 20
-CACHE_PIECES = 600_000
+CACHE_PARTS = 1_000_000
 # Fixed values of the public zstandard formats.
 INDEX_MAGIC, SEEK_MAGIC, FOOTER_MAGIC, CHECKSUMS = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1, 0x80
-# A space between two runs of white space is part of one run; any other single space begins a piece of its own.
-_RUN = re.compile(r"\s (?=\s|\Z)")
-_CUT = re.compile(r"(?<=\S) | (?=\S)")
+# The public pattern of byte-level tokenizers, with letters and digits in one run: the tokenizer divides those itself.
+_PARTS = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W_]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+_NOT_LATIN = re.compile(r"[^\x00-\x1b\x20-\u024f]")
+# The public byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on, in order.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_LEVEL = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 MANIFEST = "part int, file string, first_id long, last_id long, n_docs long, n_ids long"
 
 
 class Encoder:
-    """Ids of whole texts, as the tokenizer gives them, with each distinct piece encoded once.
+    """Ids of whole texts, as the tokenizer gives them, with each distinct part encoded once.
 
-    Byte-level pre-tokenisation never joins what a single space divides, so a text's ids are those of its pieces (the
-    space goes with the following one). The cache of pieces is emptied at CACHE_PIECES entries.
+    A byte-level tokenizer never joins what its pattern divides, so a text's ids are those of its parts, and the tokenizer
+    sees a part but once. A worker keeps its encoder from task to task; a full cache keeps what it has, which is mostly what
+    is frequent. Texts beyond the Latin blocks, where character classes differ between libraries, are encoded whole, as are all
+    texts with other kinds of tokenizers.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a worker per core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.dtype = np.dtype("<u2" if self.code == "H" else "<u4")
-        self.heads: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
-
-    def _learn(self, known: dict[str, bytes], pieces: set[str], lead: str) -> None:
-        new = [p for p in pieces if p not in known]
-        if len(known) + len(new) > CACHE_PIECES:
-            known.clear()
-            new = list(pieces)
-        for at in range(0, len(new), 8192):
-            part = new[at : at + 8192]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast([lead + p for p in part], add_special_tokens=False), strict=True):
-                known[p] = array.array(self.code, e.ids).tobytes()
+        told = json.loads(self.tokenizer.to_str())
+        self.by_part = not told["normalizer"] and (told["pre_tokenizer"] or {}).get("type") == "ByteLevel" and told["pre_tokenizer"]["use_regex"] and not told["pre_tokenizer"]["add_prefix_space"]
+        self.parts: dict[str, bytes] = {}
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [array.array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _ids(self, parts: list[str]) -> dict[str, bytes]:
+        """Ids of new parts. A run of letters is one word of the byte-level model, which is asked for it directly."""
+        out, rest, words = {}, [], self.tokenizer.model
+        for x in parts:
+            if x.isalpha() or x[:1] == " " and x[1:].isalpha():
+                out[x] = array.array(self.code, [t.id for t in words.tokenize(x.encode().decode("latin-1").translate(_BYTE_LEVEL))]).tobytes()
+            else:
+                rest.append(x)
+        for at in range(0, len(rest), 4096):
+            some = rest[at : at + 4096]
+            out |= zip(some, self._whole(some), strict=True)
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [_CUT.split(t) if _RUN.search(t) else t.split(" ") for t in texts]
-        self._learn(self.heads, {p[0] for p in split}, "")
-        tails: set[str] = set()
-        for p in split:
-            tails.update(p[1:])
-        self._learn(self.tails, tails, " ")
-        heads, find = self.heads, self.tails.__getitem__
-        return [heads[p[0]] + b"".join(map(find, p[1:])) for p in split]
+        split = [_PARTS.findall(t) if self.by_part and not _NOT_LATIN.search(t) else None for t in texts]
+        new: set[str] = set()
+        for parts in split:
+            if parts:
+                new.update(parts)
+        fresh = self._ids([x for x in new if x not in self.parts])
+        self.parts |= fresh
+        find = self.parts.__getitem__
+        out = [b"".join(map(find, parts)) if parts is not None else self._whole([text])[0] for parts, text in zip(split, texts, strict=True)]
+        if len(self.parts) > CACHE_PARTS:
+            for x in fresh:
+                del self.parts[x]
+        return out
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """This process's encoder for a tokenizer file."""
+    if path not in _encoders:
+        _encoders.clear()
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 class Writer:
@@ -165,7 +196,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, file_bytes: i
     folder = shared_folder(spark) + "/tokens"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, done = Encoder(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, part, done = encoder_of(tokenizer), TaskContext.get().partitionId(), 0
         end = np.array([end_id], encoder.dtype).tobytes()
         out = writer = name = None
 
