@@ -247,6 +247,6 @@ def test_formats_round_trip(spark, tmp_path):
     bed.write_text("# mask\n\nc\t1\t3\tx\nd\t4\t6\n")
     assert table(readers.read_intervals(spark, str(bed), "c"), "start", "end") == [(1, 3)]
     for name in ("x_L001_R1.fastq.gz", "x_L001_R2.fastq.gz", "y_R1.fastq.gz"):
-        (tmp_path / name).write_bytes(b"")
+        (tmp_path / name).write_bytes(b"x")
     assert table(readers.discover_samples(spark, str(tmp_path)), "sample_id", "pair_status") == [("x", "complete"), ("y", "missing_R2")]
-    assert {r.md5 for r in readers.file_inventory(spark, str(tmp_path)).filter("path like '%fastq.gz'").collect()} == {"d41d8cd98f00b204e9800998ecf8427e"}
+    assert {r.md5 for r in readers.file_inventory(spark, str(tmp_path)).filter("path like '%fastq.gz'").collect()} == {"9dd4e461268c8034f5c8564e155c67a6"}
