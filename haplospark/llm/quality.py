@@ -13,6 +13,8 @@ from .shared import store
 
 #: At most so many labelled rows are used to fit and calibrate, and about so many others get pseudo-labels.
 LABELLED_ROWS, POOL_ROWS = 8_000, 8_000
+#: The sample is a few MB: more tasks would cost more than they save in each of many passes.
+SAMPLE_PARTITIONS = 4
 HASHED_WORDS, HASHED_META = 1 << 14, 1 << 8
 ROUNDS, SURE = 2, 0.97
 THRESHOLD = 0.5
@@ -124,9 +126,9 @@ def co_train(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_R
     features = featurise(picked.drop("label")).select("row.doc_id", "text_features", "meta_features")
     rows = features.join(F.broadcast(given.withColumnRenamed("doc_id", "of")), F.col("doc_id") == F.col("of"), "left").drop("of")
     rows = store(rows, "features").withColumn("held_out", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(5)) == 0)
-    train = rows.filter("label is not null and not held_out").select("doc_id", "label", "text_features", "meta_features").persist()
-    held = rows.filter("label is not null and held_out").persist()
-    pool = rows.filter("label is null").select("doc_id", "text_features", "meta_features").persist()
+    train = rows.filter("label is not null and not held_out").select("doc_id", "label", "text_features", "meta_features").coalesce(SAMPLE_PARTITIONS).persist()
+    held = rows.filter("label is not null and held_out").coalesce(SAMPLE_PARTITIONS).persist()
+    pool = rows.filter("label is null").select("doc_id", "text_features", "meta_features").coalesce(SAMPLE_PARTITIONS).persist()
     try:
         classes = [r[0] for r in train.groupBy("label").count().collect()]
         if len(classes) < 2:
