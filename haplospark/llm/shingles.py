@@ -17,7 +17,7 @@ SPACE = r"[\x20\x09-\x0D]"
 SHINGLE = 5
 THRESHOLD = 0.8
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _LOWER = np.arange(256, dtype=np.uint8)
