@@ -19,18 +19,21 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import partitions, store
+from .shared import store
 from .shingles import chunks, mix, shingle_hashes, shingle_sets, word_hashes
 
 #: Similarity is at least ABOVE / OF.
 ABOVE, OF = 4, 5
-#: Counts of shingles are kept in 2**COUNT_BITS cells, whatever the input: 4 MB.
-COUNT_BITS, COUNT_PARTS = 20, 16
+#: Counts of shingles are kept in 2**COUNT_BITS cells, whatever the input; a class of a byte per cell is what tasks get: 4 MB.
+COUNT_BITS, COUNT_PARTS = 22, 16
 #: Tokens that a task packs before it sends them off.
-FLUSH_TOKENS = 1 << 21
-BUCKET_BYTES = 48 << 20
-#: A shingle with more sets than this first links each to its neighbour and to the first; see candidates().
-LONG_LIST = 48
+FLUSH_TOKENS = 1 << 19
+BUCKET_BYTES, LEAST_BUCKETS = 48 << 20, 64
+#: A shingle in the prefixes of more sets than this isn't paired in the bucket; its sets are compared as a family.
+LONG_LIST = 64
+#: Families are compared in blocks of about so many shingles.
+BLOCK_TOKENS = 1 << 21
+FILTER_BITS = 23
 
 _PROFILE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("part", pa.int32()), ("counts", pa.binary())])
 PROFILE = "doc_id long, n long, key long, part int, counts binary"
@@ -45,19 +48,28 @@ def profile(docs: DataFrame) -> DataFrame:
     """Per document its set's size and key, and per task the counts of its shingles by cell, packed."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << COUNT_BITS, np.uint64)
-        shift = np.uint64(64 - COUNT_BITS)
+        counts = np.zeros(1 << COUNT_BITS, np.uint32)
+        waiting: list[np.ndarray] = []
+
+        def count() -> None:
+            if waiting:
+                counts[:] += np.bincount(np.concatenate(waiting), minlength=len(counts)).astype(np.uint32)
+                waiting.clear()
+
         for batch in batches:
             sizes, keys = [], []
             for at, end, data, offsets in chunks(batch.column(1)):
                 grams, begin = shingle_hashes(*word_hashes(data, offsets))
-                counts += np.bincount((grams >> shift).astype(np.int64), minlength=len(counts)).astype(np.uint64)
+                waiting.append((grams >> np.uint64(64 - COUNT_BITS)).astype(np.int32))
+                if sum(map(len, waiting)) > FLUSH_TOKENS:
+                    count()
                 for i in range(end - at):
                     own = np.unique(grams[begin[i] : begin[i + 1]])
                     sizes.append(len(own))
                     keys.append(set_key(own))
             nothing = pa.nulls(len(sizes))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), nothing.cast(pa.int32()), nothing.cast(pa.binary())], schema=_PROFILE)
+        count()
         pack = zstandard.ZstdCompressor(level=1)
         parts = [pack.compress(x.tobytes()) for x in np.split(counts, COUNT_PARTS)]
         none = pa.nulls(len(parts), pa.int64())
@@ -67,29 +79,30 @@ def profile(docs: DataFrame) -> DataFrame:
 
 
 def total_counts(profiled: DataFrame) -> np.ndarray:
-    """The table of counts over all tasks: each part is summed by one task, and the fixed 4 MB go to the driver."""
+    """The class (half powers of two) of each cell's count over all tasks: parts are summed by a task each, and the fixed
+    4 MB go to the driver."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             for part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(unpack.decompress(data), np.uint64)
+                x = np.frombuffer(unpack.decompress(data), np.uint32).astype(np.uint64)
                 sums[part] = sums[part] + x if part in sums else x
         for part, x in sums.items():
-            data = np.minimum(x, np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes()
+            data = (np.log2(np.maximum(x, 1)) * 2).astype(np.uint8).tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([data], pa.binary())], names=["part", "counts"])
 
-    out = np.zeros((COUNT_PARTS, (1 << COUNT_BITS) // COUNT_PARTS), np.uint32)
+    out = np.zeros((COUNT_PARTS, (1 << COUNT_BITS) // COUNT_PARTS), np.uint8)
     parts = profiled.filter("part is not null").select("part", "counts").repartition(COUNT_PARTS, "part")
     for row in parts.mapInArrow(add, "part int, counts binary").collect():
-        out[row.part] = np.frombuffer(row.counts, np.uint32)
+        out[row.part] = np.frombuffer(row.counts, np.uint8)
     return out.reshape(-1)
 
 
 def order_of(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Positions that put a sorted set in the global order: by class of count (half powers of two), then by hash."""
-    rank = np.log2(np.maximum(counts[(grams >> np.uint64(64 - COUNT_BITS)).astype(np.int64)], 1)) * 2
+    rank = np.minimum(counts[(grams >> np.uint64(64 - COUNT_BITS)).astype(np.int64)], 63)
     return np.argsort((rank.astype(np.uint64) << np.uint64(58)) | (mix(grams) >> np.uint64(6)), kind="stable")
 
 
@@ -97,9 +110,9 @@ def prefix_length(n: int) -> int:
     return n - -(-ABOVE * n // OF) + 1
 
 
-def pack(keys, comps, sizes, lengths, tokens, at) -> bytes:
+def pack(keys, sizes, lengths, tokens, at) -> bytes:
     head = struct.pack("<II", len(keys), len(tokens))
-    parts = [np.asarray(keys, "<i8"), np.asarray(comps, "<i8"), np.asarray(sizes, "<u4"), np.asarray(lengths, "<u4"), np.asarray(tokens, "<u8"), np.asarray(at, "<u4")]
+    parts = [np.asarray(keys, "<i8"), np.asarray(sizes, "<u4"), np.asarray(lengths, "<u4"), np.asarray(tokens, "<u8"), np.asarray(at, "<u4")]
     return zstandard.ZstdCompressor(level=1).compress(head + b"".join(p.tobytes() for p in parts))
 
 
@@ -107,21 +120,21 @@ def unpack(data: bytes) -> tuple[np.ndarray, ...]:
     raw = zstandard.ZstdDecompressor().decompress(data)
     docs, tokens = struct.unpack_from("<II", raw)
     out, begin = [], 8
-    for kind, n in (("<i8", docs), ("<i8", docs), ("<u4", docs), ("<u4", docs), ("<u8", tokens), ("<u4", tokens)):
+    for kind, n in (("<i8", docs), ("<u4", docs), ("<u4", docs), ("<u8", tokens), ("<u4", tokens)):
         out.append(np.frombuffer(raw, kind, n, begin))
         begin += out[-1].nbytes
     return tuple(out)
 
 
 def prefixes(docs: DataFrame, counts, buckets: int) -> DataFrame:
-    """docs (text, comp) -> bucket, sets: many sets' prefixes, those of their shingles that belong to the bucket.
+    """docs (text) -> bucket, sets: many sets' prefixes, those of their shingles that belong to the bucket.
 
     counts: a broadcast variable with the table of counts. A set that a task has seen is left out: its copies add nothing.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen = counts.value, set()
-        held: list[tuple[int, int, int, np.ndarray]] = []
+        held: list[tuple[int, int, np.ndarray]] = []
         total = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -132,25 +145,24 @@ def prefixes(docs: DataFrame, counts, buckets: int) -> DataFrame:
             bucket = ((mix(tokens ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             doc, at, tokens, bucket = doc[order], at[order], tokens[order], bucket[order]
-            keys, comps, sizes = (np.array([h[k] for h in held], np.int64) for k in range(3))
+            keys, sizes = (np.array([h[k] for h in held], np.int64) for k in range(2))
             edges = np.searchsorted(bucket, np.arange(buckets + 1))
             names, rows = [], []
             for b in np.flatnonzero(np.diff(edges)):
                 part = slice(edges[b], edges[b + 1])
                 own, counted = np.unique(doc[part], return_counts=True)
                 names.append(int(b))
-                rows.append(pack(keys[own], comps[own], sizes[own], counted, tokens[part], at[part]))
+                rows.append(pack(keys[own], sizes[own], counted, tokens[part], at[part]))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(rows, pa.binary())], names=["bucket", "sets"])
 
         for batch in batches:
-            comps = batch.column(1).to_pylist()
-            for i, grams in shingle_sets(batch.column(0)):
+            for _, grams in shingle_sets(batch.column(0)):
                 key = set_key(grams)
                 if key is None or key in seen:
                     continue
                 seen.add(key)
                 tokens = grams[order_of(grams, table)[: prefix_length(len(grams))]]
-                held.append((key, key if comps[i] is None else comps[i], len(grams), tokens))
+                held.append((key, len(grams), tokens))
                 total += len(tokens)
                 if total >= FLUSH_TOKENS:
                     yield from flush()
@@ -158,7 +170,7 @@ def prefixes(docs: DataFrame, counts, buckets: int) -> DataFrame:
         if held:
             yield from flush()
 
-    return docs.select("text", "comp").mapInArrow(scan, "bucket int, sets binary")
+    return docs.select("text").mapInArrow(scan, "bucket int, sets binary")
 
 
 class Bucket:
@@ -166,12 +178,12 @@ class Bucket:
 
     def __init__(self, packed: list[bytes]):
         parts = [unpack(p) for p in packed]
-        keys, comps, sizes, lengths, tokens, at = (np.concatenate([p[k] for p in parts]) for k in range(6))
+        keys, sizes, lengths, tokens, at = (np.concatenate([p[k] for p in parts]) for k in range(5))
         self.keys, first, doc = np.unique(keys, return_index=True, return_inverse=True)
         use = np.zeros(len(keys), bool)
         use[first] = True
         use, doc = np.repeat(use, lengths), np.repeat(doc, lengths)
-        self.comps, self.sizes = comps[first], sizes[first].astype(np.int64)
+        self.sizes = sizes[first].astype(np.int64)
         doc, tokens, at = doc[use], tokens[use], at[use].astype(np.int64)
         order = np.argsort(tokens, kind="stable")
         same = np.zeros(len(order) + 1, bool)
@@ -184,7 +196,7 @@ class Bucket:
         order = np.lexsort((at, doc))
         doc, tokens, at = doc[order], tokens[order], at[order]
         own, begin = np.unique(doc, return_index=True)
-        end = np.append(begin[1:], len(doc))
+        end = np.append(begin[1:], len(doc))[: len(own)]
         lists = sorted((tokens[b:e].tolist(), at[b:e].tolist(), int(d)) for d, b, e in zip(own, begin, end, strict=True))
         self.leaves = np.array([d for *_, d in lists], np.int64)
         self.rest: list[list[int]] = [(self.sizes[d] - 1 - np.array(a, np.int64)).tolist() for _, a, d in lists]
@@ -201,54 +213,55 @@ class Bucket:
                 self.nodes[token].append((len(path), start, i))
             path += [(t, i) for t in mine[shared:]]
 
-    def pairs(self, between: bool) -> tuple[set[tuple[int, int]], set[int]]:
-        """(pairs, members of long lists), as numbers of sets. between: only pairs of different components, and all of them.
+    def pairs(self) -> tuple[set[tuple[int, int]], dict[int, int]]:
+        """(pairs to compare, by member of a long list the set of its family with the least key), as numbers of sets.
 
         Two sets below one node were already paired at the node above, where their remaining lengths allowed more, so only
         nodes at the root pair their own leaves; other pairs are of leaves below different nodes of one token.
         """
         found: set[tuple[int, int]] = set()
-        long: set[int] = set()
+        family: dict[int, int] = {}
         for nodes in self.nodes.values():
             if len(nodes) == 1 and (nodes[0][0] > 0 or nodes[0][2] - nodes[0][1] < 2):
                 continue
             leaves = np.concatenate([np.arange(s, e) for _, s, e in nodes])
+            sets = self.leaves[leaves]
+            if len(sets) > LONG_LIST:
+                roots = {_root(family, x) for x in sets.tolist()}
+                for r in roots:
+                    family[r] = min(roots)
+                continue
             node = np.repeat(np.arange(len(nodes)), [e - s for _, s, e in nodes])
             deep = np.repeat([d for d, *_ in nodes], [e - s for _, s, e in nodes])
-            sets = self.leaves[leaves]
             rest = np.array([self.rest[i][d] for i, d in zip(leaves.tolist(), deep.tolist(), strict=True)], np.int64)
-            order = np.lexsort((self.keys[sets], self.sizes[sets]))
+            order = np.argsort(self.sizes[sets], kind="stable")
             sets, rest, node, deep = sets[order], rest[order], node[order], deep[order]
-            size, comp = self.sizes[sets], self.comps[sets]
-            if between and (comp == comp[0]).all():
-                continue
-            if len(sets) > LONG_LIST and not between:
-                long.update(sets.tolist())
-                fits = OF * size[:-1] >= ABOVE * size[1:]
-                found.update(zip(sets[:-1][fits].tolist(), sets[1:][fits].tolist(), strict=True))
-                fits = OF * size[0] >= ABOVE * size[1:]
-                found.update((int(sets[0]), x) for x in sets[1:][fits].tolist())
-                continue
+            size = self.sizes[sets]
             limit = np.searchsorted(size, OF * size // ABOVE, side="right")  # sizes of partners are at most 5/4 of mine
             for i in range(len(sets) - 1):
                 others = slice(i + 1, limit[i])
-                if others.start >= others.stop:
-                    continue
                 allowed = (1 + np.minimum(rest[i], rest[others])) * (ABOVE + OF) >= ABOVE * (size[i] + size[others])
                 allowed &= (node[others] != node[i]) | (deep[others] == 0)
-                if between:
-                    allowed &= comp[others] != comp[i]
                 for j in sets[others][allowed].tolist():
                     found.add((int(sets[i]), j))
-        return found, long
+        return found, {x: _root(family, x) for x in family}
 
 
-def candidates(packed: DataFrame, buckets: int, between: bool) -> DataFrame:
-    """packed (bucket, sets) -> a, b: pairs of keys to compare in full; b is null for the members of long lists.
+def _root(parent: dict[int, int], x: int) -> int:
+    """The end of x's path, which is made shorter on the way; x is put in if it isn't there."""
+    r = parent.setdefault(x, x)
+    while parent[r] != r:
+        parent[r] = parent[parent[r]]
+        r = parent[r]
+    parent[x] = r
+    return r
 
-    A list of more than LONG_LIST sets isn't paired in full at first: each set is paired with the next in size and with the
-    first. When those are compared and components known, ``between`` pairs what is still in different components, so no link
-    between components is lost, and a large family of near copies costs its size, not its square.
+
+def candidates(packed: DataFrame, buckets: int) -> DataFrame:
+    """packed (bucket, sets) -> a, b, family: pairs of keys to compare in full, or (family) a set and the least of its family.
+
+    A long list is never paired: its members are only told to be one family, a row each, and families are compared by
+    compare_families(), so a large group of near copies gives as many rows as it has members.
     """
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,12 +270,11 @@ def candidates(packed: DataFrame, buckets: int, between: bool) -> DataFrame:
 
         def pairs() -> Iterator[pa.RecordBatch]:
             bucket = Bucket(held)
-            found, long = bucket.pairs(between)
-            ends = np.array(sorted(found), np.int64).reshape(-1, 2)
-            a, b = bucket.keys[ends[:, 0]], bucket.keys[ends[:, 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-            members = bucket.keys[np.array(sorted(long), np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(members), pa.nulls(len(members), pa.int64())], names=["a", "b"])
+            found, family = bucket.pairs()
+            for ends, together in ((sorted(found), False), (sorted(family.items()), True)):
+                both = np.array(ends, np.int64).reshape(-1, 2)
+                a, b = bucket.keys[both[:, 0]], bucket.keys[both[:, 1]]  # numbers go by key, so the least number has the least key
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array([together] * len(a), pa.bool_())], names=["a", "b", "family"])
 
         for batch in batches:
             for bucket, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -275,7 +287,140 @@ def candidates(packed: DataFrame, buckets: int, between: bool) -> DataFrame:
             yield from pairs()
 
     spread = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return spread.mapInArrow(join, "a long, b long").distinct()
+    return spread.mapInArrow(join, "a long, b long, family boolean").distinct()
+
+
+def key_filter(keys: DataFrame) -> np.ndarray:
+    """A bit table of fixed size (1 MB) in which the cell of each key is set."""
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(1 << FILTER_BITS, bool)
+        for batch in batches:
+            cells[batch.column(0).to_numpy() & ((1 << FILTER_BITS) - 1)] = True
+        yield pa.RecordBatch.from_arrays([pa.array([zstandard.ZstdCompressor().compress(np.packbits(cells).tobytes())], pa.binary())], names=["cells"])
+
+    out = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+    for row in keys.coalesce(8).mapInArrow(fill, "cells binary").toLocalIterator():
+        out |= np.frombuffer(zstandard.ZstdDecompressor().decompress(row.cells), np.uint8)
+    return np.unpackbits(out).astype(bool)
+
+
+def full_sets(docs: DataFrame, wanted, counts) -> DataFrame:
+    """docs (text) -> key, n, grams: whole sets in global order of documents whose key may be wanted, one per key.
+
+    wanted: a broadcast variable with key_filter(). Copies within a task are left out, and one of those of all tasks stays.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, cells, seen = counts.value, wanted.value, set()
+        for batch in batches:
+            keys, sizes, sets = [], [], []
+            for _, grams in shingle_sets(batch.column(0)):
+                key = set_key(grams)
+                if key is None or key in seen or not cells[key & (len(cells) - 1)]:
+                    continue
+                seen.add(key)
+                keys.append(key)
+                sizes.append(len(grams))
+                sets.append(grams[order_of(grams, table)].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary())], names=["key", "n", "grams"])
+
+    return docs.select("text").mapInArrow(scan, "key long, n long, grams binary")
+
+
+def family_links(keys: np.ndarray, sets: list[np.ndarray], sides: np.ndarray) -> list[tuple[int, int]]:
+    """Links (key, key) that make the components of a block of ordered sets; of two sides, only across if both are there.
+
+    Sets are walked in order of their lists, as paths of a trie: overlaps with all others are kept for the current path, so
+    what two sets begin with is counted once. A path is left when no other set outside its component can come near enough
+    with the elements that remain, and links inside a component aren't looked for.
+    """
+    n = len(sets)
+    sizes = np.array([len(x) for x in sets], np.int64)
+    tokens, inverse = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(n), sizes)
+    order = np.argsort(inverse, kind="stable")
+    edges = np.searchsorted(inverse[order], np.arange(len(tokens) + 1))
+    shared = np.diff(edges) >= 2
+    lists = [x[shared[x]].tolist() for x in np.split(inverse, np.cumsum(sizes)[:-1])]
+    holders = owner[order]
+    across = len(set(sides.tolist())) > 1
+    component = np.arange(n)
+    overlap = np.zeros(n, np.int64)
+    path: list[int] = []
+    links: list[tuple[int, int]] = []
+
+    def leave(depth: int) -> None:
+        while len(path) > depth:
+            t = path.pop()
+            overlap[holders[edges[t] : edges[t + 1]]] -= 1
+
+    for i in sorted(range(n), key=lambda k: lists[k]):
+        mine = lists[i]
+        shared_depth = 0
+        while shared_depth < len(path) and shared_depth < len(mine) and path[shared_depth] == mine[shared_depth]:
+            shared_depth += 1
+        leave(shared_depth)
+        fits = (OF * np.minimum(sizes, sizes[i]) >= ABOVE * np.maximum(sizes, sizes[i])) & (component != component[i])
+        if across:
+            fits &= sides != sides[i]
+        others = np.flatnonzero(fits)
+        need = -(-ABOVE * (sizes[others] + sizes[i]) // (ABOVE + OF))
+        left = True
+        for d in range(shared_depth, len(mine)):
+            if (d - shared_depth) % 16 == 0:
+                near = overlap[others] + (len(mine) - d) >= need
+                others, need = others[near], need[near]
+                if not len(others):
+                    left = False
+                    break
+            t = mine[d]
+            path.append(t)
+            overlap[holders[edges[t] : edges[t + 1]]] += 1
+        if left:
+            for j in others[overlap[others] >= need].tolist():
+                if component[j] != component[i]:
+                    component[component == component[j]] = component[i]
+                    links.append((int(keys[i]), int(keys[j])))
+    return links
+
+
+def compare_families(members: DataFrame, docs: DataFrame, counts) -> DataFrame:
+    """members (key, root) -> links (a, b) that make the components of each family.
+
+    A family up to BLOCK_TOKENS is one block. A larger one is dealt to parts by class of size (ratio 5/4) and hash of key;
+    parts of the same class and of neighbouring classes meet in pairs, others can't be similar. So a task holds two parts at
+    most, and no pair of similar sets is missed.
+    """
+    sc = docs.sparkSession.sparkContext
+    wanted = sc.broadcast(key_filter(members.select("key")))
+    sets = store(full_sets(docs, wanted, counts).join(members, "key").dropDuplicates(["key"]), "sets")
+    level = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(OF / ABOVE))).cast("int")
+    sized = sets.withColumn("level", level)
+    whole = sized.groupBy("root").agg(F.sum("n").alias("all_tokens"))
+    parts = sized.groupBy("root", "level").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("parts"))
+    near = lambda d, name: parts.select("root", (F.col("level") + d).alias("level"), F.col("parts").alias(name))
+    plan = parts.join(whole, "root").join(near(1, "below"), ["root", "level"], "left").join(near(-1, "above"), ["root", "level"], "left")
+    sized = sized.join(plan, ["root", "level"])
+    part = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
+    up_to = lambda n: F.sequence(F.lit(0), n - 1)
+    block = lambda low, p, q, side: F.struct(low.alias("low"), p.alias("p"), q.alias("q"), F.lit(side).alias("side"))
+    none = F.array().cast("array<struct<low:string,p:int,q:int,side:int>>")
+    name = lambda kind, at: F.concat_ws(":", F.lit(kind), at.cast("string"))
+    same = F.transform(up_to(F.col("parts")), lambda k: block(name("s", F.col("level")), F.least(k, F.col("part")), F.greatest(k, F.col("part")), 0))
+    upper = F.when(F.col("above").isNull(), none).otherwise(F.transform(up_to(F.coalesce("above", F.lit(1))), lambda k: block(name("n", F.col("level")), F.col("part"), k, 0)))
+    lower = F.when(F.col("below").isNull(), none).otherwise(F.transform(up_to(F.coalesce("below", F.lit(1))), lambda k: block(name("n", F.col("level") - 1), k, F.col("part"), 1)))
+    small = F.array(block(F.lit("all"), F.lit(0), F.lit(0), 0))
+    sized = sized.withColumn("part", part).withColumn("b", F.explode(F.when(F.col("all_tokens") <= BLOCK_TOKENS, small).otherwise(F.concat(same, upper, lower))))
+    rows = sized.select("root", "b.low", "b.p", "b.q", "b.side", "key", "grams")
+
+    def compare(table: pa.Table) -> pa.Table:
+        keys, sides = table.column("key").to_numpy(), table.column("side").to_numpy()
+        links = family_links(keys, [np.frombuffer(x, np.uint64) for x in table.column("grams").to_pylist()], sides)
+        ends = np.array(links, np.int64).reshape(-1, 2)
+        return pa.table({"a": ends.min(axis=1, initial=(1 << 63) - 1) if len(ends) else ends[:, 0], "b": ends.max(axis=1, initial=-(1 << 63)) if len(ends) else ends[:, 1]})
+
+    return rows.groupBy("root", "low", "p", "q").applyInArrow(compare, "a long, b long")
 
 
 def verify(pairs: DataFrame, keyed: DataFrame, docs: DataFrame) -> DataFrame:
@@ -348,21 +493,15 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     named = documents.filter("key is not null and doc_id is not null")
     keyed = store(named.groupBy("key").agg(F.min("doc_id").alias("doc_id")), "keys")
     tokens = named.agg(F.sum("n")).first()[0] or 0
-    buckets = max(partitions(spark), int(tokens * 0.21 * 14 / BUCKET_BYTES) + 1)
-
-    given = docs.filter("doc_id is not null").withColumn("comp", F.lit(None).cast("long"))
-    first = store(candidates(prefixes(given, counts, buckets), buckets, between=False), "candidates")
-    links = store(verify(first.filter("b is not null"), keyed, docs), "links")
+    buckets = max(LEAST_BUCKETS, int(tokens * 0.21 * 14 / BUCKET_BYTES) + 1)
+
+    found = store(candidates(prefixes(docs.filter("doc_id is not null"), counts, buckets), buckets), "candidates")
+    links = verify(found.filter("not family").select("a", "b"), keyed, docs)
+    together = found.filter("family").select("a", "b")
+    if not together.isEmpty():
+        members = store(components(together).select(F.col("node").alias("key"), "root"), "families")
+        links = links.unionByName(compare_families(members, docs.filter("doc_id is not null"), counts))
     roots = components(links)
-    long = first.filter("b is null").select(F.col("a").alias("key"))
-    if not long.isEmpty():
-        of = long.join(roots.withColumnRenamed("node", "key"), "key", "left").join(keyed, "key").select(F.col("doc_id").alias("of"), F.coalesce("root", "key").alias("comp"))
-        of = store(of, "long")
-        again = docs.join(of, F.col("doc_id") == F.col("of")).select("text", "comp")
-        second = store(candidates(prefixes(again, counts, buckets), buckets, between=True), "candidates")
-        if not second.isEmpty():
-            links = links.unionByName(verify(second, keyed, docs))
-            roots = components(links)
     classes = keyed.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = classes.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     classes = classes.join(least, "root").select("key", "component_id")
