@@ -30,22 +30,16 @@ _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the public URL
 _UNSAFE = re.compile(r"[\x00-\x20\x7f]")
 
 
-def decide(pages: DataFrame, minimum_bytes: int = MINIMUM_BYTES) -> DataFrame:
-    """pages (page_id, url, html) with payload_bytes, record_type, refers_to.
+def decide(written: DataFrame, minimum_bytes: int = MINIMUM_BYTES) -> DataFrame:
+    """written (file, ordinal, page_id, payload_bytes, key) -> file, ordinal, refers_to of the records that are revisits.
 
-    Of rows with equal payloads of at least minimum_bytes, that with the largest page_id is a response and the others
-    revisit it; all others are responses. Payloads are compared by SHA-256 and length, in narrow rows: groups are counted
-    and their largest id found with partial sums before any shuffle, so a payload that a third of all rows share is no
-    hot group, and only the decisions are joined to the rows.
+    Of records with equal payloads of at least minimum_bytes, those with the largest page_id are responses and the others
+    revisit it. Payloads are compared by SHA-256, in narrow rows: the payloads themselves are never shuffled. Groups are
+    counted and their largest id found with partial sums, so a payload that a third of all rows share is no hot group.
     """
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    rows = rows.withColumn("payload_bytes", F.octet_length("html").cast("long")).withColumn("key", F.sha2("html", 256))
-    large = rows.filter(F.col("payload_bytes") >= minimum_bytes).select("page_id", "key")
-    groups = large.groupBy("key").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    revisits = large.join(groups, "key").filter(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "key", "refers_to").distinct()
-    revisits = revisits.select(F.col("page_id").alias("of"), F.col("key").alias("of_key"), "refers_to")
-    out = rows.join(revisits, F.col("page_id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("of_key")), "left")
-    return out.select("page_id", "url", "html", "payload_bytes", F.when(F.col("of_key").isNull(), "response").otherwise("revisit").alias("record_type"), "refers_to")
+    large = written.filter(F.col("payload_bytes") >= minimum_bytes)
+    groups = large.groupBy("key").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1 and refers_to is not null")
+    return large.join(groups, "key").filter(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("file", "ordinal", "refers_to")
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, kind: str, refers_to: int | None) -> bytes:
@@ -69,6 +63,14 @@ def record(page_id: int | None, url: str | None, payload: bytes, kind: str, refe
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def as_revisit(fields: dict[str, str], data: bytes, refers_to: int) -> bytes:
+    """A response record as a revisit of the record of another page."""
+    block = data.partition(b"\r\n\r\n")[2][: int(fields["content-length"])]
+    payload = block.partition(b"\r\n\r\n")[2]
+    page = fields["page-number"]
+    return record(int(page) if page else None, fields.get("warc-target-uri"), payload, "revisit", refers_to)
+
+
 def parse_head(head: bytes) -> dict[str, str]:
     """Header fields of a record by lower-case name, with the version line under an empty one."""
     lines = head.decode().split("\r\n")
@@ -128,66 +130,84 @@ def records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
         del held[:size]
 
 
-FILES = "file string, sidecar string, n_records long, n_bytes long"
-_FILES = pa.schema([("file", pa.string()), ("sidecar", pa.string()), ("n_records", pa.int64()), ("n_bytes", pa.int64())])
+WRITTEN = "file string, ordinal int, page_id long, payload_bytes long, key string"
+_WRITTEN = pa.schema([("file", pa.string()), ("ordinal", pa.int32()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("key", pa.string())])
 
 
 def write_monolithic(pages: DataFrame, file_bytes: int = FILE_BYTES) -> DataFrame:
-    """Write decided pages as archives of one gzip member each; a task rolls over at file_bytes of plain records."""
+    """Write pages (page_id, url, html) as archives of one gzip member each, all records responses; a row per record written.
+
+    A task rolls over at file_bytes of plain records, so a file's records are few enough to be listed in one row.
+    """
     folder = shared_folder(pages.sparkSession) + "/monolithic"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = None
-
-        def close() -> pa.RecordBatch:
-            out.write(z.flush())
-            out.close()
-            return pa.RecordBatch.from_pylist([{"file": name, "sidecar": None, "n_records": n, "n_bytes": size}], schema=_FILES)
-
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            rows = []
+            for page_id, url, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if out is None:
                     name, n, size, z = f"{folder}/{uuid.uuid4().hex}.warc.gz", 0, 0, zlib.compressobj(6, zlib.DEFLATED, GZIP)
                     fs, path = resolve(name)
                     fs.create_dir(path.rpartition("/")[0], recursive=True)
                     out = fs.open_output_stream(path, compression=None)
-                data = record(row[0], row[1], row[2].encode(), row[3], row[4])
+                payload = (html or "").encode()
+                data = record(page_id, url, payload, "response", None)
                 out.write(z.compress(data))
+                rows.append((name, n, page_id, len(payload), hashlib.sha256(payload).hexdigest()))
                 n, size = n + 1, size + len(data)
                 if size >= file_bytes:
-                    yield close()
+                    out.write(z.flush())
+                    out.close()
                     out = None
+            if rows:
+                yield _batch(rows, _WRITTEN)
         if out is not None:
-            yield close()
+            out.write(z.flush())
+            out.close()
+
+    return store(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(write, WRITTEN), "written")
+
 
-    return store(pages.select("page_id", "url", "html", "record_type", "refers_to").mapInArrow(write, FILES), "monolithic_files")
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+
+
+FILES = "file string, sidecar string, n_records long, n_bytes long"
+_FILES = pa.schema([("file", pa.string()), ("sidecar", pa.string()), ("n_records", pa.int64()), ("n_bytes", pa.int64())])
 
 
-def normalise(files: DataFrame) -> DataFrame:
-    """Rewrite each archive of files (file, ...) with one gzip member per record and a sidecar index.
+def normalise(written: DataFrame, revisits: DataFrame) -> DataFrame:
+    """Rewrite each monolithic archive with one gzip member per record and a sidecar index; revisits become revisit records.
 
-    A task holds one record and a few MB of the stream at a time. The sidecar has a JSON line per member.
+    A task inflates a file once, as a stream, and holds one record and a few MB of it. The sidecar has a JSON line per member.
     """
-    folder = shared_folder(files.sparkSession) + "/archives"
+    folder = shared_folder(written.sparkSession) + "/archives"
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for source in batch.column(0).to_pylist():
+            for source, listed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                again = {x["ordinal"]: x["refers_to"] for x in listed or ()}
                 name = f"{folder}/{uuid.uuid4().hex}.warc.gz"
                 fs, path = resolve(name)
                 fs.create_dir(path.rpartition("/")[0], recursive=True)
                 n = at = 0
                 with fs.open_output_stream(path, compression=None) as out, fs.open_output_stream(f"{path}.index", compression=None) as index:
                     for fields, data in records(inflate(source)):
+                        kind = fields["warc-type"]
+                        if n in again:
+                            kind, data = "revisit", as_revisit(fields, data, again[n])
                         z = zlib.compressobj(6, zlib.DEFLATED, GZIP)
                         member = z.compress(data) + z.flush()
                         out.write(member)
-                        line = {"offset": at, "length": len(member), "type": fields["warc-type"], "id": fields["warc-record-id"], "uri": fields.get("warc-target-uri")}
+                        line = {"offset": at, "length": len(member), "type": kind, "id": fields["warc-record-id"], "uri": fields.get("warc-target-uri")}
                         index.write(json.dumps(line).encode() + b"\n")
                         n, at = n + 1, at + len(member)
-                yield pa.RecordBatch.from_pylist([{"file": name, "sidecar": f"{name}.index", "n_records": n, "n_bytes": at}], schema=_FILES)
+                yield _batch([(name, f"{name}.index", n, at)], _FILES)
 
-    spread = files.select("file").repartition(partitions(files.sparkSession), "file")
+    files = written.select("file").distinct()
+    listed = revisits.groupBy("file").agg(F.collect_list(F.struct("ordinal", "refers_to")).alias("revisits"))
+    spread = files.join(listed, "file", "left").select("file", "revisits").repartition(partitions(written.sparkSession), F.xxhash64("file"))
     return store(spread.mapInArrow(rewrite, FILES), "archive_files")
 
 
@@ -223,10 +243,10 @@ def read_archives(files: DataFrame) -> DataFrame:
                         entry = json.loads(line)
                         rows.append(read_member(f.read_at(entry["length"], entry["offset"])))
                         if len(rows) == 4096:
-                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _RECORDS.types, strict=True)], schema=_RECORDS)
+                            yield _batch(rows, _RECORDS)
                             rows = []
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _RECORDS.types, strict=True)], schema=_RECORDS)
+                    yield _batch(rows, _RECORDS)
 
     return files.select("file", "sidecar").repartition(partitions(files.sparkSession), "file").mapInArrow(read, RECORDS)
 
@@ -235,9 +255,10 @@ def archive_pages(pages: DataFrame) -> DataFrame:
     """pages (page_id, url, html, ...) written as monolithic archives, normalised, and read back: see RECORDS.
 
     Null html is an empty payload, null url ``about:blank``. Rows with one page_id and payload are alike: all are responses
-    if theirs is the largest id. A null page_id is smaller than any other. An empty table gives no rows.
+    if theirs is the largest id. Payloads whose rows all lack an id are responses. A null page_id is smaller than any other. An empty table gives no rows.
     """
-    return read_archives(normalise(write_monolithic(decide(pages))))
+    written = write_monolithic(pages)
+    return read_archives(normalise(written, decide(written)))
 
 
 ORACLE_SQL = r"""
