@@ -327,6 +327,29 @@ def test_passages(spark, nothing):
     assert passages.repeated_passages(nothing).isEmpty()
 
 
+def test_passages_whose_parts_are_elsewhere(spark):
+    def placed(rows):
+        rows = [(d, prose(60, 1000 + 2 * d) + " " + text + " " + prose(60, 1001 + 2 * d)) for d, text in rows]
+        return {(r.doc_id, r.other_id) for r in passages.repeated_passages(documents(spark, rows)).collect() if abs(r.first_word - 60) <= 2 and abs(r.n_words - 60) <= 4}
+
+    whole = prose(60, 70).split(" ")
+    half, rest = " ".join(whole[:30]), " ".join(whole[30:])
+    both = [(500, " ".join(whole)), (600, " ".join(whole))]
+    assert placed([(1, half), (8000, half), (2, rest), (9000, rest), *both]) == {(500, 600), (600, 500)}
+    # parts that overlap and are too frequent for all pairs
+    n = 40
+    parts = [(k, " ".join(whole[:40])) for k in range(1, n)] + [(100 + k, " ".join(whole[20:])) for k in range(1, n)]
+    parts += [(8000, " ".join(whole[:40])), (9000, " ".join(whole[20:]))]
+    assert {(500, 600), (600, 500)} <= placed(parts + both)
+
+
+def test_passages_at_all_places(spark):
+    one, two = prose(60, 71), prose(60, 72)
+    rows = [(1, one + " " + prose(80, 73) + " " + one), (2, prose(90, 74) + " " + one + " " + two), (3, two)]
+    out = passages.repeated_passages(documents(spark, rows)).collect()
+    assert {(r.first_word, r.other_first_word) for r in out if (r.doc_id, r.other_id) == (2, 1)} == {(90, 0), (90, 140)}
+
+
 def test_chains_equal_quadratic_search():
     r = random.Random(3)
     for _ in range(30):
