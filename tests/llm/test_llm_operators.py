@@ -350,6 +350,21 @@ def test_passages_at_all_places(spark):
     assert {(r.first_word, r.other_first_word) for r in out if (r.doc_id, r.other_id) == (2, 1)} == {(90, 0), (90, 140)}
 
 
+def test_passages_with_edits(spark):
+    whole = prose(52, 80).split(" ")
+    two = [("changed" if i in (17, 34) else w) for i, w in enumerate(whole)]
+    rows = []
+    for k, other in enumerate((two, whole[:40] + whole[41:], whole[:40] + ["added"] + whole[40:], whole[:12] + whole[13:])):
+        for d, words in ((2 * k, whole), (2 * k + 1, other)):
+            # words of each pair are its own
+            words = [f"{w}{k}" for w in words]
+            rows.append((d, prose(40, 2000 + d) + " " + " ".join(words) + " " + prose(40, 3000 + d)))
+    out = passages.repeated_passages(documents(spark, rows)).collect()
+    got = {(r.doc_id, r.other_id): (r.first_word, r.n_words, r.other_first_word, r.other_n_words) for r in out}
+    ahead = {(2 * k, 2 * k + 1): (40, 52, 40, n) for k, n in enumerate((52, 51, 53, 51))}
+    assert got == ahead | {(b, a): (t, m, s, n) for (a, b), (s, n, t, m) in ahead.items()}
+
+
 def test_chains_equal_quadratic_search():
     r = random.Random(3)
     for _ in range(30):
