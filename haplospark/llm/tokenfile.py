@@ -48,8 +48,8 @@ class Encoder:
 
     A byte-level tokenizer never joins what its pattern divides, so a text's ids are those of its parts, and the tokenizer
     sees a part but once. A worker keeps its encoder from task to task; a full cache keeps what it has, which is mostly what
-    is frequent. Texts beyond the Latin blocks, where character classes differ between libraries, are encoded whole, as are all
-    texts with other kinds of tokenizers.
+    is frequent. Texts beyond the Latin blocks, where character classes differ between libraries, are encoded whole, as are
+    texts that hold an added token, which gives its own id, and all texts with other kinds of tokenizers.
     """
 
     def __init__(self, path: str):
@@ -57,11 +57,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.dtype = np.dtype("<u2" if self.code == "H" else "<u4")
         told = json.loads(self.tokenizer.to_str())
         self.by_part = not told["normalizer"] and (told["pre_tokenizer"] or {}).get("type") == "ByteLevel" and told["pre_tokenizer"]["use_regex"] and not told["pre_tokenizer"]["add_prefix_space"]
+        added = [re.escape(x["content"]) for x in told["added_tokens"] if x["content"]]
+        self.not_by_part = re.compile("|".join([_NOT_LATIN.pattern, *added]))
         self.parts: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -81,7 +82,7 @@ class Encoder:
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [_PARTS.findall(t) if self.by_part and not _NOT_LATIN.search(t) else None for t in texts]
+        split = [_PARTS.findall(t) if self.by_part and not self.not_by_part.search(t) else None for t in texts]
         new: set[str] = set()
         for parts in split:
             if parts:

@@ -140,6 +140,17 @@ def test_token_file_is_zstandard_and_checks_sums(tmp_path):
         list(tokenfile.Reader(str(path)).documents())
 
 
+def test_added_tokens_give_their_ids():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(queries.tokenizer_path())
+    added = [x.content for x in t.get_added_tokens_decoder().values()]
+    texts = [f"{a}{x}{b}" for x in added for a in ("", "one ", "é\n") for b in ("", " two", "two", x)] + ["<|endof text|>", "endoftext"]
+    whole = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    e = tokenfile.Encoder(queries.tokenizer_path())
+    assert added and [np.frombuffer(x, e.dtype).tolist() for x in e.encode(texts)] == whole
+
+
 def test_parts_give_the_tokenizers_ids():
     e = tokenfile.Encoder(queries.tokenizer_path())
     r = random.Random(1)
