@@ -119,6 +119,14 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray, width: int = SHINGLE) -
         return mix(out + size.astype(np.uint64)), begin
 
 
+def run_hashes(words: np.ndarray, begin: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the runs of width words that begin at the given places, whatever the width, in one pass."""
+    with np.errstate(over="ignore"):
+        total = np.zeros(len(words) + 1, np.uint64)
+        np.cumsum(words * _power("up", _BASE, len(words)), out=total[1:])
+        return mix((total[begin + width] - total[begin]) * _power("down", _INVERSE, len(words) + 1)[begin])
+
+
 def shingle_sets(texts: pa.Array, width: int = SHINGLE) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct shingle hashes) of each text in order."""
     for at, end, data, offsets in chunks(texts):
