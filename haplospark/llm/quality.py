@@ -2,164 +2,224 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, Normalizer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import store
+from .shingles import chunks, word_hashes
 
-#: At most so many labelled rows are used to fit and calibrate, and about so many others get pseudo-labels.
-LABELLED_ROWS, POOL_ROWS = 8_000, 8_000
+#: At most so many labelled rows are used to fit and calibrate, and about so many pseudo-labels of each class and view join them.
+LABELLED_ROWS, PSEUDO_ROWS = 8_000, 2_000
 #: The sample is a few MB: more tasks would cost more than they save in each of many passes.
 SAMPLE_PARTITIONS = 4
-HASHED_WORDS, HASHED_META = 1 << 14, 1 << 8
+WORD_BITS, META_BITS = 14, 8
 ROUNDS, SURE = 2, 0.97
 THRESHOLD = 0.5
-MAX_ITER = 15
+MAX_ITER = 25
+#: Shares of letters and of capitals, of distinct words, and characters per word; logarithms of characters and lines, characters per line.
+TEXT_SHAPE, META_SHAPE = 4, 3
+SIZES = {"text": (1 << WORD_BITS) + TEXT_SHAPE, "meta": (1 << META_BITS) + META_SHAPE}
+_KINDS = np.zeros(256, np.uint8)  # 1: begins a character, 2: letter, 4: capital, 8: line feed
+_KINDS[[b for b in range(256) if b & 0xC0 != 0x80]] += 1
+_KINDS[[*range(65, 91), *range(97, 123), *range(0xC3, 0xF0)]] += 2
+_KINDS[65:91] += 4
+_KINDS[10] += 8
+
+
+class Features:
+    """Both views of a batch of rows, as arrays.
+
+    Text: the share of each of 2**WORD_BITS classes of words (A-Z lower-cased), and shares of letters, capitals and distinct
+    words, and characters per word. Letters beyond ASCII are characters of two or three bytes. Metadata: source and language
+    by class of hash, length and line layout. Null text is empty; null source or language is a value of its own.
+    """
+
+    def __init__(self, texts: pa.Array, meta: list[tuple[str, pa.Array]]):
+        n = len(texts)
+        self.words, self.first = [], np.zeros(n + 1, np.int64)
+        kinds = np.zeros((n, 4))
+        distinct = np.zeros(n)
+        done = 0
+        for at, end, data, offsets in chunks(texts):
+            hashes, first = word_hashes(data, offsets)
+            self.words.append((hashes >> np.uint64(64 - WORD_BITS)).astype(np.int64))
+            self.first[at + 1 : end + 1] = done + first[1:]
+            done += len(hashes)
+            own = _KINDS[data]
+            upto = np.zeros(len(data) + 1, np.int64)
+            for k in range(4):
+                np.cumsum(own >> k & 1, out=upto[1:])
+                kinds[at:end, k] = upto[offsets[1:]] - upto[offsets[:-1]]
+            distinct[at:end] = [len(np.unique(hashes[first[i] : first[i + 1]])) for i in range(end - at)]
+        self.words = np.concatenate(self.words) if self.words else np.zeros(0, np.int64)
+        count = np.maximum(np.diff(self.first), 1)
+        chars, lines = np.maximum(kinds[:, 0], 1), kinds[:, 3] + 1
+        self.count = count
+        self.text_shape = np.stack([kinds[:, 1] / chars, kinds[:, 2] / chars, distinct / count, chars / count], axis=1)
+        self.meta_shape = np.stack([np.log1p(chars), np.log1p(lines), chars / lines], axis=1)
+        self.meta = np.zeros((n, len(meta)), np.int64)
+        for k, (name, column) in enumerate(meta):
+            coded = column.cast(pa.string()).dictionary_encode(null_encoding="encode")
+            classes = [xxhash.xxh64_intdigest(f"{name}={'\0' if v is None else v}") >> (64 - META_BITS) for v in coded.dictionary.to_pylist()]
+            self.meta[:, k] = np.array(classes, np.int64)[coded.indices.to_numpy(zero_copy_only=False)] if n else 0
+
+    def margins(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Margins for label 1 by both views' coefficients; the last one is the intercept."""
+        upto = np.concatenate(([0.0], np.cumsum(text[self.words])))
+        one = (upto[self.first[1:]] - upto[self.first[:-1]]) / self.count + self.text_shape @ text[1 << WORD_BITS : -1] + text[-1]
+        two = np.zeros(len(self.meta))
+        for k in range(self.meta.shape[1]):
+            new = (self.meta[:, :k] != self.meta[:, k : k + 1]).all(axis=1)
+            two += np.where(new, meta[self.meta[:, k]], 0.0)
+        return one, two + self.meta_shape @ meta[1 << META_BITS : -1] + meta[-1]
 
-_TEXT_SHAPE = ["letters", "capitals", "distinct_words", "word_length"]
-_META_SHAPE = ["log_chars", "log_lines", "line_chars"]
+    def rows(self) -> Iterator[tuple[list[int], list[float], list[int], list[float]]]:
+        """Per row the places and values of what isn't 0 in each view."""
+        for i, count in enumerate(self.count.tolist()):
+            words, times = np.unique(self.words[self.first[i] : self.first[i + 1]], return_counts=True)
+            meta = np.unique(self.meta[i])
+            shape = [(1 << WORD_BITS) + k for k in range(TEXT_SHAPE)], [(1 << META_BITS) + k for k in range(META_SHAPE)]
+            yield words.tolist() + shape[0], (times / count).tolist() + self.text_shape[i].tolist(), meta.tolist() + shape[1], [1.0] * len(meta) + self.meta_shape[i].tolist()
 
 
-def views(docs: DataFrame) -> DataFrame:
-    """The rows of docs as a struct, row, with what both views read. Text: words and shares of letters, capitals and distinct words. Metadata: source,
-    language, length and line layout. Null text is empty; null source or language is a value of its own."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    chars = F.greatest(F.length(text), F.lit(1))
-    lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+def _reader(docs: DataFrame):
+    """A function that gives the Features of an Arrow batch with the columns of docs."""
+    at = {c.lower(): i for i, c in enumerate(docs.columns)}
+    text, meta = at["text"], [(c, at[c]) for c in ("source", "lang") if c in at]
+    return lambda batch: Features(batch.column(text), [(c, batch.column(i)) for c, i in meta])
+
+
+def _needed(docs: DataFrame) -> DataFrame:
     known = {c.lower() for c in docs.columns}
-    meta = [F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("\0"))) for c in ("source", "lang") if c in known]
-    out = docs.select(
-        F.struct(*docs.columns).alias("row"), text.alias("text"), words.alias("words"), (F.array(*meta) if meta else F.array(F.lit("none"))).alias("meta"), chars.alias("chars"), lines.alias("lines")
-    )
-    count, chars, lines = F.greatest(F.size("words"), F.lit(1)), F.col("chars"), F.col("lines")
-    return out.select(
-        "row",
-        "words",
-        "meta",
-        (F.length(F.regexp_replace("text", r"[^\p{L}]+", "")) / chars).alias("letters"),
-        (F.regexp_count("text", F.lit(r"\p{Lu}")) / chars).alias("capitals"),
-        (F.size(F.array_distinct("words")) / count).alias("distinct_words"),
-        (chars / count).alias("word_length"),
-        F.log1p(chars.cast("double")).alias("log_chars"),
-        F.log1p(lines.cast("double")).alias("log_lines"),
-        (chars / lines).alias("line_chars"),
-    )
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[c for c in ("source", "lang") if c in known])
 
 
 def featurise(docs: DataFrame) -> DataFrame:
-    """row (the struct of a row of docs), text_features, meta_features."""
-    stages = Pipeline(
-        stages=[
-            HashingTF(numFeatures=HASHED_WORDS, inputCol="words", outputCol="counts"),
-            Normalizer(p=1.0, inputCol="counts", outputCol="shares"),
-            VectorAssembler(inputCols=["shares", *_TEXT_SHAPE], outputCol="text_features"),
-            HashingTF(numFeatures=HASHED_META, inputCol="meta", outputCol="meta_hashed", binary=True),
-            VectorAssembler(inputCols=["meta_hashed", *_META_SHAPE], outputCol="meta_features"),
-        ]
-    )
-    rows = views(docs)
-    return stages.fit(rows.limit(0)).transform(rows).select("row", "text_features", "meta_features")
+    """docs (doc_id, text, source, lang) -> doc_id, text_features, meta_features; for samples."""
+    features = _reader(docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = list(zip(*features(batch).rows(), strict=True)) or [()] * 4
+            kinds = (pa.list_(pa.int32()), pa.list_(pa.float64())) * 2
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["doc_id", "i", "x", "j", "y"])
+
+    rows = docs.mapInArrow(run, "doc_id long, i array<int>, x array<double>, j array<int>, y array<double>")
+    vector = {name: F.udf(lambda i, x, size=size: Vectors.sparse(size, i, x), VectorUDT()) for name, size in SIZES.items()}
+    return rows.select("doc_id", vector["text"]("i", "x").alias("text_features"), vector["meta"]("j", "y").alias("meta_features"))
 
 
 class CoTrained:
-    """The fitted model: two views, their calibration, and the weights that combine them."""
+    """The fitted model: both views' coefficients, their calibration, and the weights that combine them."""
 
     def __init__(self, text, meta, calibrations, combination):
         self.text, self.meta, self.calibrations, self.combination = text, meta, calibrations, combination
 
-    def score(self, docs: DataFrame) -> DataFrame:
-        rows = _margins(featurise(docs), self.text, self.meta)
-        rows = _calibrated(rows, self.calibrations)
+    def probabilities(self, features: Features) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of label 1, by each calibrated view and by both."""
+        logits = [_clipped(m) * slope + offset for m, (slope, offset) in zip(features.margins(self.text, self.meta), self.calibrations, strict=True)]
         a, b, c = self.combination
-        return rows.select(
-            "row",
-            _logistic(F.col("text_logit")).alias("text_score"),
-            _logistic(F.col("meta_logit")).alias("meta_score"),
-            _logistic(F.lit(a) * F.col("text_logit") + F.lit(b) * F.col("meta_logit") + F.lit(c)).alias("quality_score"),
-        )
+        return tuple(1 / (1 + np.exp(-x)) for x in (*logits, a * logits[0] + b * logits[1] + c))
 
 
-def _logistic(x):
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
+def _clipped(margin: np.ndarray) -> np.ndarray:
+    return np.clip(margin, -30, 30)
 
 
-def _fit(rows: DataFrame, features: str, **more):
+def _fit(rows: DataFrame, features: str, **more) -> np.ndarray:
+    """Coefficients and intercept."""
     settings = {"maxIter": MAX_ITER, "regParam": 1e-3} | more
-    return LogisticRegression(featuresCol=features, labelCol="label", probabilityCol="", predictionCol="", **settings).fit(rows)
+    model = LogisticRegression(featuresCol=features, labelCol="label", probabilityCol="", predictionCol="", **settings).fit(rows)
+    return np.append(model.coefficients.toArray(), model.intercept)
 
 
-def _margins(rows: DataFrame, text, meta) -> DataFrame:
-    """Adds each view's margin for label 1."""
-    for name, model in (("text", text), ("meta", meta)):
-        model.setRawPredictionCol(f"{name}_raw")
-        rows = model.transform(rows).withColumn(f"{name}_margin", vector_to_array(f"{name}_raw")[1]).drop(f"{name}_raw")
-    return rows
+def _margins(docs: DataFrame, text: np.ndarray, meta: np.ndarray) -> DataFrame:
+    """docs (doc_id, text, source, lang) -> doc_id, text_margin, meta_margin."""
+    told = docs.sparkSession.sparkContext.broadcast((text, meta))
+    features = _reader(docs)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, features(batch).margins(*told.value))], names=["doc_id", "text_margin", "meta_margin"])
 
-def _calibrated(rows: DataFrame, calibrations) -> DataFrame:
-    for name, (slope, offset) in calibrations.items():
-        rows = rows.withColumn(f"{name}_logit", F.lit(slope) * F.least(F.greatest(F.col(f"{name}_margin"), F.lit(-30.0)), F.lit(30.0)) + F.lit(offset))
-    return rows
+    return docs.mapInArrow(run, "doc_id long, text_margin double, meta_margin double")
 
 
-def co_train(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, pool_rows: int = POOL_ROWS, rounds: int = ROUNDS, sure: float = SURE) -> CoTrained | None:
+def _pseudo_labels(margins: DataFrame, labels: DataFrame, turn: int, most: int, sure: float) -> DataFrame:
+    """doc_id, text_says, meta_says: labels of documents without one of which a view is sure; about ``most`` by view and class.
+
+    All documents are scored and counted. Where a view is sure of more than ``most`` of a class, a hash of the id decides.
+    """
+    least = float(np.log(sure / (1 - sure)))
+    unlabelled = margins.filter("doc_id is not null").join(labels.select("doc_id").distinct(), "doc_id", "left_anti")
+    says = {name: F.when(F.col(f"{name}_margin") > least, 1.0).when(F.col(f"{name}_margin") < -least, 0.0) for name in ("text", "meta")}
+    said = store(unlabelled.select("doc_id", *[x.alias(f"{name}_says") for name, x in says.items()]).filter("text_says is not null or meta_says is not null"), "sure")
+    counts = said.agg(*[F.count_if(F.col(f"{name}_says") == label).alias(f"{name}{label}") for name in says for label in (0, 1)]).first()
+    place = F.pmod(F.xxhash64("doc_id", F.lit(turn)), F.lit(1 << 30))
+    kept = [
+        F.coalesce(*[F.when((F.col(f"{name}_says") == label) & (place < int((1 << 30) * min(1.0, most / max(counts[f"{name}{label}"], 1)))), float(label)) for label in (0, 1)]).alias(f"{name}_says")
+        for name in says
+    ]
+    return said.select("doc_id", *kept).filter("text_says is not null or meta_says is not null").dropDuplicates(["doc_id"])
+
+
+def co_train(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, pseudo_rows: int = PSEUDO_ROWS, rounds: int = ROUNDS, sure: float = SURE) -> CoTrained | None:
     """Fit on docs and labels (doc_id, quality); None where the labels don't hold both classes.
 
     The labelled sample is the labelled_rows ids with the least hash (a fixed bound, so it is broadcast to the scan); a
-    fifth of it calibrates. About pool_rows other documents, again by hash, make the pool. In each round both views are
-    fitted, and what one is sure of (probability above ``sure``) in the pool becomes a label for the other. The margins are
-    then calibrated by Platt's method, and a logistic regression on both calibrated views combines them. Only coefficients
-    reach the driver; scoring covers all documents.
+    fifth of it calibrates. In each round both views are fitted and score every document. Documents that have no label and of
+    which one view is sure (probability above ``sure``) get one for the other view; of those, about pseudo_rows by view and
+    class are fitted on, evenly from the whole corpus. The margins are then calibrated by Platt's method, and a logistic
+    regression on both calibrated views combines them. Only coefficients and counts reach the driver.
     """
-    given = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").cast("double").alias("label"))
-    given = given.orderBy(F.xxhash64("doc_id", F.lit("labelled")), "doc_id").limit(labelled_rows)
-    given = store(given, "labelled")
-    n = docs.count()
-    share = min(1.0, pool_rows / max(n, 1))
-    picked = docs.join(F.broadcast(given.select(F.col("doc_id").alias("of"), "label")), F.col("doc_id") == F.col("of"), "left").drop("of")
-    picked = picked.filter(F.col("label").isNotNull() | (F.pmod(F.xxhash64("doc_id", F.lit("pool")), F.lit(1_000_000)) < int(share * 1_000_000)))
-    features = featurise(picked.drop("label")).select("row.doc_id", "text_features", "meta_features")
-    rows = features.join(F.broadcast(given.withColumnRenamed("doc_id", "of")), F.col("doc_id") == F.col("of"), "left").drop("of")
-    rows = store(rows, "features").withColumn("held_out", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(5)) == 0)
-    train = rows.filter("label is not null and not held_out").select("doc_id", "label", "text_features", "meta_features").coalesce(SAMPLE_PARTITIONS).persist()
-    held = rows.filter("label is not null and held_out").coalesce(SAMPLE_PARTITIONS).persist()
-    pool = rows.filter("label is null").select("doc_id", "text_features", "meta_features").coalesce(SAMPLE_PARTITIONS).persist()
+    docs = _needed(docs)
+    labels = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("double").alias("label"))
+    given = store(labels.orderBy(F.xxhash64("doc_id", F.lit("labelled")), "doc_id").limit(labelled_rows), "labelled")
+    sample = lambda ids: featurise(docs.join(F.broadcast(ids.select("doc_id")), "doc_id", "left_semi")).join(F.broadcast(ids), "doc_id")
+    held_out = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(5)) == 0
+    rows = store(sample(given).withColumn("held_out", held_out), "features").coalesce(SAMPLE_PARTITIONS)
+    columns = ["label", "text_features", "meta_features"]
+    train, held = (rows.filter(x).select(*columns).persist() for x in ("not held_out", "held_out"))
+    kept = [train, held]
     try:
-        classes = [r[0] for r in train.groupBy("label").count().collect()]
-        if len(classes) < 2:
+        if train.select("label").distinct().count() < 2:
             return None
-        both = held.select("label").distinct().count() == 2
         sets = {"text": train, "meta": train}
         for turn in range(rounds + 1):
             models = {name: _fit(sets[name], f"{name}_features") for name in sets}
             if turn == rounds:
                 break
-            scored = _margins(pool, models["text"], models["meta"])
+            picked = store(_pseudo_labels(store(_margins(docs, **models), "margins"), labels, turn, pseudo_rows, sure), "picked")
+            more = store(sample(picked), "pseudo").coalesce(SAMPLE_PARTITIONS)
             for name, other in (("text", "meta"), ("meta", "text")):
-                p = _logistic(F.col(f"{other}_margin"))
-                says = scored.withColumn("label", F.when(p > sure, 1.0).when(p < 1 - sure, 0.0)).filter("label is not null")
-                sets[name] = train.unionByName(says.select("doc_id", "label", "text_features", "meta_features"))
-        margins = _margins(held if both else train, models["text"], models["meta"]).select("label", "text_margin", "meta_margin").persist()
-        calibrations = {}
-        for name in ("text", "meta"):
-            clipped = F.least(F.greatest(F.col(f"{name}_margin"), F.lit(-30.0)), F.lit(30.0))
-            one = VectorAssembler(inputCols=["x"], outputCol="f").transform(margins.select("label", clipped.alias("x")))
-            m = _fit(one, "f", standardization=False)
-            calibrations[name] = (float(m.coefficients[0]), float(m.intercept))
-        pair = VectorAssembler(inputCols=["text_logit", "meta_logit"], outputCol="f").transform(_calibrated(margins, calibrations))
-        m = _fit(pair, "f", standardization=False)
-        margins.unpersist()
-        return CoTrained(models["text"], models["meta"], calibrations, (float(m.coefficients[0]), float(m.coefficients[1]), float(m.intercept)))
+                says = more.filter(f"{other}_says is not null").select(F.col(f"{other}_says").alias("label"), "text_features", "meta_features")
+                sets[name] = train.unionByName(says).persist()
+                kept.append(sets[name])
+        judged = held if held.select("label").distinct().count() == 2 else train
+        judged = judged.select("label", *[_linear(f"{name}_features", models[name]).alias(name) for name in models]).persist()
+        kept.append(judged)
+        calibrations = [tuple(_fit(VectorAssembler(inputCols=[name], outputCol="f").transform(judged), "f", standardization=False)) for name in models]
+        logits = judged.select("label", *[(F.col(name) * float(a) + F.lit(float(b))).alias(name) for name, (a, b) in zip(models, calibrations, strict=True)])
+        combination = _fit(VectorAssembler(inputCols=list(models), outputCol="f").transform(logits), "f", standardization=False)
+        return CoTrained(models["text"], models["meta"], calibrations, tuple(combination))
     finally:
-        for df in (train, held, pool):
+        for df in kept:
             df.unpersist()
 
 
+def _linear(features: str, coefficients: np.ndarray):
+    """The margin of a vector column, clipped; for samples."""
+    return F.udf(lambda v: float(np.clip(coefficients[v.indices] @ v.values + coefficients[-1], -30, 30)), "double")(features)
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
     """docs (doc_id, text, source, lang, ...) -> doc_id, text_score, meta_score, quality_score, keep; one row per row.
 
@@ -167,19 +227,30 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     scored like others, from what is left of them. Where labels don't hold both classes there is nothing to learn: scores
     are null and every document is kept. Repeated rows get equal scores. An empty table gives no rows.
     """
-    return _decided(docs, labels, threshold, options).select("row.doc_id", "text_score", "meta_score", "quality_score", "keep")
+    model = co_train(docs, labels, **options)
+    docs = _needed(docs)
+    if model is None:
+        scores = [F.lit(None).cast("double").alias(c) for c in ("text_score", "meta_score", "quality_score")]
+        return docs.select("doc_id", *scores, F.lit(True).alias("keep"))
+    told, features = docs.sparkSession.sparkContext.broadcast(model), _reader(docs)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = told.value.probabilities(features(batch))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, scores), pa.array(scores[2] >= threshold)], names=["doc_id", "text_score", "meta_score", "quality_score", "keep"])
 
-def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
-    """The rows of docs that the classifier keeps, with the columns of docs. Rows are scored as they stream by: no join."""
-    return _decided(docs, labels, threshold, options).filter("keep").select("row.*")
+    return docs.mapInArrow(run, "doc_id long, text_score double, meta_score double, quality_score double, keep boolean")
 
 
-def _decided(docs: DataFrame, labels: DataFrame, threshold: float, options: dict) -> DataFrame:
+def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
+    """The rows of docs that the classifier keeps, with the columns of docs. Rows are scored as they stream by: no join."""
     model = co_train(docs, labels, **options)
     if model is None:
-        scores = [F.lit(None).cast("double").alias(c) for c in ("text_score", "meta_score", "quality_score")]
-        scored = docs.select(F.struct(*docs.columns).alias("row"), *scores)
-    else:
-        scored = model.score(docs)
-    return scored.withColumn("keep", F.coalesce(F.col("quality_score") >= threshold, F.lit(True)))
+        return docs
+    told, features = docs.sparkSession.sparkContext.broadcast(model), _reader(docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(told.value.probabilities(features(batch))[2] >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
