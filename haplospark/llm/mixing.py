@@ -49,7 +49,7 @@ def _boundary(histogram: DataFrame) -> DataFrame:
     """The first bucket of each source whose running sum exceeds what is left of the budget, and what is left there."""
     order = W.partitionBy("source").orderBy("bucket")
     upto = histogram.withColumn("upto", F.sum("words").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    found = upto.filter((F.col("upto") > F.col("left")) & (F.col("upto") - F.col("words") <= F.col("left")) & (F.col("words") > 0))
+    found = upto.filter((F.col("left") > 0) & (F.col("upto") > F.col("left")) & (F.col("upto") - F.col("words") <= F.col("left")) & (F.col("words") > 0))
     return found.select("source", "bucket", "words", (F.col("left") - F.col("upto") + F.col("words")).alias("left"))
 
 
@@ -88,15 +88,17 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats
     plan = plan.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("source", "of")
     mixed = base.withColumn("salt", (F.col("place") % SALTS).cast("int"))
     mixed = mixed.join(plan, F.col("source").eqNullSafe(F.col("of")) & (mixed["salt"] == plan["salt"]))
-    repeats = (F.col("whole") + (F.col("place") < F.coalesce(F.col("threshold"), F.lit(0))).cast("long")).cast("int")
+    repeats = F.col("whole") + (F.col("place") < F.coalesce(F.col("threshold"), F.lit(0))).cast("long")
+    repeats = F.least(repeats, F.lit(max_repeats)).cast("int")
     return mixed.select("doc_id", "source", "size", "source_size", "target", repeats.alias("repeats"), (F.col("size") * repeats).cast("long").alias("taken"))
 
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """docs with each row as often as the mix takes it; rows that it takes 0 times go. Columns are those of docs."""
     taken = mix_sources(docs, **options).select(F.col("doc_id").alias("of"), "repeats").filter("repeats > 0").dropDuplicates(["of"])
-    joined = docs.join(taken, docs["doc_id"].eqNullSafe(F.col("of")))
-    return joined.withColumn("of", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select(*[docs[c] for c in docs.columns])
+    rows = docs.select(F.struct(*docs.columns).alias("row"))  # names of docs can't meet those used here
+    joined = rows.join(taken, F.col("row.doc_id").eqNullSafe(F.col("of")))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select("row.*")
 
 
 ORACLE_SQL = r"""
