@@ -513,7 +513,8 @@ def similar_groups(docs: DataFrame) -> DataFrame:
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The row of each group's smallest doc_id, with the columns of docs; rows without doc_id stay, repeats of one id go."""
     kept = similar_groups(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("of")).distinct()
-    named = docs.filter("doc_id is not null").join(kept, F.col("doc_id") == F.col("of"), "left_semi").dropDuplicates(["doc_id"])
+    rows = docs.filter("doc_id is not null").select(F.col("doc_id").alias("id"), F.struct(*docs.columns).alias("row"))  # so names can't clash
+    named = rows.join(kept, F.col("id") == F.col("of"), "left_semi").dropDuplicates(["id"]).select("row.*")
     return named.unionByName(docs.filter("doc_id is null"))
 
 
