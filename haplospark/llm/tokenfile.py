@@ -30,6 +30,8 @@ from .shared import partitions, resolve, shared_folder, store
 
 FRAME_BYTES = 256 << 10
 FILE_BYTES = 128 << 20
+#: A file has so many documents at most: their index is held until it is closed.
+FILE_DOCS = 1 << 20
 CACHE_PARTS = 1_000_000
 # Fixed values of the public zstandard formats.
 INDEX_MAGIC, SEEK_MAGIC, FOOTER_MAGIC, CHECKSUMS = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -40,7 +42,7 @@ _NOT_LATIN = re.compile(r"[^\x00-\x1b\x20-\u024f]")
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTE_LEVEL = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
-MANIFEST = "part int, file string, first_id long, last_id long, n_docs long, n_ids long"
+MANIFEST = "part long, file string, first_id long, last_id long, n_docs long, n_ids long"
 
 
 class Encoder:
@@ -206,7 +208,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, file_bytes: i
             out.write(writer.tail())
             out.close()
             ids = [d[0] for d in writer.docs]
-            row = {"part": part * 100_000 + done, "file": name, "first_id": ids[0], "last_id": ids[-1], "n_docs": len(ids), "n_ids": sum(d[3] for d in writer.docs)}
+            row = {"part": (part << 32) + done, "file": name, "first_id": ids[0], "last_id": ids[-1], "n_docs": len(ids), "n_ids": sum(d[3] for d in writer.docs)}
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
         for batch in batches:
@@ -220,13 +222,13 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, file_bytes: i
                         out, writer = fs.open_output_stream(path, compression=None), Writer(encoder.dtype)
                     if frame := writer.add(doc_id, data + end):
                         out.write(frame)
-                    if writer.packed >= file_bytes:
+                    if writer.packed >= file_bytes or len(writer.docs) >= FILE_DOCS:
                         yield close()
                         out, done = None, done + 1
         if out is not None:
             yield close()
 
-    schema = pa.schema([("part", pa.int32()), ("file", pa.string()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
+    schema = pa.schema([("part", pa.int64()), ("file", pa.string()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ordered = rows.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     manifest = store(ordered.mapInArrow(write, MANIFEST), "manifest")
