@@ -10,6 +10,8 @@ from .shared import partitions, store
 
 #: Fewer rows than this never make a text hot.
 HOT_ROWS = 256
+#: Splitters are sampled on so many characters and a hash: whole texts stay where they are.
+SPLITTER_CHARS = 16
 
 
 def normalised(text: Column) -> Column:
@@ -20,8 +22,8 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, keep_id, group_size, kept, text_sha256; one row per row of docs.
 
     Texts are equal when identical after all ASCII white space is deleted. Sampled splitters deal the normalised texts
-    into ranges, Spark's external sort puts equals next to each other, and neighbours are compared in full (the window's
-    key is the text itself). Of equals the row with the most code points in its original text stays, then the smallest
+    into ranges of their first characters and a hash, Spark's external sort puts equals next to each other, and neighbours
+    are compared in full (the window's key ends with the text itself). Of equals the row with the most code points in its original text stays, then the smallest
     doc_id.
 
     A text that holds more than 1/(4 * partitions) of the rows would overfill its range. Counts of 64-bit hashes find
@@ -38,9 +40,10 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     hot = rows.groupBy("h").count().filter(F.col("count") > max(docs.count() // n, HOT_ROWS)).select("h", F.lit(True).alias("hot"))
     rows = rows.join(F.broadcast(hot), "h", "left")
     rows = rows.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id", "chars"), F.lit(n))).otherwise(0))
-    run = W.partitionBy("norm", "salt")
+    rows = rows.withColumn("start", F.substring("norm", 1, SPLITTER_CHARS))
+    run = W.partitionBy("start", "h", "salt", "norm")
     best = run.orderBy(F.desc("chars"), F.col("doc_id").asc_nulls_last())
-    runs = rows.repartitionByRange("norm", "salt").select(
+    runs = rows.repartitionByRange("start", "h", "salt").select(
         "doc_id",
         F.sha2("norm", 256).alias("text_sha256"),
         F.first("doc_id").over(best).alias("keep_id"),
