@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +13,8 @@ from .shared import store
 #: (verdict, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 MIN_SUPPORT, MIN_CONFIDENCE, MAX_TOKENS = 0.01, 0.8, 3
+#: Rows with more frequent tokens are counted by combination: FP-growth would make all their parts.
+GROWN_TOKENS = 9
 DEFAULT = "allow"
 _LABEL = "label="
 
@@ -55,16 +59,28 @@ def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confid
     """labelled (tokens, label) -> rule_id, tokens, label, confidence, support.
 
     FP-growth mines token combinations that go with a label in at least min_support of the rows; rules below
-    min_confidence or above max_tokens go, and so does a rule of which a part says the same at least as surely. A row has
-    few tokens, so at most tokens per row / min_support tokens are frequent, whatever the number of rows.
+    min_confidence or above max_tokens go, and so does a rule of which a part says the same at least as surely.
+
+    Two counts go before, which change no rule. Tokens that go with no label often enough are left out: at most tokens per
+    row / min_support are frequent, whatever the number of rows. FP-growth makes all 2**n parts of a row of n frequent
+    tokens, so where one has more than GROWN_TOKENS of them, combinations of up to max_tokens are counted instead. Rows
+    without a label are left out; null tokens are none.
     """
-    items = labelled.select(F.array_append("tokens", F.concat(F.lit(_LABEL), "label")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
-    rules = model.associationRules.withColumn("label", F.element_at("consequent", 1)).filter(F.col("label").startswith(_LABEL))
-    rules = rules.filter((F.size("antecedent") <= max_tokens) & ~F.exists("antecedent", lambda x: x.startswith(_LABEL)))
-    rules = rules.select(
-        F.array_sort("antecedent").alias("tokens"), F.substring("label", len(_LABEL) + 1, 100).alias("label"), F.round("confidence", 9).alias("confidence"), F.round("support", 9).alias("support")
-    )
+    rows = labelled.filter("label is not null").select(F.coalesce(F.array_distinct("tokens"), F.array()).alias("tokens"), "label")
+    total = rows.count()
+    least = max(1, math.ceil(min_support * total - 1e-9))
+    frequent = rows.select(F.explode("tokens").alias("token"), "label").groupBy("token", "label").count().filter(F.col("count") >= least)
+    known = F.array(*map(F.lit, sorted(r.token for r in frequent.select("token").distinct().collect()))).cast("array<string>")
+    rows = store(rows.select(F.array_sort(F.array_intersect("tokens", known)).alias("tokens"), "label"), "frequent_sets")
+    if rows.filter(F.size("tokens") > GROWN_TOKENS).isEmpty():
+        items = rows.select(F.array_append("tokens", F.concat(F.lit(_LABEL), "label")).alias("items"))
+        model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
+        rules = model.associationRules.withColumn("label", F.element_at("consequent", 1)).filter(F.col("label").startswith(_LABEL))
+        rules = rules.filter((F.size("antecedent") <= max_tokens) & ~F.exists("antecedent", lambda x: x.startswith(_LABEL)))
+        rules = rules.select(F.array_sort("antecedent").alias("tokens"), F.substring("label", len(_LABEL) + 1, 100).alias("label"), "confidence", "support")
+    else:
+        rules = _counted_rules(rows, least, total, min_confidence, max_tokens)
+    rules = rules.withColumn("confidence", F.round("confidence", 9)).withColumn("support", F.round("support", 9))
     rules = store(rules.withColumn("rule_id", F.array_join("tokens", " ")), "rules")
     part = rules.select(F.col("tokens").alias("part"), F.col("label").alias("says"), F.col("confidence").alias("surely"), F.explode("tokens").alias("token"))
     whole = rules.select("rule_id", "label", "tokens", "confidence", F.explode("tokens").alias("token"))
@@ -73,6 +89,21 @@ def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confid
     return store(rules.join(said, ["rule_id", "label"], "left_anti"), "pruned_rules")
 
 
+def _counted_rules(rows: DataFrame, least: int, total: int, min_confidence: float, max_tokens: int) -> DataFrame:
+    """rows (tokens, label) -> tokens, label, confidence, support of all combinations of up to max_tokens that reach both bounds."""
+    rows = rows.groupBy("tokens", "label").agg(F.count(F.lit(1)).alias("n"))
+    grown = F.transform("tokens", lambda x: F.array(x))
+    parts = grown
+    for _ in range(max_tokens - 1):
+        # each combination goes on with the tokens after its last one
+        longer = F.flatten(F.transform(grown, lambda c: F.transform(F.filter("tokens", lambda x: x > F.element_at(c, -1)), lambda x: F.array_append(c, x))))
+        parts, grown = F.concat(parts, longer), longer
+    counts = rows.select(F.explode(parts).alias("tokens"), "label", "n").groupBy("tokens", "label").agg(F.sum("n").alias("n"))
+    whole = counts.groupBy("tokens").agg(F.sum("n").alias("all"), F.collect_list(F.struct("label", "n")).alias("by"))
+    rules = whole.select("tokens", "all", F.explode("by").alias("x")).select("tokens", "x.label", (F.col("x.n") / F.col("all")).alias("confidence"), (F.col("x.n") / total).alias("support"), "x.n")
+    return rules.filter((F.col("n") >= least) & (F.col("confidence") >= min_confidence)).drop("n")
+
+
 def match_rules(sets: DataFrame, rules: DataFrame) -> DataFrame:
     """sets (tokens) -> tokens, label of the surest rule whose tokens they all have; sets that fit none are left out.
 
@@ -111,8 +142,11 @@ def judge_urls(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES,
     mined = mine_rules(labels, **mining)
     known = sorted(r[0] for r in mined.select(F.explode("tokens")).distinct().collect())
     tokens = F.array_sort(F.array_intersect("all_tokens", F.array(*map(F.lit, known)) if known else F.array().cast("array<string>")))
-    decided = decided.withColumn("tokens", F.when(F.col("said").isNull(), tokens))
-    sets = decided.filter("tokens is not null").select("tokens").distinct()
-    verdicts = match_rules(sets, mined)
-    out = decided.join(verdicts, "tokens", "left")
-    return out.select("page_id", "host", "path", "rule", F.coalesce("said", "label", F.lit(DEFAULT)).alias("verdict"))
+    columns = ["page_id", "host", "path", "rule"]
+    others = decided.filter("said is null").select(*columns, tokens.alias("tokens"))
+    fits = others.filter(F.size("tokens") > 0)
+    verdicts = match_rules(fits.select("tokens").distinct(), mined)
+    judged = fits.join(verdicts, "tokens", "left").select(*columns, F.coalesce("label", F.lit(DEFAULT)).alias("verdict"))
+    # what a rule says, and what has no token of any rule, needs no join
+    plain = decided.filter("said is not null").select(*columns, F.col("said").alias("verdict"))
+    return plain.unionByName(others.filter(F.size("tokens") == 0).select(*columns, F.lit(DEFAULT).alias("verdict"))).unionByName(judged)
