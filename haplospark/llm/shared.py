@@ -19,16 +19,17 @@ def shared_folder(spark: SparkSession) -> str:
     """A new folder below the shared one, as a URI; it exists on return."""
     top = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
     if not top:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError(f"{SETTING} must name a folder that all executors share")
         top = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set(SETTING, top)
     return f"{top.rstrip('/')}/haplospark/{uuid.uuid4().hex}"
 
 
-def store(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+def store(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and return a scan of it."""
     path = f"{shared_folder(df.sparkSession)}/{name}"
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -40,18 +41,3 @@ def resolve(uri: str) -> tuple[pafs.FileSystem, str]:
     """File system and path of a URI, for tasks that read or write files of their own format."""
     return pafs.FileSystem.from_uri(uri)
 
-
-def write_file(uri: str, parts) -> int:
-    """Write byte strings one after another and return the number of bytes.
-
-    Callers give each task attempt a name of its own and record the names that count in a table that Spark commits, so a
-    repeated or speculative attempt leaves an unlisted file behind and never damages a listed one.
-    """
-    fs, path = resolve(uri)
-    fs.create_dir(path.rpartition("/")[0], recursive=True)
-    n = 0
-    with fs.open_output_stream(path, compression=None) as out:
-        for part in parts:
-            out.write(part)
-            n += len(part)
-    return n
