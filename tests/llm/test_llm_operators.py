@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from haplospark.llm import decontaminate, exact_dedup, mixing, ngram_join, passages, quality, queries, sharding, shingles, tokenfile, url_rules, warc
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, words string, row string"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, words string, row string, OF string, repeats int, label string, key long, keep string, id long"
 RNG = random.Random(7)
 VOCABULARY = ["".join(RNG.choice("abcdefghij") for _ in range(RNG.randint(2, 8))) for _ in range(4000)]
 
@@ -31,7 +31,7 @@ def edited(text, every, seed):
 
 def documents(spark, rows):
     """rows: (doc_id, text[, source]); with columns whose names operators use themselves."""
-    return spark.createDataFrame([(d, t, "en", (rest or ["s"])[0], len(t or ""), -1, "x", "y") for d, t, *rest in rows], DOCS)
+    return spark.createDataFrame([(d, t, "en", (rest or ["s"])[0], len(t or ""), -1, "x", "y", "of", 9, "label", 5, "no", 3) for d, t, *rest in rows], DOCS)
 
 
 @pytest.fixture(scope="module")
@@ -94,6 +94,12 @@ def test_mix_meets_targets_and_repeats(spark):
     assert applied.columns == docs.columns and applied.count() == mixed.agg(F.sum("repeats")).first()[0]
 
 
+def test_wordless_documents_of_a_capped_source_repeat_three_times(spark):
+    rows = [(i, prose(20, i) if i % 3 else " ", "a") for i in range(60)] + [(100 + i, prose(400, i), "b") for i in range(30)]
+    mixed = mixing.mix_sources(documents(spark, rows), weights=(9, 1)).collect()
+    assert max(r.repeats for r in mixed) == 3 and all(r.repeats == 3 and r.taken == 3 * r.size for r in mixed if r.source == "a")
+
+
 # token files
 
 
@@ -324,9 +330,95 @@ def test_all_fingerprints_within_the_radius_are_found():
         assert items.within(flipped).tolist() == brute.tolist()
 
 
+def brute_leaks(docs, items):
+    out = {}
+    for d, text in docs:
+        words = words_of(text)
+        for item, other in items:
+            want = words_of(other)
+            if not words or not want:
+                continue
+            bag = lambda w: collections.Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+            size = min(len(want), len(words))
+            for s in range(len(words) - size + 1):
+                x, y = bag(words[s : s + size]), bag(want)
+                both = sum((x & y).values())
+                like = both / (x.total() + y.total() - both)
+                if like >= 0.8 and like > out.get((d, item), (0, 0))[0]:
+                    out[d, item] = like, s
+    return out
+
+
+def test_leaks_equal_sliding_windows(spark):
+    r = random.Random(21)
+    items = [(i, prose(r.choice([3, 6, 25, 40, 60]), 4000 + i)) for i in range(25)] + [(100, "to be or not to be " * 6)]
+    docs = []
+    for d in range(120):
+        item = r.choice(items)[1].split(" ")
+        for _ in range(r.randint(0, 4)):
+            item[r.randrange(len(item))] = r.choice(VOCABULARY)
+        docs.append((d, " ".join([prose(r.randint(0, 60), 5000 + d), *item, prose(r.randint(0, 60), 6000 + d)])))
+    docs.append((500, prose(30_000, 3) + " " + items[0][1] + " " + prose(3_000, 4)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id): (x.similarity, x.first_word) for x in decontaminate.find_leaks(documents(spark, docs), bench).collect()}
+    want = brute_leaks(docs, items)
+    assert len(want) > 25 and {k: (pytest.approx(v[0]), v[1]) for k, v in want.items()} == got
+
+
 # passages
 
 
+def brute_passages(one, two, least=50, identity=0.8):
+    """Whether two lists of words share a passage: every longest common subsequence of windows that begin and end with equal words."""
+    ids = {w: i for i, w in enumerate({*one, *two})}
+    a, b = (np.array([ids[w] for w in x]) for x in (one, two))
+    for s in range(len(a) - least + 1):
+        for t in np.flatnonzero(b[: len(b) - least + 1] == a[s]).tolist():
+            x, y = a[s : s + 70], b[t : t + 70]
+            table = np.zeros((len(x) + 1, len(y) + 1), int)
+            for i, w in enumerate(x):
+                table[i + 1, 1:] = np.maximum.accumulate(np.maximum(table[i, :-1] + (y == w), table[i, 1:]))
+            n, m = np.meshgrid(np.arange(least, len(x) + 1), np.arange(least, len(y) + 1), indexing="ij")
+            if (table[least:, least:] >= identity * np.maximum(n, m)).any():
+                return True
+    return False
+
+
+@pytest.mark.parametrize("identity", [1, 0.96, 0.9, 0.86, 0.82])
+def test_passages_beside_brute_alignment(spark, identity):
+    r = random.Random(int(100 * identity))
+    rows, found = [], set()
+    for k in range(24):
+        whole = [f"{w}{k}" for w in prose(r.randint(51, 60), 9000 + k).split(" ")]
+        other = list(whole)
+        for i in sorted(r.sample(range(len(whole)), round((1 - identity) * len(whole))), reverse=True):
+            other[i : i + 1] = r.choice([[], ["changed"], [other[i], "added"]])
+        texts = [[*prose(r.randint(0, 70), 20_000 + 2 * k + n).split(), *words, *prose(r.randint(0, 70), 30_000 + 2 * k + n).split()] for n, words in enumerate((whole, other))]
+        rows += [(2 * k + n, " ".join(t)) for n, t in enumerate(texts)]
+        if brute_passages(*texts):
+            found.add((2 * k, 2 * k + 1))
+    got = {(x.doc_id, x.other_id) for x in passages.repeated_passages(documents(spark, rows)).collect()}
+    assert {(b, a) for a, b in got} == got
+    assert len(found) > 12 and len(got & found) >= 0.95 * len(found)
+    assert {p for p in got if p[0] < p[1]} <= found
+
+
+def test_copies_and_long_texts_have_passages(spark):
+    text, long = prose(80, 90), prose(30_000, 91)
+    rows = [(5, text), (3, text.upper().replace(" ", "\n")), (9, text), (1, prose(60, 92)), (20, long), (21, prose(100, 93) + " " + long), (None, text)]
+    out = {(r.doc_id, r.other_id): (r.first_word, r.n_words, r.other_first_word, r.identity) for r in passages.repeated_passages(documents(spark, rows)).collect()}
+    assert out == {(3, 9): (0, 80, 0, 1.0), (5, 3): (0, 80, 0, 1.0), (9, 3): (0, 80, 0, 1.0), (20, 21): (0, 30_000, 100, 1.0), (21, 20): (100, 30_000, 0, 1.0)}
+
+
+def test_many_hot_seeds_meet_in_a_join(spark, monkeypatch):
+    whole = prose(60, 94)
+    rows = [(d, prose(60, 40_000 + d) + " " + whole) for d in range(50)] + [(100 + d, prose(60, 41_000 + d) + " " + " ".join(whole.split(" ")[:20])) for d in range(50)]
+    own = lambda: {(r.doc_id, r.first_word, r.n_words) for r in passages.repeated_passages(documents(spark, rows)).collect()}
+    few = own()
+    monkeypatch.setattr(passages, "HOT_BYTES", 0)
+    assert {d for d, *_ in few} == set(range(50)) and own() == few
+
+
 def test_passages(spark, nothing):
     shared, short = prose(70, 50), prose(30, 51)
     rows = [(1, prose(100, 60) + " " + shared + " " + prose(90, 61)), (2, shared + " " + prose(200, 62)), (3, prose(150, 63) + " " + edited(shared, 25, 5)), (4, prose(300, 64) + " " + short), (5, short + " " + prose(300, 65))]
@@ -423,6 +515,47 @@ def test_mined_rules_equal_brute_force(spark):
     assert {(tuple(x.tokens), x.label): x.confidence for x in mined.collect()} == pruned
 
 
+def test_long_queries_are_mined_in_bounded_time(spark):
+    r = random.Random(6)
+    keys = [f"key:{k:02d}" for k in range(30)]
+    rows = [(keys + ["tld:com"], "block" if i % 10 else "allow") for i in range(60)] + [(r.sample(keys, 2) + ["tld:net"], "allow") for _ in range(200)]
+    mined = url_rules.mine_rules(spark.createDataFrame(rows, "tokens array<string>, label string"))
+    rules = {(tuple(x.tokens), x.label): x.confidence for x in mined.collect()}
+    assert rules[("tld:com",), "block"] == 0.9 and rules[("tld:net",), "allow"] == 1.0 and max(len(t) for t, _ in rules) == 3
+
+
+def test_both_ways_of_mining_agree(spark, monkeypatch):
+    r = random.Random(8)
+    rows = [(sorted(r.sample("abcdefg", r.randint(0, 5))), r.choice(["block", "block", "allow"])) for _ in range(300)] + [(None, "block"), (["a"], None)]
+    own = lambda: sorted((tuple(x.tokens), x.label, x.confidence, x.support) for x in url_rules.mine_rules(spark.createDataFrame(rows, "tokens array<string>, label string"), 0.02, 0.6, 3).collect())
+    grown = own()
+    monkeypatch.setattr(url_rules, "GROWN_TOKENS", 0)
+    assert grown and own() == grown
+
+
+def test_verdicts_equal_brute_force(spark):
+    r = random.Random(9)
+    hosts = ["a.net", "example.net", "x.org", "www.example.com", "shop.com", "blog.com"]
+    urls = [f"http://{r.choice(hosts)}/{r.choice(['en', 'de', 'fr', 'ads'])}/{r.choice(['p', 'q'])}{i % 7}?{r.choice(['id', 'ref', 'utm'])}={i}" for i in range(400)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labelled = spark.createDataFrame([(u, "block" if "/ads/" in u and i % 9 or "utm" in u else "allow") for i, u in enumerate(urls[:300])], "url string, label string")
+    tokens = F.col("tokens")
+    parts = lambda df: df.select("*", url_rules.url_tokens(F.col("url"), url_rules.host_of(F.col("url")), url_rules.path_of(F.col("url"))).alias("tokens"))
+    mined = url_rules.mine_rules(parts(labelled).select(tokens, "label")).collect()
+    of = {x.page_id: set(x.tokens) for x in parts(pages).collect()}
+
+    def verdict(i, url):
+        host, path = re.match(r"http://([^/]*)([^?]*)", url).groups()
+        fit = [(len(h + p), v) for v, h, p in url_rules.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        if fit:
+            return max(fit)[1]
+        fits = [(-m.confidence, -len(m.tokens), -m.support, m.label, m.rule_id) for m in mined if set(m.tokens) <= of[i]]
+        return min(fits)[3] if fits else "allow"
+
+    got = {x.page_id: x.verdict for x in url_rules.judge_urls(pages, labelled).collect()}
+    assert got == {i: verdict(i, u) for i, u in enumerate(urls)} and "block" in got.values()
+
+
 # quality
 
 
@@ -438,6 +571,36 @@ def test_quality_on_held_out_rows(spark):
     assert kept.columns == docs.columns and kept.count() < 650
 
 
+def test_a_fitted_model_scores_awkward_rows(spark, awkward, nothing):
+    rows = [(i, prose(40, i) if i % 2 else "!!! BUY " * 30, "s" if i % 2 else None) for i in range(1000, 1200)]
+    docs = awkward.unionByName(documents(spark, rows))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1000, 1150)] + [(4, None), (5, 0), (5, 0)], "doc_id long, quality int")
+    out = quality.score_quality(docs, labels).collect()
+    assert len(out) == docs.count() and all(0 <= x.quality_score <= 1 and x.keep == (x.quality_score >= 0.5) for x in out)
+    assert len({(x.doc_id, x.quality_score) for x in out if x.doc_id in (1, 2)}) == 2
+    assert np.mean([x.keep == x.doc_id % 2 for x in out if x.doc_id and x.doc_id >= 1150]) > 0.95
+    kept = quality.keep_quality(docs, labels)
+    assert kept.columns == docs.columns and sorted(x.doc_id or 0 for x in kept.collect()) == sorted(x.doc_id or 0 for x in out if x.keep)
+    assert quality.score_quality(nothing, labels).isEmpty() and quality.keep_quality(nothing, labels).isEmpty()
+
+
+def test_features_are_those_of_plain_python():
+    import pyarrow as pa
+
+    texts = ["Ab cd ab\n\nÉé x", None, "", "one", "Z" * 5000]
+    f = quality.Features(pa.array(texts), [("source", pa.array(["a", None, "a", "b", "a"]))])
+    for i, t in enumerate(texts):
+        t = t or ""
+        words = re.findall(r"[^\x20\x09-\x0D]+", t.lower() if t.isascii() else re.sub("[A-Z]", lambda m: m[0].lower(), t))
+        n, c = max(1, len(words)), max(1, len(t))
+        assert f.text_shape[i] == pytest.approx([sum(x.isalpha() for x in t) / c, sum("A" <= x <= "Z" for x in t) / c, len(set(words)) / n, c / n])
+        assert f.meta_shape[i] == pytest.approx([np.log1p(c), np.log1p(t.count("\n") + 1), c / (t.count("\n") + 1)])
+    r = np.random.default_rng(1)
+    text, meta = r.normal(size=quality.SIZES["text"] + 1), r.normal(size=quality.SIZES["meta"] + 1)
+    for (i, x, j, y), one, two in zip(f.rows(), *f.margins(text, meta), strict=True):
+        assert one == pytest.approx(text[i] @ np.array(x) + text[-1]) and two == pytest.approx(meta[j] @ np.array(y) + meta[-1])
+
+
 def test_quality_without_classes(spark, awkward, nothing):
     labels = spark.createDataFrame([(1, 1), (3, 1), (None, 0)], "doc_id long, quality int")
     out = quality.score_quality(awkward, labels).collect()
