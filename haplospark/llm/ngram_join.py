@@ -34,6 +34,7 @@ LONG_LIST = 64
 #: Families are compared in blocks of about so many shingles.
 BLOCK_TOKENS = 1 << 21
 FILTER_BITS = 23
+SALTS = 64
 
 _PROFILE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("part", pa.int32()), ("counts", pa.binary())])
 PROFILE = "doc_id long, n long, key long, part int, counts binary"
@@ -110,9 +111,9 @@ def prefix_length(n: int) -> int:
     return n - -(-ABOVE * n // OF) + 1
 
 
-def pack(keys, sizes, lengths, tokens, at) -> bytes:
+def pack(keys, sizes, lengths, tokens, at, hot) -> bytes:
     head = struct.pack("<II", len(keys), len(tokens))
-    parts = [np.asarray(keys, "<i8"), np.asarray(sizes, "<u4"), np.asarray(lengths, "<u4"), np.asarray(tokens, "<u8"), np.asarray(at, "<u4")]
+    parts = [np.asarray(keys, "<i8"), np.asarray(sizes, "<u4"), np.asarray(lengths, "<u4"), np.asarray(tokens, "<u8"), np.asarray(at, "<u4"), np.asarray(hot, "u1")]
     return zstandard.ZstdCompressor(level=1).compress(head + b"".join(p.tobytes() for p in parts))
 
 
@@ -120,16 +121,18 @@ def unpack(data: bytes) -> tuple[np.ndarray, ...]:
     raw = zstandard.ZstdDecompressor().decompress(data)
     docs, tokens = struct.unpack_from("<II", raw)
     out, begin = [], 8
-    for kind, n in (("<i8", docs), ("<u4", docs), ("<u4", docs), ("<u8", tokens), ("<u4", tokens)):
+    for kind, n in (("<i8", docs), ("<u4", docs), ("<u4", docs), ("<u8", tokens), ("<u4", tokens), ("u1", tokens)):
         out.append(np.frombuffer(raw, kind, n, begin))
         begin += out[-1].nbytes
     return tuple(out)
 
 
 def prefixes(docs: DataFrame, counts, buckets: int) -> DataFrame:
-    """docs (text) -> bucket, sets: many sets' prefixes, those of their shingles that belong to the bucket.
+    """docs (text) -> bucket, sets, a, b: many sets' prefixes, those of their shingles that belong to the bucket; or a family.
 
-    counts: a broadcast variable with the table of counts. A set that a task has seen is left out: its copies add nothing.
+    counts: a broadcast variable with the table of counts. A set that a task has seen is left out: its copies add nothing. Of
+    a shingle that more than LONG_LIST sets of a task share, only the set with the least key goes to the bucket; the others
+    are told to be its family here (a, b). So a shingle of a third of all sets gives its bucket a row per task.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,18 +145,23 @@ def prefixes(docs: DataFrame, counts, buckets: int) -> DataFrame:
             doc = np.repeat(np.arange(len(held)), lengths)
             at = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
             tokens = np.concatenate([t for *_, t in held])
+            keys = np.array([h[0] for h in held], np.int64)
+            doc, at, tokens, hot, members, heads = _without_long_lists(doc, at, tokens, keys)
+            spread = (mix(members.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(spread), pa.nulls(len(members), pa.binary()), pa.array(heads), pa.array(members)], names=names_of)
             bucket = ((mix(tokens ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            doc, at, tokens, bucket = doc[order], at[order], tokens[order], bucket[order]
-            keys, sizes = (np.array([h[k] for h in held], np.int64) for k in range(2))
+            doc, at, tokens, bucket, hot = doc[order], at[order], tokens[order], bucket[order], hot[order]
+            sizes = np.array([h[1] for h in held], np.int64)
             edges = np.searchsorted(bucket, np.arange(buckets + 1))
             names, rows = [], []
             for b in np.flatnonzero(np.diff(edges)):
                 part = slice(edges[b], edges[b + 1])
                 own, counted = np.unique(doc[part], return_counts=True)
                 names.append(int(b))
-                rows.append(pack(keys[own], sizes[own], counted, tokens[part], at[part]))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(rows, pa.binary())], names=["bucket", "sets"])
+                rows.append(pack(keys[own], sizes[own], counted, tokens[part], at[part], hot[part]))
+            none = pa.nulls(len(rows), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(rows, pa.binary()), none, none], names=names_of)
 
         for batch in batches:
             for _, grams in shingle_sets(batch.column(0)):
@@ -170,7 +178,30 @@ def prefixes(docs: DataFrame, counts, buckets: int) -> DataFrame:
         if held:
             yield from flush()
 
-    return docs.select("text").mapInArrow(scan, "bucket int, sets binary")
+    names_of = ["bucket", "sets", "a", "b"]
+    return docs.select("text").mapInArrow(scan, "bucket int, sets binary, a long, b long")
+
+
+def _without_long_lists(doc: np.ndarray, at: np.ndarray, tokens: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Tokens of sets (doc, place, token) without all but the least set of long lists, which token is one of those, and
+    (key, least key) of the sets of a long list, in each family once."""
+    order = np.lexsort((keys[doc], tokens))
+    begin = np.flatnonzero(np.concatenate(([True], tokens[order][1:] != tokens[order][:-1])))
+    count = np.diff(np.append(begin, len(order)))
+    long = np.repeat(count > LONG_LIST, count)
+    first = np.zeros(len(order), bool)
+    first[begin] = True
+    head = np.repeat(doc[order][begin], count)
+    family: dict[int, int] = {}
+    for x, y in set(zip(head[long & ~first].tolist(), doc[order][long & ~first].tolist(), strict=True)):
+        x, y = _root(family, x), _root(family, y)
+        if x != y:
+            family[y if keys[x] < keys[y] else x] = x if keys[x] < keys[y] else y
+    rows = np.array([(keys[x], keys[_root(family, x)]) for x in family], np.int64).reshape(-1, 2)
+    stay = np.sort(order[first | ~long])
+    hot = np.zeros(len(order), bool)
+    hot[order[long]] = True
+    return doc[stay], at[stay], tokens[stay], hot[stay], rows[:, 0], rows[:, 1]
 
 
 class Bucket:
@@ -178,7 +209,8 @@ class Bucket:
 
     def __init__(self, packed: list[bytes]):
         parts = [unpack(p) for p in packed]
-        keys, sizes, lengths, tokens, at = (np.concatenate([p[k] for p in parts]) for k in range(5))
+        keys, sizes, lengths, tokens, at, hot = (np.concatenate([p[k] for p in parts]) for k in range(6))
+        self.hot = set(tokens[hot > 0].tolist())
         self.keys, first, doc = np.unique(keys, return_index=True, return_inverse=True)
         use = np.zeros(len(keys), bool)
         use[first] = True
@@ -221,12 +253,12 @@ class Bucket:
         """
         found: set[tuple[int, int]] = set()
         family: dict[int, int] = {}
-        for nodes in self.nodes.values():
-            if len(nodes) == 1 and (nodes[0][0] > 0 or nodes[0][2] - nodes[0][1] < 2):
+        for token, nodes in self.nodes.items():
+            if len(nodes) == 1 and (nodes[0][0] > 0 and token not in self.hot or nodes[0][2] - nodes[0][1] < 2):
                 continue
             leaves = np.concatenate([np.arange(s, e) for _, s, e in nodes])
             sets = self.leaves[leaves]
-            if len(sets) > LONG_LIST:
+            if len(sets) > LONG_LIST or token in self.hot:
                 roots = {_root(family, x) for x in sets.tolist()}
                 for r in roots:
                     family[r] = min(roots)
@@ -258,7 +290,7 @@ def _root(parent: dict[int, int], x: int) -> int:
 
 
 def candidates(packed: DataFrame, buckets: int) -> DataFrame:
-    """packed (bucket, sets) -> a, b, family: pairs of keys to compare in full, or (family) a set and the least of its family.
+    """packed (bucket, sets, a, b) -> a, b, family: pairs of keys to compare in full, or (family) a set and the least of its family.
 
     A long list is never paired: its members are only told to be one family, a row each, and families are compared by
     compare_families(), so a large group of near copies gives as many rows as it has members.
@@ -277,6 +309,9 @@ def candidates(packed: DataFrame, buckets: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array([together] * len(a), pa.bool_())], names=["a", "b", "family"])
 
         for batch in batches:
+            told = batch.filter(batch.column(1).is_null())
+            yield pa.RecordBatch.from_arrays([told.column(2), told.column(3), pa.array([True] * len(told), pa.bool_())], names=["a", "b", "family"])
+            batch = batch.filter(batch.column(1).is_valid())
             for bucket, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if bucket != name and held:
                     yield from pairs()
@@ -401,7 +436,9 @@ def compare_families(members: DataFrame, docs: DataFrame, counts) -> DataFrame:
     parts = sized.groupBy("root", "level").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("parts"))
     near = lambda d, name: parts.select("root", (F.col("level") + d).alias("level"), F.col("parts").alias(name))
     plan = parts.join(whole, "root").join(near(1, "below"), ["root", "level"], "left").join(near(-1, "above"), ["root", "level"], "left")
-    sized = sized.join(plan, ["root", "level"])
+    # a family can hold a third of all sets: its rows meet the plan in SALTS pieces
+    plan = plan.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    sized = sized.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(plan, ["root", "level", "salt"]).drop("salt")
     part = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
     up_to = lambda n: F.sequence(F.lit(0), n - 1)
     block = lambda low, p, q, side: F.struct(low.alias("low"), p.alias("p"), q.alias("q"), F.lit(side).alias("side"))
