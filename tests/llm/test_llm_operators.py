@@ -215,6 +215,14 @@ def test_components_equal_brute_force(spark, monkeypatch, copies, block):
     assert got == brute_components(rows)
 
 
+def test_lists_that_are_long_in_some_tasks_only(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "LONG_LIST", 3)
+    rows = families(3, 30)
+    for parts in (1, 5):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar_groups(documents(spark, rows).repartition(parts)).collect()}
+        assert got == brute_components(rows)
+
+
 def test_similar_groups_edges(awkward, nothing):
     out = {(r.doc_id, r.n_shingles): r.component_id for r in ngram_join.similar_groups(awkward).collect()}
     assert out[4, 0] == 4 and out[6, 0] == 6 and out[8, 1] == 7 and out[3, len(shingle_set(edited(prose(300, 1), 60, 3)))] == 1
