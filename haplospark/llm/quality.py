@@ -26,6 +26,8 @@ THRESHOLD = 0.5
 MAX_ITER = 25
 #: Shares of letters and of capitals, of distinct words, and characters per word; logarithms of characters and lines, characters per line.
 TEXT_SHAPE, META_SHAPE = 4, 3
+#: Rows whose features a task holds at a time.
+ROWS_AT_A_TIME = 256
 SIZES = {"text": (1 << WORD_BITS) + TEXT_SHAPE, "meta": (1 << META_BITS) + META_SHAPE}
 _KINDS = np.zeros(256, np.uint8)  # 1: begins a character, 2: letter, 4: capital, 8: line feed
 _KINDS[[b for b in range(256) if b & 0xC0 != 0x80]] += 1
@@ -91,10 +93,17 @@ class Features:
 
 
 def _reader(docs: DataFrame):
-    """A function that gives the Features of an Arrow batch with the columns of docs."""
+    """A function that gives pieces of Arrow batches with the columns of docs, and their Features."""
     at = {c.lower(): i for i, c in enumerate(docs.columns)}
     text, meta = at["text"], [(c, at[c]) for c in ("source", "lang") if c in at]
-    return lambda batch: Features(batch.column(text), [(c, batch.column(i)) for c, i in meta])
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Features]]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_AT_A_TIME):
+                part = batch.slice(at, ROWS_AT_A_TIME)
+                yield part, Features(part.column(text), [(c, part.column(i)) for c, i in meta])
+
+    return pieces
 
 
 def _needed(docs: DataFrame) -> DataFrame:
@@ -107,8 +116,8 @@ def featurise(docs: DataFrame) -> DataFrame:
     features = _reader(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = list(zip(*features(batch).rows(), strict=True)) or [()] * 4
+        for batch, own in features(batches):
+            columns = list(zip(*own.rows(), strict=True)) or [()] * 4
             kinds = (pa.list_(pa.int32()), pa.list_(pa.float64())) * 2
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["doc_id", "i", "x", "j", "y"])
 
@@ -147,8 +156,8 @@ def _margins(docs: DataFrame, text: np.ndarray, meta: np.ndarray) -> DataFrame:
     features = _reader(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, features(batch).margins(*told.value))], names=["doc_id", "text_margin", "meta_margin"])
+        for batch, own in features(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, own.margins(*told.value))], names=["doc_id", "text_margin", "meta_margin"])
 
     return docs.mapInArrow(run, "doc_id long, text_margin double, meta_margin double")
 
@@ -235,8 +244,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     told, features = docs.sparkSession.sparkContext.broadcast(model), _reader(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores = told.value.probabilities(features(batch))
+        for batch, own in features(batches):
+            scores = told.value.probabilities(own)
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, scores), pa.array(scores[2] >= threshold)], names=["doc_id", "text_score", "meta_score", "quality_score", "keep"])
 
     return docs.mapInArrow(run, "doc_id long, text_score double, meta_score double, quality_score double, keep boolean")
@@ -250,7 +259,7 @@ def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOL
     told, features = docs.sparkSession.sparkContext.broadcast(model), _reader(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(told.value.probabilities(features(batch))[2] >= threshold))
+        for batch, own in features(batches):
+            yield batch.filter(pa.array(told.value.probabilities(own)[2] >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
