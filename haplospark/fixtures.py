@@ -65,15 +65,22 @@ def genotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Half-open intervals in five names."""
-    o = table(spark, sf_dir, "orders").filter("o_orderkey % 50 = 0")
-    start = ((F.col("o_custkey") * 37) % 180).cast("int")
-    return o.select(F.col("o_orderpriority").alias("name"), start.alias("start"), (start + 1 + F.col("o_orderkey") % 20).cast("int").alias("end"), F.col("o_orderkey").alias("interval_id"))
+    """Half-open intervals: one per order, under the name of its customer."""
+    o = table(spark, sf_dir, "orders")
+    start = ((F.col("o_orderkey") * 37) % 180).cast("int")
+    return o.select(F.concat(F.lit("c-"), F.col("o_custkey").cast("string")).alias("name"), start.alias("start"), (start + 1 + F.col("o_orderkey") % 20).cast("int").alias("end"), F.col("o_orderkey").alias("interval_id"))
+
+
+def mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half-open intervals of the positions that have less than the mean depth over all samples."""
+    total = depth(spark, sf_dir).groupBy("pos").agg(F.sum("depth").alias("total"))
+    mean = total.agg(F.avg("total").alias("mean"))
+    return total.join(F.broadcast(mean)).filter("total < mean").select(F.col("pos").alias("start"), (F.col("pos") + 1).alias("end"))
 
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alignment hits, 1-based inclusive; a third of them on the reverse strand (subject end before start)."""
-    o = table(spark, sf_dir, "orders").filter("o_orderkey % 20 = 0")
+    o = table(spark, sf_dir, "orders")
     q = (1 + (F.col("o_custkey") * 37) % 900).cast("int")
     e = (q + 9 + F.col("o_orderkey") % 90).cast("int")
     swap = F.col("o_orderkey") % 3 == 0
@@ -108,16 +115,17 @@ CTES = {
     "genotypes": """SELECT contig, sample_id, popcode, pos, ref, alt, base, gt, depth AS dp, (sample_id * 7 + pos * 3) % 60 AS gq, (20 + pos % 30)::DOUBLE AS qual,
         [depth - coalesce(gt, 0) * (depth // 2), coalesce(gt, 0) * (depth // 2)] AS ad, [0, depth * 3, depth * 10] AS pl
         FROM (SELECT *, substr('ACGT', 1 + (pos * 7 + 4) % 4, 1) AS alt, CASE WHEN base = ref THEN 0 WHEN base = substr('ACGT', 1 + (pos * 7 + 4) % 4, 1) THEN 1 END AS gt FROM calls)""",
-    "intervals": "SELECT o_orderpriority AS name, ((o_custkey * 37) % 180)::INT AS start, ((o_custkey * 37) % 180 + 1 + o_orderkey % 20)::INT AS \"end\", o_orderkey AS interval_id FROM orders WHERE o_orderkey % 50 = 0",
+    "intervals": "SELECT 'c-' || o_custkey AS name, ((o_orderkey * 37) % 180)::INT AS start, ((o_orderkey * 37) % 180 + 1 + o_orderkey % 20)::INT AS \"end\", o_orderkey AS interval_id FROM orders",
+    "mask": "SELECT pos AS start, pos + 1 AS \"end\" FROM (SELECT pos, sum(depth) AS total FROM depth GROUP BY pos) WHERE total < (SELECT sum(depth)::DOUBLE / 200 FROM depth)",
     "hits": """SELECT o_orderkey AS hit_no, o_orderpriority AS query, o_orderstatus AS subject, 80 + (o_orderkey % 200) / 10 AS identity, 10 + (o_orderkey % 90)::INT AS length,
         (1 + (o_custkey * 37) % 900)::INT AS qstart, (10 + (o_custkey * 37) % 900 + o_orderkey % 90)::INT AS qend,
         (CASE WHEN o_orderkey % 3 = 0 THEN 10 + (o_custkey * 37) % 900 + o_orderkey % 90 ELSE 1 + (o_custkey * 37) % 900 END)::INT AS sstart,
         (CASE WHEN o_orderkey % 3 = 0 THEN 1 + (o_custkey * 37) % 900 ELSE 10 + (o_custkey * 37) % 900 + o_orderkey % 90 END)::INT AS send,
-        (o_orderkey % 1000)::DOUBLE AS bitscore, 1000 AS qlen, 1000 AS slen FROM orders WHERE o_orderkey % 20 = 0""",
+        (o_orderkey % 1000)::DOUBLE AS bitscore, 1000 AS qlen, 1000 AS slen FROM orders""",
     "manifest_a": "SELECT source || '/' || doc_id AS path, n_chars AS size_bytes, md5(coalesce(text, '')) AS digest FROM documents",
     "manifest_b": "SELECT source || '/' || doc_id AS path, n_chars AS size_bytes, CASE WHEN doc_id % 23 = 0 THEN md5('changed') ELSE md5(coalesce(text, '')) END AS digest FROM documents WHERE doc_id % 17 <> 0",
 }
-_NEEDS = {"reference": ["positions"], "depth": ["samples", "positions"], "calls": ["depth"], "genotypes": ["calls"]}
+_NEEDS = {"mask": ["depth"], "reference": ["positions"], "depth": ["samples", "positions"], "calls": ["depth"], "genotypes": ["calls"]}
 
 
 def with_ctes(sql: str, *names: str) -> str:

@@ -83,11 +83,12 @@ def tip_alignment(one: DataFrame, two: DataFrame, identical: DataFrame) -> DataF
     return out.withColumn("representative", F.coalesce("representative", "tip"))
 
 
-EDGES = "tree_id string, node int, parent int, length double, label string, is_tip boolean"
+EDGES = "tree_id string, node int, parent int, length double, label string, is_tip boolean, first_tip int, last_tip int"
 
 
 def newick_edges(trees: DataFrame) -> DataFrame:
-    """(tree_id, newick) -> an edge per node: its parent (NULL at the root), branch length, label, and whether it is a tip.
+    """(tree_id, newick) -> an edge per node: its parent (NULL at the root), branch length, label, whether it is a tip, and the
+    numbers of the first and the last tip below it, from left to right.
 
     Trees are parsed in batches, one left-to-right pass each; quotes and comments aren't part of the format here.
     """
@@ -120,31 +121,32 @@ def newick_edges(trees: DataFrame) -> DataFrame:
                 label, _, length = t.partition(":")
                 out[at][3] = label or None
                 out[at][2] = float(length) if length else None
+        number = 0
+        for node in out:
+            node += [number, number] if node[4] else [len(out), -1]
+            number += node[4]
+        for _, parent, *_, first, last in reversed(out):  # a parent comes before what is below it
+            if parent is not None:
+                out[parent][5:] = [min(out[parent][5], first), max(out[parent][6], last)]
         return out
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [[tree, *n] for tree, text in zip(batch["tree_id"], batch["newick"], strict=True) if text for n in nodes(text)]
-            out = pd.DataFrame(rows, columns=["tree_id", "node", "parent", "length", "label", "is_tip"])
-            yield out.astype({"node": "int32", "parent": "Int32", "length": "float64", "is_tip": "bool"})
+            out = pd.DataFrame(rows, columns=["tree_id", "node", "parent", "length", "label", "is_tip", "first_tip", "last_tip"])
+            yield out.astype({"node": "int32", "parent": "Int32", "length": "float64", "is_tip": "bool", "first_tip": "int32", "last_tip": "int32"})
 
     return trees.select(F.col("tree_id").cast("string").alias("tree_id"), "newick").mapInPandas(parse, EDGES)
 
 
-def edge_splits(edges: DataFrame, depth: int = 64) -> DataFrame:
+def edge_splits(edges: DataFrame) -> DataFrame:
     """Edges -> splits: an inner edge's tips, on the canonical side, with the label as support; trivial ones are left out.
 
-    Tips climb to all their ancestors by pointer doubling: each round doubles the reach, so rounds go with the logarithm of
-    the depth.
+    A node's tips are those numbered from its first to its last one, so they come from one join, whatever the tree's depth.
     """
-    up = edges.filter("parent is not null").select("tree_id", "node", F.col("parent").alias("above"))
-    reach, step = up, 1
-    while step < depth:
-        further = reach.select("tree_id", F.col("node").alias("above"), F.col("above").alias("top"))
-        reach = reach.unionByName(reach.join(further, ["tree_id", "above"]).select("tree_id", "node", F.col("top").alias("above"))).distinct()
-        step *= 2
-    tips = edges.filter("is_tip").select("tree_id", "node", F.col("label").alias("tip"))
-    below = tips.join(reach, ["tree_id", "node"]).groupBy("tree_id", F.col("above").alias("node")).agg(F.array_sort(F.collect_set("tip")).alias("members"))
+    tips = edges.filter("is_tip").select("tree_id", F.col("first_tip").alias("number"), F.col("label").alias("tip"))
+    own = edges.filter("not is_tip and parent is not null").select("tree_id", "node", F.explode(F.sequence("first_tip", "last_tip")).alias("number"))
+    below = own.join(tips, ["tree_id", "number"]).groupBy("tree_id", "node").agg(F.array_sort(F.collect_set("tip")).alias("members"))
     taxa = tips.groupBy("tree_id").agg(F.array_sort(F.collect_set("tip")).alias("taxa"))
     inner = edges.filter("not is_tip and parent is not null").select("tree_id", "node", "length", support_of(F.col("label")).alias("s"))
     out = inner.join(below, ["tree_id", "node"]).join(taxa, "tree_id")

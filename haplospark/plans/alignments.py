@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from ..catalog import query
 from ..fixtures import with_ctes
+from ..functions.columns import is_callable
 from ..operators import calls as ops
 from ..operators import distance
 
@@ -125,3 +126,8 @@ def dq1_distance_errors(spark, sf_dir):
     d = d.withColumn("differences", F.when((F.col("sample_1") + F.col("sample_2")) % 50 == 0, F.col("sites_compared") + 1).otherwise(F.col("differences")))
     d = d.withColumn("p_distance", F.try_divide(F.col("differences").cast("double"), F.col("sites_compared").cast("double")))
     return distance.distance_errors(d)
+
+
+@query(with_ctes("SELECT contig, sample_id, pos, base IN ('A', 'C', 'G', 'T') AS callable FROM calls", "calls"))
+def prj6_is_callable(spark, sf_dir):
+    return fx.calls(spark, sf_dir).select("contig", "sample_id", "pos", is_callable(F.col("base")).alias("callable"))

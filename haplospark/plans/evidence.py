@@ -29,24 +29,23 @@ def win1_covered_bases(spark, sf_dir):
     return iv.covered_bases(fx.intervals(spark, sf_dir), "name")
 
 
-@query(with_ctes(f""", thin AS (SELECT * FROM intervals WHERE interval_id % 300 = 0), {merged_sql('thin', 'name')}, gaps AS (SELECT k AS name, coalesce(lag("end") OVER (PARTITION BY k ORDER BY start), 0) AS start, start AS "end" FROM merged
+@query(with_ctes(f""", {merged_sql('intervals', 'name')}, gaps AS (SELECT k AS name, coalesce(lag("end") OVER (PARTITION BY k ORDER BY start), 0) AS start, start AS "end" FROM merged
   UNION ALL SELECT k, max("end"), 200 FROM merged GROUP BY k) SELECT name, start::INT AS start, "end"::INT AS "end" FROM gaps WHERE start < "end" """, "intervals"))
 def prj9_complement_intervals(spark, sf_dir):
-    return iv.complement_intervals(fx.intervals(spark, sf_dir).filter("interval_id % 300 = 0"), fx.LENGTH, "name")
+    return iv.complement_intervals(fx.intervals(spark, sf_dir), fx.LENGTH, "name")
 
 
-@query(with_ctes(f""", mask AS (SELECT 1 AS one, start, "end" FROM intervals WHERE interval_id % 450 = 0), {merged_sql('mask', 'one')},
+@query(with_ctes(f""", one AS (SELECT 1 AS one, start, "end" FROM mask), {merged_sql('one', 'one')},
   o AS (SELECT i.interval_id, i.start, i."end", coalesce(sum(least(i."end", m."end") - greatest(i.start, m.start)) FILTER (WHERE i.start < m."end" AND m.start < i."end"), 0)::BIGINT AS overlap FROM intervals i CROSS JOIN merged m GROUP BY ALL)
-  SELECT interval_id, start, "end", overlap, round(overlap::DOUBLE / ("end" - start), 9) AS fraction, CASE WHEN overlap = 0 THEN 'none' WHEN overlap = "end" - start THEN 'full' ELSE 'partial' END AS "class" FROM o""", "intervals"))
+  SELECT interval_id, start, "end", overlap, round(overlap::DOUBLE / ("end" - start), 9) AS fraction, CASE WHEN overlap = 0 THEN 'none' WHEN overlap = "end" - start THEN 'full' ELSE 'partial' END AS "class" FROM o""", "intervals", "mask"))
 def jn4_interval_overlap(spark, sf_dir):
     i = fx.intervals(spark, sf_dir)
-    return iv.interval_overlap(i, i.filter("interval_id % 450 = 0"), "interval_id", bin_size=50)
+    return iv.interval_overlap(i, fx.mask(spark, sf_dir), "interval_id", bin_size=50)
 
 
-@query(with_ctes(", mask AS (SELECT * FROM intervals WHERE interval_id % 450 = 0) SELECT contig, sample_id, pos, depth FROM depth d WHERE EXISTS (SELECT 1 FROM mask m WHERE d.pos >= m.start AND d.pos < m.\"end\")", "depth", "intervals"))
+@query(with_ctes(" SELECT contig, sample_id, pos, depth FROM depth d WHERE EXISTS (SELECT 1 FROM mask m WHERE d.pos >= m.start AND d.pos < m.\"end\")", "mask"))
 def jn5_positions_in_intervals(spark, sf_dir):
-    mask = fx.intervals(spark, sf_dir).filter("interval_id % 450 = 0")
-    return iv.positions_in_intervals(fx.depth(spark, sf_dir).select("contig", "sample_id", "pos", "depth"), mask, 50)
+    return iv.positions_in_intervals(fx.depth(spark, sf_dir).select("contig", "sample_id", "pos", "depth"), fx.mask(spark, sf_dir), 50)
 
 
 @query(with_ctes(", bad AS (SELECT interval_id, start - (interval_id % 7)::INT * 20 AS start, \"end\" + (interval_id % 3)::INT * 10 AS \"end\" FROM intervals), e AS (SELECT *, CASE WHEN start < 0 THEN 'starts before 0' WHEN \"end\" > 200 THEN 'ends after the sequence' WHEN start >= \"end\" THEN 'empty' END AS error FROM bad) SELECT * FROM e WHERE error IS NOT NULL", "intervals"))
@@ -221,9 +220,10 @@ def prj3_callable_sequence(spark, sf_dir):
     return ops.callable_sequence(fx.reference(spark), invariant, variants, accepted)
 
 
-@query(with_ctes("SELECT contig, sample_id, pos, gt FROM genotypes WHERE (contig, pos) IN (SELECT contig, pos FROM genotypes WHERE sample_id < 8 GROUP BY contig, pos HAVING count(gt) = count(*)) AND sample_id < 8", "genotypes"))
+@query(with_ctes("SELECT popcode || '/' || contig AS contig, sample_id, pos, gt FROM genotypes WHERE (popcode, contig, pos) IN (SELECT popcode, contig, pos FROM genotypes GROUP BY ALL HAVING count(gt) = count(*))", "genotypes"))
 def prj20_complete_markers(spark, sf_dir):
-    return ops.complete_markers(fx.genotypes(spark, sf_dir).filter("sample_id < 8").select("contig", "sample_id", "pos", "gt"))
+    """Markers that all samples of a population have."""
+    return ops.complete_markers(fx.genotypes(spark, sf_dir).select(F.concat_ws("/", "popcode", "contig").alias("contig"), "sample_id", "pos", "gt"))
 
 
 @query(with_ctes("SELECT contig, sample_id, pos, coalesce(CASE gt WHEN 0 THEN ref WHEN 1 THEN alt END, '0') AS allele_1, coalesce(CASE gt WHEN 0 THEN ref WHEN 1 THEN alt END, '0') AS allele_2 FROM genotypes", "genotypes"))
@@ -255,21 +255,21 @@ def agg14_boundary_summary(spark, sf_dir):
     return ops.boundary_summary(_boundary(spark, sf_dir))
 
 
-REPEATS = "rep AS (SELECT DISTINCT unnest(range(start, \"end\")) AS pos FROM intervals WHERE interval_id % 450 = 0)"
+REPEATS = "rep AS (SELECT DISTINCT unnest(range(start, \"end\")) AS pos FROM mask)"
 
 
 @query(with_ctes(f""", {REPEATS}, r AS (SELECT sample_id, avg(depth) FILTER (WHERE pos IN (SELECT pos FROM rep)) AS a, avg(depth) FILTER (WHERE pos NOT IN (SELECT pos FROM rep)) AS b FROM depth GROUP BY ALL)
-  SELECT sample_id, round(a, 9) AS repeat_depth, round(b, 9) AS unique_depth, round(a / nullif(b, 0), 9) AS ratio FROM r""", "depth", "intervals"))
+  SELECT sample_id, round(a, 9) AS repeat_depth, round(b, 9) AS unique_depth, round(a / nullif(b, 0), 9) AS ratio FROM r""", "mask"))
 def agg15_repeat_ratio(spark, sf_dir):
-    return ops.repeat_ratio(fx.depth(spark, sf_dir), fx.intervals(spark, sf_dir).filter("interval_id % 450 = 0"))
+    return ops.repeat_ratio(fx.depth(spark, sf_dir), fx.mask(spark, sf_dir))
 
 
 @query(with_ctes(f""", {REPEATS}, v AS (SELECT contig, pos FROM calls WHERE base <> 'N' GROUP BY ALL HAVING count(DISTINCT base) > 1), s AS (SELECT contig, pos, max((base <> 'N')::INT) AS c, sum(depth) AS d, count(*) AS n FROM calls GROUP BY ALL)
   SELECT contig, (pos // 25)::INT AS "window", min(pos) AS start, max(pos) + 1 AS "end", sum(c)::BIGINT AS callable, count(*) FILTER (WHERE pos IN (SELECT pos FROM rep)) AS repeat_bases, count(*) FILTER (WHERE (contig, pos) IN (SELECT contig, pos FROM v)) AS variants,
-  round(sum(d)::DOUBLE / sum(n)::DOUBLE, 9) AS mean_depth, round(count(*) FILTER (WHERE (contig, pos) IN (SELECT contig, pos FROM v)) * 1000::DOUBLE / nullif(sum(c), 0)::DOUBLE, 9) AS variants_per_kb FROM s GROUP BY contig, pos // 25""", "calls", "intervals"))
+  round(sum(d)::DOUBLE / sum(n)::DOUBLE, 9) AS mean_depth, round(count(*) FILTER (WHERE (contig, pos) IN (SELECT contig, pos FROM v)) * 1000::DOUBLE / nullif(sum(c), 0)::DOUBLE, 9) AS variants_per_kb FROM s GROUP BY contig, pos // 25""", "calls", "mask"))
 def agg16_coordinate_windows(spark, sf_dir):
     c = fx.calls(spark, sf_dir)
-    return ops.coordinate_windows(c, fx.intervals(spark, sf_dir).filter("interval_id % 450 = 0"), call_ops.variable_sites(c), 25)
+    return ops.coordinate_windows(c, fx.mask(spark, sf_dir), call_ops.variable_sites(c), 25)
 
 
 DEEP = "deep AS (SELECT sample_id, dp * 8 AS dp, [dp * 8 - sample_id % 5 * dp, sample_id % 5 * dp] AS ad FROM genotypes)"

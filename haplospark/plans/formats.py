@@ -47,13 +47,13 @@ def snk3_write_annotations(spark, sf_dir):
     return writers.gff_lines(i.select(F.lit("c1").alias("contig"), "start", "end", F.col("interval_id").alias("feature_id"), F.lit("gene").alias("feature_type"), F.lit("+").alias("strand"), F.lit(".").alias("phase"), F.replace("name", F.lit("-"), F.lit(",")).alias("product")))
 
 
-@query(with_ctes("SELECT contig, pos + 1 AS pos, ref, [alt] AS alts, qual, 's' || sample_id AS sample_id, gt, CASE WHEN dp > 0 THEN dp END::INT AS dp, gq::INT AS gq FROM genotypes WHERE sample_id <= 6", "genotypes"))
+@query(with_ctes("SELECT contig, pos + 1 AS pos, ref, [alt] AS alts, qual, 's' || sample_id AS sample_id, gt, CASE WHEN dp > 0 THEN dp END::INT AS dp, gq::INT AS gq FROM genotypes", "genotypes"))
 def src5_read_genotypes(spark, sf_dir):
-    g = fx.genotypes(spark, sf_dir).filter("sample_id <= 6")
+    g = fx.genotypes(spark, sf_dir)
     value = F.concat_ws(":", F.coalesce(F.col("gt").cast("string"), F.lit(".")), F.when(F.col("dp") > 0, F.col("dp").cast("string")).otherwise("."), F.col("gq").cast("string"))
     sites = g.groupBy("contig", "pos", "ref", "alt", "qual").agg(F.array_sort(F.collect_list(F.struct("sample_id", value.alias("v")))).alias("s"))
     line = F.concat_ws("\t", "contig", (F.col("pos") + 1).cast("string"), F.lit("."), "ref", "alt", F.col("qual").cast("string"), F.lit("."), F.lit("."), F.lit("GT:DP:GQ"), F.array_join(F.transform("s", lambda x: x["v"]), "\t"))
-    names = [f"s{r[0]}" for r in fx.samples(spark, sf_dir).filter("sample_id <= 6").orderBy("sample_id").select("sample_id").collect()]
+    names = [f"s{r[0]}" for r in fx.samples(spark, sf_dir).orderBy("sample_id").select("sample_id").collect()]
     return readers.parse_vcf(sites.select(line.alias("value")), names)
 
 
@@ -65,19 +65,22 @@ def src7_read_hits(spark, sf_dir):
     return readers.parse_hits(lines.unionByName(h.limit(1).select(F.lit("# hits").alias("value"))))
 
 
-@query("""SELECT o_orderkey::VARCHAR AS sample_id, o_orderkey AS input_reads, o_orderkey - o_custkey % 50 AS passing_reads, o_orderkey * 150 AS input_bases, (o_orderkey - o_custkey % 50) * 150 AS bases, round((o_custkey % 100) / 100.0::DOUBLE, 9) AS q30_rate, o_custkey % 50 AS low_quality_reads, 0::BIGINT AS too_short_reads,
-  round((o_custkey % 7) / 10.0::DOUBLE, 9) AS duplication, o_custkey % 9 <> 0 AS counts_agree, round((o_orderkey - o_custkey % 50)::DOUBLE / nullif(o_orderkey, 0), 9) AS retention FROM orders WHERE o_orderkey % 8 = 0""")
+@query("""SELECT o_orderkey::VARCHAR AS sample_id, o_orderkey AS input_reads, o_orderkey * 150 AS input_bases, round((o_custkey % 90) / 100.0::DOUBLE, 9) AS input_q20_rate, round((o_custkey % 80) / 100.0::DOUBLE, 9) AS input_q30_rate,
+  o_orderkey - o_custkey % 50 AS passing_reads, (o_orderkey - o_custkey % 50) * 150 AS bases, round((o_custkey % 103) / 100.0::DOUBLE, 9) AS q20_rate, round((o_custkey % 100) / 100.0::DOUBLE, 9) AS q30_rate, o_custkey % 50 AS low_quality_reads, o_custkey % 4 AS too_many_n_reads, o_custkey % 3 AS adapter_dimer_reads, 0::BIGINT AS too_short_reads,
+  o_custkey % 700 AS adapter_trimmed_reads, o_custkey % 700 * 9 AS adapter_trimmed_bases, round((o_custkey % 7) / 10.0::DOUBLE, 9) AS duplication, o_orderkey >= o_custkey % 50 AS counts_possible, o_custkey % 9 <> 0 AS counts_agree, o_custkey % 103 <= 100 AS rates_possible, o_custkey % 700 <= o_orderkey AS adapters_possible,
+  round((o_orderkey - o_custkey % 50)::DOUBLE / nullif(o_orderkey, 0), 9) AS retention FROM orders""")
 def src8_read_qc_reports(spark, sf_dir):
     k, c = F.col("o_orderkey"), F.col("o_custkey")
-    o = fx.table(spark, sf_dir, "orders").filter("o_orderkey % 8 = 0")
-    part = lambda reads, bases, q: F.struct(reads.alias("total_reads"), bases.alias("total_bases"), q.alias("q30_rate"))
     passed = k - c % 50
+    part = lambda reads, q20, q30: F.struct(reads.alias("total_reads"), (reads * 150).alias("total_bases"), (c % q20 / 100).alias("q20_rate"), (c % q30 / 100).alias("q30_rate"))
+    filtering = {"passed_filter_reads": passed + (c % 9 == 0).cast("int"), "low_quality_reads": c % 50, "too_many_N_reads": c % 4, "adapter_dimer_reads": c % 3, "too_short_reads": F.lit(0)}
     report = F.struct(
-        F.struct(part(k, k * 150, c % 100 / 100).alias("before_filtering"), part(passed, passed * 150, c % 100 / 100).alias("after_filtering")).alias("summary"),
-        F.struct((passed + (c % 9 == 0).cast("int")).alias("passed_filter_reads"), (c % 50).alias("low_quality_reads"), F.lit(0).alias("too_short_reads")).alias("filtering_result"),
+        F.struct(part(k, 90, 80).alias("before_filtering"), part(passed, 103, 100).alias("after_filtering")).alias("summary"),
+        F.struct(*[x.alias(name) for name, x in filtering.items()]).alias("filtering_result"),
+        F.struct((c % 700).alias("adapter_trimmed_reads"), (c % 700 * 9).alias("adapter_trimmed_bases")).alias("adapter_cutting"),
         F.struct((c % 7 / 10).alias("rate")).alias("duplication"),
     )
-    return readers.parse_qc_reports(o.select(k.cast("string").alias("sample_id"), F.to_json(report).alias("value")))
+    return readers.parse_qc_reports(fx.table(spark, sf_dir, "orders").select(k.cast("string").alias("sample_id"), F.to_json(report).alias("value")))
 
 
 @query("""SELECT 'P' || (c_nationkey % 9) AS code, min('sp' || (c_custkey % (1 + c_nationkey % 9))) AS species, string_agg(DISTINCT 'pop ' || c_nationkey, '; ' ORDER BY 'pop ' || c_nationkey) AS names, count(DISTINCT 'sp' || (c_custkey % (1 + c_nationkey % 9))) > 1 AS conflict FROM customer GROUP BY 1""")
@@ -88,20 +91,20 @@ def src9_read_population_codes(spark, sf_dir):
     return readers.population_codes(c.select(s("P", m).alias("﻿Code (field)"), s("sp", F.col("c_custkey") % (1 + m)).alias("Species"), s("pop ", F.col("c_nationkey")).alias("Population Name")))
 
 
-@query("""WITH f AS (SELECT o_custkey % 300 AS s, 'raw/x' || (o_custkey % 300) || '_L00' || (o_orderkey % 3) || '_R' || (1 + o_orderkey // 8 % 2) || '.fastq.gz' AS path, 1 + o_orderkey // 8 % 2 AS mate FROM orders WHERE o_orderkey % 11 = 0), d AS (SELECT DISTINCT * FROM f),
+@query("""WITH f AS (SELECT o_custkey % 300 AS s, 'raw/x' || (o_custkey % 300) || '_L00' || (o_orderkey % 3) || '_R' || (1 + o_orderkey // 8 % 2) || '.fastq.gz' AS path, 1 + o_orderkey // 8 % 2 AS mate FROM orders), d AS (SELECT DISTINCT * FROM f),
   g AS (SELECT 'x' || s AS sample_id, coalesce(list_sort(list(path) FILTER (WHERE mate = 1)), []) AS a, coalesce(list_sort(list(path) FILTER (WHERE mate = 2)), []) AS b FROM d GROUP BY s)
   SELECT sample_id, array_to_string(a, ';') AS r1_paths, array_to_string(b, ';') AS r2_paths, CASE WHEN len(a) = 0 THEN 'missing_R1' WHEN len(b) = 0 THEN 'missing_R2' WHEN len(a) <> len(b) THEN 'unbalanced_lanes' ELSE 'complete' END AS pair_status FROM g""")
 def src10_discover_samples(spark, sf_dir):
-    o = fx.table(spark, sf_dir, "orders").filter("o_orderkey % 11 = 0")
+    o = fx.table(spark, sf_dir, "orders")
     mate = 1 + F.floor(F.col("o_orderkey") / 8) % 2
     path = F.concat(F.lit("raw/x"), (F.col("o_custkey") % 300).cast("string"), F.lit("_L00"), (F.col("o_orderkey") % 3).cast("string"), F.lit("_R"), mate.cast("string"), F.lit(".fastq.gz"))
     out = readers.pair_status(o.select(path.alias("path")).distinct())
     return out.withColumns({c: F.array_join(c, ";") for c in ("r1_paths", "r2_paths")})
 
 
-@query("SELECT l_orderkey, l_partkey, l_quantity FROM lineitem WHERE l_orderkey % 10 = 0")
+@query("SELECT l_orderkey, l_partkey, l_quantity FROM lineitem")
 def src3_read_table(spark, sf_dir):
-    rows = fx.table(spark, sf_dir, "lineitem").filter("l_orderkey % 10 = 0").select("l_orderkey", "l_partkey", "l_quantity")
+    rows = fx.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
     lines = rows.select(F.to_csv(F.struct(*rows.columns), {"sep": "\t"}).alias("value"))
     schema = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
     return lines.select(F.from_csv("value", schema, {"sep": "\t", "mode": "FAILFAST"}).alias("r")).select("r.*")

@@ -81,7 +81,7 @@ def set5_dedupe_pairs(spark, sf_dir):
     return ops.dedupe_pairs(fx.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") % 100).alias("b")), "a", "b")
 
 
-SKETCH = """d AS (SELECT doc_id, substr(regexp_replace(lower(text), '[^a-z]', '', 'g'), 1, 1000000) AS t FROM documents WHERE lang = 'de'), km AS (SELECT DISTINCT doc_id, md5(substr(t, i.i::INT, 8)) AS h FROM d, LATERAL (SELECT unnest(range(1, length(t) - 6)) AS i) i WHERE length(t) >= 8),
+SKETCH = """d AS (SELECT doc_id, substr(regexp_replace(lower(text), '[^a-z]', '', 'g'), 1, 1000000) AS t FROM documents), km AS (SELECT DISTINCT doc_id, md5(substr(t, i.i::INT, 8)) AS h FROM d, LATERAL (SELECT unnest(range(1, length(t) - 6)) AS i) i WHERE length(t) >= 8),
 sk AS (SELECT doc_id, h FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY h) AS n FROM km) WHERE n <= 64),
 pr AS (SELECT a.doc_id AS key_1, b.doc_id AS key_2, list(a.h) AS hs FROM sk a JOIN sk b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL), sz AS (SELECT doc_id, list(h) AS hs FROM sk GROUP BY doc_id),
 un AS (SELECT key_1, key_2, list_intersect(pr.hs, list_sort(list_distinct(list_concat(x.hs, y.hs)))[1:64]) AS bo, list_sort(list_distinct(list_concat(x.hs, y.hs)))[1:64] AS u FROM pr JOIN sz x ON x.doc_id = key_1 JOIN sz y ON y.doc_id = key_2),
@@ -89,8 +89,8 @@ dist AS (SELECT key_1, key_2, len(bo)::BIGINT AS shared, len(bo)::DOUBLE / len(u
 
 
 def _sketch_distances(spark, sf_dir):
-    d = fx.table(spark, sf_dir, "documents").filter("lang = 'de'").select("doc_id", F.regexp_replace(F.lower("text"), "[^a-z]", "").alias("t"))
-    return ops.sketch_distances(ops.bottom_sketch(ops.kmers(d, "doc_id", "t", 8), "doc_id", 64), "doc_id", 64, 8)
+    d = fx.table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.lower("text"), "[^a-z]", "").alias("t"))
+    return ops.sketch_distances(ops.text_sketch(d, "doc_id", "t", 8, 64), "doc_id", 64, 8)
 
 
 @query(f"WITH {SKETCH} SELECT key_1, key_2, shared, round(jaccard, 9) AS jaccard, round(distance, 9) + 0.0 AS distance FROM dist")

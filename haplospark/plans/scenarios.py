@@ -12,6 +12,8 @@ from ..operators import evidence as ev
 from ..operators import haplotypes as hap
 from ..operators import popgen
 from ..operators import sensitivity as ops
+from .haplotypes import LABELS
+from .haplotypes import TABLE as HAPLOTYPES
 from .populations import COUNTS, DIVERSITY, HUDSON
 
 #: name -> (depth, breadth at that depth, support fraction): the three scenarios of the fixtures.
@@ -84,11 +86,9 @@ def stat13_scenario_fst(spark, sf_dir):
     return _fst(spark, sf_dir)
 
 
-@query()
+@query(with_ctes(f", {KEYED}, {LABELS.replace('FROM calls', 'FROM keyed')}, {HAPLOTYPES} SELECT split_part(contig, '|', 1) AS scenario, split_part(contig, '|', 2) AS contig, haplotype, haplotype_seq, samples, populations FROM haps", "depth", "calls"))
 def stat13_scenario_haplotypes(spark, sf_dir):
-    """Haplotypes per scenario over the first positions of each contig; checked by tests."""
-    c = by_scenario(_scenario_calls(spark, sf_dir).filter("(contig = 'c1' and pos < 40) or (contig = 'c2' and pos < 160)"))
-    return split_key(hap.haplotypes(hap.haplotype_labels(c)))
+    return split_key(hap.haplotypes(hap.haplotype_labels(by_scenario(_scenario_calls(spark, sf_dir)))))
 
 
 def _pairs(df, value, *key):

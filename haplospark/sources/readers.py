@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -89,18 +91,34 @@ def read_hits(spark: SparkSession, path: str) -> DataFrame:
     return parse_hits(spark.read.text(path))
 
 
-QC_REPORT = "summary struct<before_filtering: struct<total_reads: long, total_bases: long, q30_rate: double>, after_filtering: struct<total_reads: long, total_bases: long, q30_rate: double>>, filtering_result struct<passed_filter_reads: long, low_quality_reads: long, too_short_reads: long>, duplication struct<rate: double>"
+_TOTALS = "struct<total_reads: long, total_bases: long, q20_rate: double, q30_rate: double>"
+QC_REPORT = (
+    f"summary struct<before_filtering: {_TOTALS}, after_filtering: {_TOTALS}>, "
+    "filtering_result struct<passed_filter_reads: long, low_quality_reads: long, too_many_N_reads: long, adapter_dimer_reads: long, too_short_reads: long>, "
+    "adapter_cutting struct<adapter_trimmed_reads: long, adapter_trimmed_bases: long>, duplication struct<rate: double>"
+)
+#: Name of a metric -> where a report has it.
+QC_METRICS = {
+    "input_reads": "summary.before_filtering.total_reads", "input_bases": "summary.before_filtering.total_bases", "input_q20_rate": "summary.before_filtering.q20_rate", "input_q30_rate": "summary.before_filtering.q30_rate",
+    "passing_reads": "summary.after_filtering.total_reads", "bases": "summary.after_filtering.total_bases", "q20_rate": "summary.after_filtering.q20_rate", "q30_rate": "summary.after_filtering.q30_rate",
+    "low_quality_reads": "filtering_result.low_quality_reads", "too_many_n_reads": "filtering_result.too_many_N_reads", "adapter_dimer_reads": "filtering_result.adapter_dimer_reads", "too_short_reads": "filtering_result.too_short_reads",
+    "adapter_trimmed_reads": "adapter_cutting.adapter_trimmed_reads", "adapter_trimmed_bases": "adapter_cutting.adapter_trimmed_bases", "duplication": "duplication.rate",
+}
 
 
 def parse_qc_reports(reports: DataFrame) -> DataFrame:
-    """(sample_id, value: a JSON report) -> flat counts and rates, retention, and whether the counts agree."""
+    """(sample_id, value: a JSON report) -> its counts and rates, retention, and four checks that are false where a part is missing:
+    reads in and out are possible, the counts of passing reads agree, rates are in [0, 1], and adapters were cut from possibly many reads."""
     r = reports.select("sample_id", F.from_json("value", QC_REPORT).alias("r")).select("sample_id", "r.*")
-    b, a, f = "summary.before_filtering.", "summary.after_filtering.", "filtering_result."
-    out = r.select(
-        "sample_id", F.col(b + "total_reads").alias("input_reads"), F.col(a + "total_reads").alias("passing_reads"), F.col(b + "total_bases").alias("input_bases"), F.col(a + "total_bases").alias("bases"),
-        F.col(a + "q30_rate").alias("q30_rate"), F.col(f + "low_quality_reads").alias("low_quality_reads"), F.col(f + "too_short_reads").alias("too_short_reads"), F.col("duplication.rate").alias("duplication"),
-        (F.col(f + "passed_filter_reads") == F.col(a + "total_reads")).alias("counts_agree"),
-    )
+    out = r.select("sample_id", *[F.col(path).alias(name) for name, path in QC_METRICS.items()], F.col("filtering_result.passed_filter_reads").alias("passed"))
+    rates = [F.col(c).between(0, 1) for c in ("input_q20_rate", "input_q30_rate", "q20_rate", "q30_rate", "duplication")]
+    checks = {
+        "counts_possible": (F.col("input_reads") > 0) & F.col("passing_reads").between(0, F.col("input_reads")),
+        "counts_agree": F.col("passed") == F.col("passing_reads"),
+        "rates_possible": reduce(Column.__and__, rates),
+        "adapters_possible": F.col("adapter_trimmed_reads").between(0, F.col("input_reads")),
+    }
+    out = out.withColumns({name: F.coalesce(x, F.lit(False)) for name, x in checks.items()}).drop("passed")
     return out.withColumn("retention", F.try_divide(F.col("passing_reads").cast("double"), F.col("input_reads").cast("double")))
 
 

@@ -208,6 +208,56 @@ def test_trees(spark):
     assert table(splits.incompatible_splits(both, list("ABCDE")), "split_1", "split_2") == [("A,B", "A,C"), ("A,C", "C,D")]
 
 
+def test_splits_of_a_deep_tree(spark):
+    n = 300
+    text = "t0"
+    for i in range(1, n):
+        text = f"({text},t{i})90/99:1"
+    s = splits.edge_splits(splits.newick_edges(spark.createDataFrame([("deep", text + ";"), ("one", "(a,b,c);")], "tree_id string, newick string")))
+    names = [f"t{i}" for i in range(n)]
+    sides = lambda k: min((sorted(names[:k]), sorted(names[k:])), key=lambda x: (len(x), "\t".join(x)))
+    assert table(s, "members") == sorted((sides(k),) for k in range(2, n - 1)) and not s.filter("tree_id = 'one'").count()
+
+
+def test_network_equals_kruskal(spark):
+    import random
+
+    r = random.Random(4)
+    haps = {f"H{i}": "".join(r.choice("AC") for _ in range(12)) for i in range(1, 41)}
+    rows = [("c", h, s) for h, s in haps.items()]
+    distances = haplotypes.haplotype_distances(spark.createDataFrame(rows, "contig string, haplotype string, haplotype_seq string"))
+    root = {h: h for h in haps}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    want = []
+    for w, a, b in sorted((sum(x != y for x, y in zip(haps[a], haps[b], strict=True)), a, b) for a in haps for b in haps if a < b):
+        if find(a) != find(b):
+            root[find(a)] = find(b)
+            want.append((a, b, w))
+    assert table(haplotypes.spanning_network(distances), "h1", "h2", "weight") == sorted(want)
+
+
+def test_reports_have_all_metrics_and_checks(spark):
+    import json
+
+    def report(sample, reads=100, passed=90, told=90, q=0.9, cut=5, **without):
+        totals = lambda n: {"total_reads": n, "total_bases": n * 10, "q20_rate": q, "q30_rate": 0.5}
+        out = {"summary": {"before_filtering": totals(reads), "after_filtering": totals(passed)}, "duplication": {"rate": 0.25}, "adapter_cutting": {"adapter_trimmed_reads": cut, "adapter_trimmed_bases": 33}}
+        out["filtering_result"] = {"passed_filter_reads": told, "low_quality_reads": 4, "too_many_N_reads": 3, "adapter_dimer_reads": 2, "too_short_reads": 1}
+        return sample, json.dumps({k: v for k, v in out.items() if k not in without})
+
+    rows = [report("fine"), report("told", told=91), report("more", passed=101, told=101), report("rate", q=1.2), report("cut", cut=101), report("none", adapter_cutting=1)]
+    out = {r.sample_id: r for r in readers.parse_qc_reports(spark.createDataFrame(rows, "sample_id string, value string")).collect()}
+    checks = ("counts_possible", "counts_agree", "rates_possible", "adapters_possible")
+    assert {s: [c for c in checks if not r[c]] for s, r in out.items()} == {"fine": [], "told": ["counts_agree"], "more": ["counts_possible"], "rate": ["rates_possible"], "cut": ["adapters_possible"], "none": ["adapters_possible"]}
+    fine = out["fine"]
+    assert (fine.input_q20_rate, fine.too_many_n_reads, fine.adapter_dimer_reads, fine.adapter_trimmed_bases, fine.retention) == (0.9, 3, 2, 33, 0.9)
+
+
 def test_mixed_allele_screen(spark):
     rows = [(1, 30, [15, 15])] * 12 + [(1, 30, [30, 0])] * 8 + [(s, 30, [30, 0]) for s in (2, 3, 4) for _ in range(20)]
     out = evidence.mixed_allele_screen(spark.createDataFrame(rows, "sample_id int, dp int, ad array<int>"))
