@@ -8,8 +8,8 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.feature import CountVectorizerModel, Normalizer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -83,14 +83,6 @@ class Features:
             two += np.where(new, meta[self.meta[:, k]], 0.0)
         return one, two + self.meta_shape @ meta[1 << META_BITS : -1] + meta[-1]
 
-    def rows(self) -> Iterator[tuple[list[int], list[float], list[int], list[float]]]:
-        """Per row the places and values of what isn't 0 in each view."""
-        for i, count in enumerate(self.count.tolist()):
-            words, times = np.unique(self.words[self.first[i] : self.first[i + 1]], return_counts=True)
-            meta = np.unique(self.meta[i])
-            shape = [(1 << WORD_BITS) + k for k in range(TEXT_SHAPE)], [(1 << META_BITS) + k for k in range(META_SHAPE)]
-            yield words.tolist() + shape[0], (times / count).tolist() + self.text_shape[i].tolist(), meta.tolist() + shape[1], [1.0] * len(meta) + self.meta_shape[i].tolist()
-
 
 def _reader(docs: DataFrame):
     """A function that gives pieces of Arrow batches with the columns of docs, and their Features."""
@@ -111,19 +103,35 @@ def _needed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[c for c in ("source", "lang") if c in known])
 
 
-def featurise(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, source, lang) -> doc_id, text_features, meta_features; for samples."""
+def counters() -> list[CountVectorizerModel]:
+    """What counts named classes of words, and tells those of metadata that are there."""
+    sizes = {"words": 1 << WORD_BITS, "meta": 1 << META_BITS}
+    return [CountVectorizerModel.from_vocabulary([str(k) for k in range(n)], name, f"{name}_counts").setBinary(name == "meta") for name, n in sizes.items()]
+
+
+def featurise(docs: DataFrame, counting: list[CountVectorizerModel]) -> DataFrame:
+    """docs (doc_id, text, source, lang) -> doc_id, text_features, meta_features; for samples.
+
+    Tasks name the classes and the shape of each row; Spark's own transformers make vectors of them, so that a task has one
+    Python worker.
+    """
     features = _reader(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, own in features(batches):
-            columns = list(zip(*own.rows(), strict=True)) or [()] * 4
-            kinds = (pa.list_(pa.int32()), pa.list_(pa.float64())) * 2
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["doc_id", "i", "x", "j", "y"])
+            words = pa.ListArray.from_arrays(pa.array(own.first, pa.int32()), pa.array(own.words).cast(pa.string()))
+            meta = pa.array([[str(x) for x in row] for row in own.meta.tolist()], pa.list_(pa.string()))
+            shape = np.concatenate([own.text_shape, own.meta_shape], axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), words, meta, *map(pa.array, shape.T.copy())], names=["doc_id", "words", "meta", *names])
 
-    rows = docs.mapInArrow(run, "doc_id long, i array<int>, x array<double>, j array<int>, y array<double>")
-    vector = {name: F.udf(lambda i, x, size=size: Vectors.sparse(size, i, x), VectorUDT()) for name, size in SIZES.items()}
-    return rows.select("doc_id", vector["text"]("i", "x").alias("text_features"), vector["meta"]("j", "y").alias("meta_features"))
+    names = [f"x{k}" for k in range(TEXT_SHAPE + META_SHAPE)]
+    rows = docs.mapInArrow(run, "doc_id long, words array<string>, meta array<string>, " + ", ".join(f"{x} double" for x in names))
+    for column, bits, counter in (("words_counts", WORD_BITS, counting[0]), ("meta_counts", META_BITS, counting[1])):
+        rows = counter.transform(rows).withColumn(column, F.col(column).alias("x", metadata={"ml_attr": {"num_attrs": 1 << bits}}))
+    rows = Normalizer(p=1.0, inputCol="words_counts", outputCol="shares").transform(rows)
+    rows = VectorAssembler(inputCols=["shares", *names[:TEXT_SHAPE]], outputCol="text_features").transform(rows)
+    rows = VectorAssembler(inputCols=["meta_counts", *names[TEXT_SHAPE:]], outputCol="meta_features").transform(rows)
+    return rows.select("doc_id", *[F.col(c).alias(c, metadata={}) for c in ("text_features", "meta_features")])
 
 
 class CoTrained:
@@ -143,10 +151,13 @@ def _clipped(margin: np.ndarray) -> np.ndarray:
     return np.clip(margin, -30, 30)
 
 
-def _fit(rows: DataFrame, features: str, **more) -> np.ndarray:
-    """Coefficients and intercept."""
+def _fit(rows: DataFrame, features: str, **more):
     settings = {"maxIter": MAX_ITER, "regParam": 1e-3} | more
-    model = LogisticRegression(featuresCol=features, labelCol="label", probabilityCol="", predictionCol="", **settings).fit(rows)
+    return LogisticRegression(featuresCol=features, labelCol="label", probabilityCol="", predictionCol="", **settings).fit(rows)
+
+
+def _coefficients(model) -> np.ndarray:
+    """With the intercept as the last one."""
     return np.append(model.coefficients.toArray(), model.intercept)
 
 
@@ -192,7 +203,8 @@ def co_train(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_R
     docs = _needed(docs)
     labels = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("double").alias("label"))
     given = store(labels.orderBy(F.xxhash64("doc_id", F.lit("labelled")), "doc_id").limit(labelled_rows), "labelled")
-    sample = lambda ids: featurise(docs.join(F.broadcast(ids.select("doc_id")), "doc_id", "left_semi")).join(F.broadcast(ids), "doc_id")
+    counting = counters()
+    sample = lambda ids: featurise(docs.join(F.broadcast(ids.select("doc_id")), "doc_id", "left_semi"), counting).join(F.broadcast(ids), "doc_id")
     held_out = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(5)) == 0
     rows = store(sample(given).withColumn("held_out", held_out), "features").coalesce(SAMPLE_PARTITIONS)
     columns = ["label", "text_features", "meta_features"]
@@ -206,29 +218,28 @@ def co_train(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_R
             models = {name: _fit(sets[name], f"{name}_features") for name in sets}
             if turn == rounds:
                 break
-            picked = store(_pseudo_labels(store(_margins(docs, **models), "margins"), labels, turn, pseudo_rows, sure), "picked")
+            margins = store(_margins(docs, *map(_coefficients, models.values())), "margins")
+            picked = store(_pseudo_labels(margins, labels, turn, pseudo_rows, sure), "picked")
             more = store(sample(picked), "pseudo").coalesce(SAMPLE_PARTITIONS)
             for name, other in (("text", "meta"), ("meta", "text")):
                 says = more.filter(f"{other}_says is not null").select(F.col(f"{other}_says").alias("label"), "text_features", "meta_features")
                 sets[name] = train.unionByName(says).persist()
                 kept.append(sets[name])
         judged = held if held.select("label").distinct().count() == 2 else train
-        judged = judged.select("label", *[_linear(f"{name}_features", models[name]).alias(name) for name in models]).persist()
+        for name, model in models.items():
+            judged = model.setRawPredictionCol(f"{name}_raw").transform(judged)
+        clipped = [F.least(F.greatest(vector_to_array(f"{name}_raw")[1], F.lit(-30.0)), F.lit(30.0)).alias(name) for name in models]
+        judged = judged.select("label", *clipped).persist()
         kept.append(judged)
-        calibrations = [tuple(_fit(VectorAssembler(inputCols=[name], outputCol="f").transform(judged), "f", standardization=False)) for name in models]
+        calibrations = [tuple(_coefficients(_fit(VectorAssembler(inputCols=[name], outputCol="f").transform(judged), "f", standardization=False))) for name in models]
         logits = judged.select("label", *[(F.col(name) * float(a) + F.lit(float(b))).alias(name) for name, (a, b) in zip(models, calibrations, strict=True)])
-        combination = _fit(VectorAssembler(inputCols=list(models), outputCol="f").transform(logits), "f", standardization=False)
-        return CoTrained(models["text"], models["meta"], calibrations, tuple(combination))
+        combination = _coefficients(_fit(VectorAssembler(inputCols=list(models), outputCol="f").transform(logits), "f", standardization=False))
+        return CoTrained(_coefficients(models["text"]), _coefficients(models["meta"]), calibrations, tuple(combination))
     finally:
         for df in kept:
             df.unpersist()
 
 
-def _linear(features: str, coefficients: np.ndarray):
-    """The margin of a vector column, clipped; for samples."""
-    return F.udf(lambda v: float(np.clip(coefficients[v.indices] @ v.values + coefficients[-1], -30, 30)), "double")(features)
-
-
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
     """docs (doc_id, text, source, lang, ...) -> doc_id, text_score, meta_score, quality_score, keep; one row per row.
 

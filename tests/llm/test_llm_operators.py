@@ -592,11 +592,12 @@ def test_a_fitted_model_scores_awkward_rows(spark, awkward, nothing):
     assert quality.score_quality(nothing, labels).isEmpty() and quality.keep_quality(nothing, labels).isEmpty()
 
 
-def test_features_are_those_of_plain_python():
+def test_features_are_those_of_plain_python(spark):
     import pyarrow as pa
 
     texts = ["Ab cd ab\n\nÉé x", None, "", "one", "Z" * 5000]
-    f = quality.Features(pa.array(texts), [("source", pa.array(["a", None, "a", "b", "a"]))])
+    sources = ["a", None, "a", "b", "a"]
+    f = quality.Features(pa.array(texts), [("source", pa.array(sources))])
     for i, t in enumerate(texts):
         t = t or ""
         words = re.findall(r"[^\x20\x09-\x0D]+", t.lower() if t.isascii() else re.sub("[A-Z]", lambda m: m[0].lower(), t))
@@ -605,8 +606,9 @@ def test_features_are_those_of_plain_python():
         assert f.meta_shape[i] == pytest.approx([np.log1p(c), np.log1p(t.count("\n") + 1), c / (t.count("\n") + 1)])
     r = np.random.default_rng(1)
     text, meta = r.normal(size=quality.SIZES["text"] + 1), r.normal(size=quality.SIZES["meta"] + 1)
-    for (i, x, j, y), one, two in zip(f.rows(), *f.margins(text, meta), strict=True):
-        assert one == pytest.approx(text[i] @ np.array(x) + text[-1]) and two == pytest.approx(meta[j] @ np.array(y) + meta[-1])
+    docs = spark.createDataFrame(list(zip(range(5), texts, sources, strict=True)), "doc_id long, text string, source string")
+    for row, one, two in zip(quality.featurise(docs, quality.counters()).orderBy("doc_id").collect(), *f.margins(text, meta), strict=True):
+        assert row.text_features.toArray() @ text[:-1] + text[-1] == pytest.approx(one) and row.meta_features.toArray() @ meta[:-1] + meta[-1] == pytest.approx(two)
 
 
 def test_quality_without_classes(spark, awkward, nothing):
