@@ -2,8 +2,9 @@
 
 Two sets with Jaccard similarity of at least 4/5 share one of their first n - ceil(4n/5) + 1 elements in any global order.
 The order used here puts rare shingles first, by a fixed-size table of counts. A set's prefix is dealt to buckets by
-shingle; in a bucket the ordered lists form a trie, so that sets with a common beginning share nodes, and pairs of
-subtrees are pruned by the overlap that their remaining lengths still allow. Surviving pairs are compared in full.
+shingle; in a bucket the ordered lists form a trie, so that sets with a common beginning share nodes. It is walked depth
+first: what a path has met of other sets is kept once for all sets below, and a set is dropped for a whole subtree when
+the remaining lengths allow too little overlap. Surviving pairs are compared in full.
 """
 
 from __future__ import annotations
@@ -231,9 +232,11 @@ class Bucket:
         end = np.append(begin[1:], len(doc))[: len(own)]
         lists = sorted((tokens[b:e].tolist(), at[b:e].tolist(), int(d)) for d, b, e in zip(own, begin, end, strict=True))
         self.leaves = np.array([d for *_, d in lists], np.int64)
+        self.lists = [t for t, *_ in lists]
         self.rest: list[list[int]] = [(self.sizes[d] - 1 - np.array(a, np.int64)).tolist() for _, a, d in lists]
         #: by token: (depth, first leaf, end leaf)
         self.nodes: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+        self.end: dict[tuple[int, int], int] = {}  # by depth and first leaf
         path: list[tuple[int, int]] = []
         for i in range(len(lists) + 1):
             mine = lists[i][0] if i < len(lists) else []
@@ -243,40 +246,105 @@ class Bucket:
             while len(path) > shared:
                 token, start = path.pop()
                 self.nodes[token].append((len(path), start, i))
+                self.end[len(path), start] = i
             path += [(t, i) for t in mine[shared:]]
 
-    def pairs(self) -> tuple[set[tuple[int, int]], dict[int, int]]:
-        """(pairs to compare, by member of a long list the set of its family with the least key), as numbers of sets.
+    def holders(self) -> tuple[dict[int, tuple[np.ndarray, np.ndarray]], dict[int, int]]:
+        """(by token its leaves in order and how many elements of each follow it, by member of a long list the least of its family).
 
-        Two sets below one node were already paired at the node above, where their remaining lengths allowed more, so only
-        nodes at the root pair their own leaves; other pairs are of leaves below different nodes of one token.
+        A token below one node only, but for nodes at the root, is left out: its leaves have met at the node above.
         """
-        found: set[tuple[int, int]] = set()
+        lists: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         family: dict[int, int] = {}
         for token, nodes in self.nodes.items():
             if len(nodes) == 1 and (nodes[0][0] > 0 and token not in self.hot or nodes[0][2] - nodes[0][1] < 2):
                 continue
             leaves = np.concatenate([np.arange(s, e) for _, s, e in nodes])
-            sets = self.leaves[leaves]
-            if len(sets) > LONG_LIST or token in self.hot:
-                roots = {_root(family, x) for x in sets.tolist()}
+            if len(leaves) > LONG_LIST or token in self.hot:
+                roots = {_root(family, x) for x in self.leaves[leaves].tolist()}
                 for r in roots:
                     family[r] = min(roots)
-                continue
-            node = np.repeat(np.arange(len(nodes)), [e - s for _, s, e in nodes])
-            deep = np.repeat([d for d, *_ in nodes], [e - s for _, s, e in nodes])
-            rest = np.array([self.rest[i][d] for i, d in zip(leaves.tolist(), deep.tolist(), strict=True)], np.int64)
-            order = np.argsort(self.sizes[sets], kind="stable")
-            sets, rest, node, deep = sets[order], rest[order], node[order], deep[order]
-            size = self.sizes[sets]
-            limit = np.searchsorted(size, OF * size // ABOVE, side="right")  # sizes of partners are at most 5/4 of mine
-            for i in range(len(sets) - 1):
-                others = slice(i + 1, limit[i])
-                allowed = (1 + np.minimum(rest[i], rest[others])) * (ABOVE + OF) >= ABOVE * (size[i] + size[others])
-                allowed &= (node[others] != node[i]) | (deep[others] == 0)
-                for j in sets[others][allowed].tolist():
-                    found.add((int(sets[i]), j))
-        return found, {x: _root(family, x) for x in family}
+            else:
+                lists[token] = leaves, np.array([self.rest[i][d] for d, s, e in nodes for i in range(s, e)], np.int64)
+        return lists, {x: _root(family, x) for x in family}
+
+    def pairs(self) -> tuple[np.ndarray, dict[int, int]]:
+        """(pairs to compare, by member of a long list the set of its family with the least key), as numbers of sets.
+
+        The trie is walked depth first. For the current path, each leaf that shares a token with it keeps where they first
+        met; this is made at a node once, for all leaves below. Similar sets meet first at their first common element in
+        some bucket, and from there on they can't share more than the elements of the other between its first and its latest
+        meeting, and those that remain to both after that. A leaf for which that is too little for every size and remaining
+        length below a node is dropped for the whole subtree.
+        """
+        lists, family = self.holders()
+        size = self.sizes[self.leaves]
+        met = np.full(len(size), -1, np.int64)  # depth of the first meeting; -1: none, -2: dropped for this subtree
+        met_rest = np.zeros(len(size), np.int64)
+        path: list[tuple[int, np.ndarray | None, np.ndarray | None]] = []  # (token, leaves met here, leaves dropped here and their depths)
+        found: list[np.ndarray] = []
+        for i, mine in enumerate(self.lists):
+            shared = 0
+            while shared < len(path) and shared < len(mine) and path[shared][0] == mine[shared]:
+                shared += 1
+            while len(path) > shared:
+                _, new, dropped = path.pop()
+                if dropped is not None:
+                    met[dropped[0]] = dropped[1]
+                if new is not None:
+                    met[new] = -1
+            while len(path) < len(mine) and self.end[len(path), i] > i + 1:
+                held = lists.get(mine[len(path)])
+                path.append((mine[len(path)], *(self._enter(len(path), i, held, size, met, met_rest) if held else (None, None))))
+            others = self._meet(i, [new for _, new, _ in path if new is not None], len(path), lists, size, met, met_rest)
+            path += [(t, None, None) for t in mine[len(path) :]]
+            found.append(np.stack([np.full(len(others), self.leaves[i]), self.leaves[others]], axis=1))
+        return np.concatenate([np.zeros((0, 2), np.int64), *found]), family
+
+    def _enter(self, depth: int, start: int, held: tuple[np.ndarray, np.ndarray], size: np.ndarray, met: np.ndarray, met_rest: np.ndarray) -> tuple[np.ndarray | None, np.ndarray | None]:
+        """Meet the leaves that hold a node's token: (those met here first, those dropped here and where they had been met)."""
+        end = self.end[depth, start]
+        leaves, rest = held
+        upto = np.searchsorted(leaves, end)  # a pair is made at its later leaf
+        leaves, rest = leaves[:upto], rest[:upto]
+        low, high = size[start:end].min(), size[start:end].max()
+        mine = max(self.rest[i][depth] for i in range(start, end))
+        at = met[leaves]
+        between = np.where(at >= 0, met_rest[leaves] - rest, 0)
+        enough = (between + 1 + np.minimum(mine, rest)) * (ABOVE + OF) >= ABOVE * (low + size[leaves])
+        enough &= _sizes_fit(size[leaves], low, high)
+        fresh = at == -1
+        new = leaves[fresh & enough]
+        met_rest[new] = rest[fresh & enough]
+        met[new] = depth
+        drop = ~enough & (at != -2)
+        dropped = np.stack([leaves[drop], at[drop]]) if drop.any() else None
+        met[leaves[drop]] = -2
+        return (new if len(new) else None), dropped
+
+    def _meet(self, i: int, above: list[np.ndarray], depth: int, lists: dict[int, tuple[np.ndarray, np.ndarray]], size: np.ndarray, met: np.ndarray, met_rest: np.ndarray) -> np.ndarray:
+        """Leaves before i to compare with it: those met above, and at the nodes from a depth on that have no other leaf below."""
+        mine = self.lists[i]
+        held = [(x, met_rest[x], met[x]) for x in above] + [(*lists[mine[d]], np.full(len(lists[mine[d]][0]), d)) for d in range(depth, len(mine)) if mine[d] in lists]
+        if not held:
+            return np.zeros(0, np.int64)
+        leaves, rest, depths = (np.concatenate(x) for x in zip(*held, strict=True))
+        use = np.flatnonzero((leaves < i) & (met[leaves] != -2))
+        use = use[np.argsort(leaves[use], kind="stable")]  # by leaf, and of each the first meeting first
+        leaves, rest, depths = leaves[use], rest[use], depths[use]
+        if not len(leaves):
+            return leaves
+        first = np.flatnonzero(np.concatenate(([True], leaves[1:] != leaves[:-1])))
+        between = np.repeat(rest[first], np.diff(np.append(first, len(leaves)))) - rest
+        most = between + 1 + np.minimum(np.array(self.rest[i], np.int64)[depths], rest)
+        enough = np.logical_and.reduceat(most * (ABOVE + OF) >= ABOVE * (size[i] + size[leaves]), first)
+        others = leaves[first]
+        return others[enough & _sizes_fit(size[others], size[i], size[i])]
+
+
+def _sizes_fit(sizes: np.ndarray, low: int, high: int) -> np.ndarray:
+    """Whether sets of these sizes can be similar to one of a size from low to high."""
+    return (OF * sizes >= ABOVE * low) & (ABOVE * sizes <= OF * high)
 
 
 def _root(parent: dict[int, int], x: int) -> int:
@@ -303,8 +371,7 @@ def candidates(packed: DataFrame, buckets: int) -> DataFrame:
         def pairs() -> Iterator[pa.RecordBatch]:
             bucket = Bucket(held)
             found, family = bucket.pairs()
-            for ends, together in ((sorted(found), False), (sorted(family.items()), True)):
-                both = np.array(ends, np.int64).reshape(-1, 2)
+            for both, together in ((found, False), (np.array(sorted(family.items()), np.int64).reshape(-1, 2), True)):
                 a, b = bucket.keys[both[:, 0]], bucket.keys[both[:, 1]]  # numbers go by key, so the least number has the least key
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array([together] * len(a), pa.bool_())], names=["a", "b", "family"])
 

@@ -223,6 +223,34 @@ def test_lists_that_are_long_in_some_tasks_only(spark, monkeypatch):
         assert got == brute_components(rows)
 
 
+@pytest.mark.parametrize("buckets", [1, 3])
+def test_tries_find_all_similar_sets(buckets):
+    r = np.random.default_rng(buckets)
+    sets = []
+    for _ in range(90):
+        if sets and r.random() < 0.7:
+            own = set(sets[r.integers(len(sets))].tolist()) ^ set(r.integers(0, 900, r.integers(0, 9)).tolist())
+        else:
+            own = set(r.integers(0, 900, r.integers(1, 120)).tolist())
+        sets.append(np.array(sorted(own), np.uint64))
+    by_key = {ngram_join.set_key(x): x for x in sets if len(x)}
+    found, families = set(), []
+    for b in range(buckets):
+        rows = []
+        for key, x in by_key.items():
+            prefix = x[: ngram_join.prefix_length(len(x))]
+            at = np.flatnonzero(prefix % buckets == b)
+            rows.append(ngram_join.pack([key], [len(x)], [len(at)], prefix[at], at, np.zeros(len(at))))
+        bucket = ngram_join.Bucket(rows)
+        pairs, family = bucket.pairs()
+        found |= {tuple(sorted(bucket.keys[p].tolist())) for p in pairs}
+        families.append({int(bucket.keys[k]): int(v) for k, v in family.items()})
+    keys = sorted(by_key)
+    similar = [(a, b) for i, a in enumerate(keys) for b in keys[i + 1 :] if 9 * len(np.intersect1d(by_key[a], by_key[b])) >= 4 * (len(by_key[a]) + len(by_key[b]))]
+    assert len(similar) > 30 and len(found) < len(keys) * (len(keys) - 1) / 4
+    assert all(p in found or any(p[0] in f and f[p[0]] == f.get(p[1]) for f in families) for p in similar)
+
+
 def test_similar_groups_edges(awkward, nothing):
     out = {(r.doc_id, r.n_shingles): r.component_id for r in ngram_join.similar_groups(awkward).collect()}
     assert out[4, 0] == 4 and out[6, 0] == 6 and out[8, 1] == 7 and out[3, len(shingle_set(edited(prose(300, 1), 60, 3)))] == 1
