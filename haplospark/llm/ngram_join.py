@@ -249,12 +249,12 @@ class Bucket:
                 self.end[len(path), start] = i
             path += [(t, i) for t in mine[shared:]]
 
-    def holders(self) -> tuple[dict[int, tuple[np.ndarray, np.ndarray]], dict[int, int]]:
-        """(by token its leaves in order and how many elements of each follow it, by member of a long list the least of its family).
+    def holders(self) -> tuple[dict[int, list[tuple[int, int]]], dict[int, int]]:
+        """(by token its leaves in order, each with the number of its elements that follow, by member of a long list the least of its family).
 
         A token below one node only, but for nodes at the root, is left out: its leaves have met at the node above.
         """
-        lists: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        lists: dict[int, list[tuple[int, int]]] = {}
         family: dict[int, int] = {}
         for token, nodes in self.nodes.items():
             if len(nodes) == 1 and (nodes[0][0] > 0 and token not in self.hot or nodes[0][2] - nodes[0][1] < 2):
@@ -265,7 +265,7 @@ class Bucket:
                 for r in roots:
                     family[r] = min(roots)
             else:
-                lists[token] = leaves, np.array([self.rest[i][d] for d, s, e in nodes for i in range(s, e)], np.int64)
+                lists[token] = [(i, self.rest[i][d]) for d, s, e in nodes for i in range(s, e)]
         return lists, {x: _root(family, x) for x in family}
 
     def pairs(self) -> tuple[np.ndarray, dict[int, int]]:
@@ -278,73 +278,71 @@ class Bucket:
         length below a node is dropped for the whole subtree.
         """
         lists, family = self.holders()
-        size = self.sizes[self.leaves]
-        met = np.full(len(size), -1, np.int64)  # depth of the first meeting; -1: none, -2: dropped for this subtree
-        met_rest = np.zeros(len(size), np.int64)
-        path: list[tuple[int, np.ndarray | None, np.ndarray | None]] = []  # (token, leaves met here, leaves dropped here and their depths)
-        found: list[np.ndarray] = []
+        size = self.sizes[self.leaves].tolist()
+        met: dict[int, tuple[int, int] | None] = {}  # by leaf: depth of the first meeting and elements that follow; None: dropped
+        path: list[tuple[int, list]] = []  # (token, what was known of the leaves that it changed)
+        found: list[tuple[int, int]] = []
         for i, mine in enumerate(self.lists):
             shared = 0
             while shared < len(path) and shared < len(mine) and path[shared][0] == mine[shared]:
                 shared += 1
             while len(path) > shared:
-                _, new, dropped = path.pop()
-                if dropped is not None:
-                    met[dropped[0]] = dropped[1]
-                if new is not None:
-                    met[new] = -1
-            while len(path) < len(mine) and self.end[len(path), i] > i + 1:
-                held = lists.get(mine[len(path)])
-                path.append((mine[len(path)], *(self._enter(len(path), i, held, size, met, met_rest) if held else (None, None))))
-            others = self._meet(i, [new for _, new, _ in path if new is not None], len(path), lists, size, met, met_rest)
-            path += [(t, None, None) for t in mine[len(path) :]]
-            found.append(np.stack([np.full(len(others), self.leaves[i]), self.leaves[others]], axis=1))
-        return np.concatenate([np.zeros((0, 2), np.int64), *found]), family
-
-    def _enter(self, depth: int, start: int, held: tuple[np.ndarray, np.ndarray], size: np.ndarray, met: np.ndarray, met_rest: np.ndarray) -> tuple[np.ndarray | None, np.ndarray | None]:
-        """Meet the leaves that hold a node's token: (those met here first, those dropped here and where they had been met)."""
-        end = self.end[depth, start]
-        leaves, rest = held
-        upto = np.searchsorted(leaves, end)  # a pair is made at its later leaf
-        leaves, rest = leaves[:upto], rest[:upto]
-        low, high = size[start:end].min(), size[start:end].max()
-        mine = max(self.rest[i][depth] for i in range(start, end))
-        at = met[leaves]
-        between = np.where(at >= 0, met_rest[leaves] - rest, 0)
-        enough = (between + 1 + np.minimum(mine, rest)) * (ABOVE + OF) >= ABOVE * (low + size[leaves])
-        enough &= _sizes_fit(size[leaves], low, high)
-        fresh = at == -1
-        new = leaves[fresh & enough]
-        met_rest[new] = rest[fresh & enough]
-        met[new] = depth
-        drop = ~enough & (at != -2)
-        dropped = np.stack([leaves[drop], at[drop]]) if drop.any() else None
-        met[leaves[drop]] = -2
-        return (new if len(new) else None), dropped
-
-    def _meet(self, i: int, above: list[np.ndarray], depth: int, lists: dict[int, tuple[np.ndarray, np.ndarray]], size: np.ndarray, met: np.ndarray, met_rest: np.ndarray) -> np.ndarray:
-        """Leaves before i to compare with it: those met above, and at the nodes from a depth on that have no other leaf below."""
-        mine = self.lists[i]
-        held = [(x, met_rest[x], met[x]) for x in above] + [(*lists[mine[d]], np.full(len(lists[mine[d]][0]), d)) for d in range(depth, len(mine)) if mine[d] in lists]
-        if not held:
-            return np.zeros(0, np.int64)
-        leaves, rest, depths = (np.concatenate(x) for x in zip(*held, strict=True))
-        use = np.flatnonzero((leaves < i) & (met[leaves] != -2))
-        use = use[np.argsort(leaves[use], kind="stable")]  # by leaf, and of each the first meeting first
-        leaves, rest, depths = leaves[use], rest[use], depths[use]
-        if not len(leaves):
-            return leaves
-        first = np.flatnonzero(np.concatenate(([True], leaves[1:] != leaves[:-1])))
-        between = np.repeat(rest[first], np.diff(np.append(first, len(leaves)))) - rest
-        most = between + 1 + np.minimum(np.array(self.rest[i], np.int64)[depths], rest)
-        enough = np.logical_and.reduceat(most * (ABOVE + OF) >= ABOVE * (size[i] + size[leaves]), first)
-        others = leaves[first]
-        return others[enough & _sizes_fit(size[others], size[i], size[i])]
-
-
-def _sizes_fit(sizes: np.ndarray, low: int, high: int) -> np.ndarray:
-    """Whether sets of these sizes can be similar to one of a size from low to high."""
-    return (OF * sizes >= ABOVE * low) & (ABOVE * sizes <= OF * high)
+                for leaf, was in path.pop()[1]:
+                    if was == UNMET:
+                        del met[leaf]
+                    else:
+                        met[leaf] = was
+            while len(path) < len(mine) and (end := self.end[len(path), i]) > i + 1:
+                depth = len(path)
+                below = range(i, end)
+                low, high, rest = min(size[k] for k in below), max(size[k] for k in below), max(self.rest[k][depth] for k in below)
+                path.append((mine[depth], _meet(lists.get(mine[depth], ()), depth, end, low, high, rest, size, met)))
+            depth = len(path)
+            alone: list = []  # nodes with no other leaf below
+            for d in range(depth, len(mine)):
+                if mine[d] in lists:
+                    alone += _meet(lists[mine[d]], d, i, size[i], size[i], self.rest[i][d], size, met)
+            path += [(t, []) for t in mine[depth:]]
+            for leaf, at in met.items():
+                if at and leaf < i and _enough(1 + min(self.rest[i][at[0]], at[1]), size[leaf], size[i], size[i]):
+                    found.append((self.leaves[i], self.leaves[leaf]))
+            for leaf, was in reversed(alone):
+                if was == UNMET:
+                    del met[leaf]
+                else:
+                    met[leaf] = was
+        return np.array(found, np.int64).reshape(-1, 2), family
+
+
+#: Of a leaf that the path has not met.
+UNMET = (-1, -1)
+
+
+def _enough(overlap: int, size: int, low: int, high: int) -> bool:
+    """Whether a set of this size can be similar to one of a size from low to high with such an overlap."""
+    return overlap * (ABOVE + OF) >= ABOVE * (low + size) and OF * size >= ABOVE * low and ABOVE * size <= OF * high
+
+
+def _meet(held: list[tuple[int, int]], depth: int, end: int, low: int, high: int, rest: int, size: list[int], met: dict) -> list:
+    """Meet the leaves before end that hold a node's token; below it sizes are from low to high, and at most rest elements follow.
+
+    Returns the leaves for which that changes something, with what was known of them.
+    """
+    changed = []
+    for leaf, after in held:
+        if leaf >= end:
+            break
+        was = met.get(leaf, UNMET)
+        if was is None:
+            continue
+        between = was[1] - after if was != UNMET else 0
+        if not _enough(between + 1 + min(rest, after), size[leaf], low, high):
+            changed.append((leaf, was))
+            met[leaf] = None
+        elif was == UNMET:
+            changed.append((leaf, was))
+            met[leaf] = depth, after
+    return changed
 
 
 def _root(parent: dict[int, int], x: int) -> int:
