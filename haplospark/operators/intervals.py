@@ -26,6 +26,12 @@ def merge_intervals(intervals: DataFrame, *by: str) -> DataFrame:
     return marked.groupBy(*by, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
 
 
+def in_bins(intervals: DataFrame, bin_size: int, *keep: str) -> DataFrame:
+    """keep..., bin, start, end: the piece of each interval in each bin of positions; a union by bin needs no task for all."""
+    cut = intervals.filter("start < end").select(*keep, "start", "end", F.explode(F.sequence(F.floor(F.col("start") / bin_size), F.floor((F.col("end") - 1) / bin_size))).alias("bin"))
+    return cut.withColumns({"start": F.greatest(F.col("start"), F.col("bin") * bin_size), "end": F.least(F.col("end"), (F.col("bin") + 1) * bin_size)})
+
+
 def covered_bases(intervals: DataFrame, *by: str) -> DataFrame:
     return merge_intervals(intervals, *by).groupBy(*by).agg(F.sum(F.col("end") - F.col("start")).cast("long").alias("bases"))
 
@@ -53,14 +59,11 @@ def complement_intervals(intervals: DataFrame, length: int, *by: str) -> DataFra
 def interval_overlap(features: DataFrame, intervals: DataFrame, feature_key: str, bin_size: int = BIN) -> DataFrame:
     """Per feature (key, start, end): bases in the union of the intervals, their fraction, and full, partial or none.
 
-    Both sides are dealt to bins of positions, so the range join is an equi-join on the bin; a pair counts in the bin in
-    which its overlap begins.
+    Both sides are cut at the edges of bins of positions, so the range join is an equi-join on the bin.
     """
-    bins = lambda df: F.explode(F.sequence(F.floor(df["start"] / bin_size), F.floor((df["end"] - 1) / bin_size))).alias("bin")
-    f = features.filter("start < end").select(F.col(feature_key), F.col("start").alias("fs"), F.col("end").alias("fe"), bins(features))
-    merged = merge_intervals(intervals)
-    m = merged.select(F.col("start").alias("ms"), F.col("end").alias("me"), bins(merged))
-    both = f.join(m, "bin").filter("fs < me and ms < fe").filter(F.floor(F.greatest("fs", "ms") / bin_size) == F.col("bin"))
+    f = in_bins(features, bin_size, feature_key).withColumnsRenamed({"start": "fs", "end": "fe"})
+    m = merge_intervals(in_bins(intervals, bin_size), "bin").withColumnsRenamed({"start": "ms", "end": "me"})
+    both = f.join(m, "bin").filter("fs < me and ms < fe")
     sums = both.groupBy(feature_key).agg(F.sum(F.least("fe", "me") - F.greatest("fs", "ms")).alias("overlap"))
     out = features.select(feature_key, "start", "end").join(sums, feature_key, "left").withColumn("overlap", F.coalesce("overlap", F.lit(0)).cast("long"))
     out = out.withColumn("fraction", ratio(F.col("overlap"), F.col("end") - F.col("start")))
@@ -69,8 +72,7 @@ def interval_overlap(features: DataFrame, intervals: DataFrame, feature_key: str
 
 def positions_in_intervals(table: DataFrame, intervals: DataFrame, bin_size: int = BIN) -> DataFrame:
     """Rows of table (pos, ...) inside any interval, once each: a semi join on bins of positions."""
-    m = merge_intervals(intervals)
-    m = m.select(F.col("start").alias("_s"), F.col("end").alias("_e"), F.explode(F.sequence(F.floor(F.col("start") / bin_size), F.floor((F.col("end") - 1) / bin_size))).alias("_bin"))
+    m = merge_intervals(in_bins(intervals, bin_size), "bin").withColumnsRenamed({"start": "_s", "end": "_e", "bin": "_bin"})
     binned = table.withColumn("_b", F.floor(F.col("pos") / bin_size))
     return binned.join(m, (F.col("_b") == F.col("_bin")) & (F.col("pos") >= F.col("_s")) & (F.col("pos") < F.col("_e")), "left_semi").drop("_b")
 

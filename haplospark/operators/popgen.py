@@ -94,10 +94,10 @@ def block_bootstrap(blocks: DataFrame, replicates: int = 1000, seed: int = 1729,
     packed = blocks.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("block", "numerator", "denominator"))).alias("blocks"))
     packed = packed.withColumn("n", F.size("blocks"))
     draws = packed.select(*key, "n", "blocks", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    draws = draws.select(*key, "n", "replicate", "blocks", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("slot"))
-    at = (hash_int(seed, F.col("contig"), F.col("population_1"), F.col("population_2"), F.col("replicate"), F.col("slot")) % F.col("n")).cast("int")
-    draws = draws.select(*key, "n", "replicate", F.get("blocks", at).alias("b"))
-    estimates = draws.groupBy(*key, "n", "replicate").agg(F.sum("b.numerator").alias("num"), F.sum("b.denominator").alias("den"))
+    at = lambda slot: (hash_int(seed, F.col("contig"), F.col("population_1"), F.col("population_2"), F.col("replicate"), slot) % F.col("n")).cast("int")
+    drawn = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda slot: F.get("blocks", at(slot)))  # so the blocks stay in the row
+    total = lambda c: F.aggregate(F.col("drawn"), F.lit(0.0), lambda sum_, b: sum_ + b[c])
+    estimates = draws.select(*key, "n", "replicate", drawn.alias("drawn")).select(*key, "n", "replicate", total("numerator").alias("num"), total("denominator").alias("den"))
     estimates = estimates.withColumn("fst", F.round(F.when(F.col("den") > 1e-12, F.col("num") / F.col("den")), 9) + F.lit(0.0))
     return estimates.groupBy(*key, "n").agg(F.count("fst").alias("defined"), order_statistic(F.col("fst"), low).alias("low"), order_statistic(F.col("fst"), high).alias("high")).withColumnRenamed("n", "blocks")
 
