@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, mixing, ngram_join, passages, quality, sharding, tokenfile, url_rules, warc
+from . import decontaminate, exact_dedup, mixing, ngram_join, passages, quality, resample, sharding, tokenfile, toxicity, url_rules, warc
 
 #: The tokenizer's path is a parameter; by default it is what the public_tokenizers package of the machine says.
 TOKENIZER = os.environ.get("HAPLOSPARK_TOKENIZER", "")
@@ -65,8 +65,17 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = resample.ranked_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return ranked.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_mix_sources, op2_token_files, op3_exact_dedup, op4_ngram_join, op5_warc, op6_shards, op7_decontaminate, op8_passages, op9_url_rules, op10_quality)
+    own = (op1_mix_sources, op2_token_files, op3_exact_dedup, op4_ngram_join, op5_warc, op6_shards, op7_decontaminate, op8_passages, op9_url_rules, op10_quality, op11_resample, op12_toxicity)
     return {f.__name__: f for f in own}
 
 
