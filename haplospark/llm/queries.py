@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, mixing, ngram_join, passages, quality, resample, sharding, tokenfile, toxicity, url_rules, warc
+from . import collocations, decontaminate, exact_dedup, mixing, ngram_join, passages, quality, resample, sharding, tokenfile, toxicity, url_rules, warc
 
 #: The tokenizer's path is a parameter; by default it is what the public_tokenizers package of the machine says.
 TOKENIZER = os.environ.get("HAPLOSPARK_TOKENIZER", "")
@@ -74,10 +74,14 @@ def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_mix_sources, op2_token_files, op3_exact_dedup, op4_ngram_join, op5_warc, op6_shards, op7_decontaminate, op8_passages, op9_url_rules, op10_quality, op11_resample, op12_toxicity)
+    own = (op1_mix_sources, op2_token_files, op3_exact_dedup, op4_ngram_join, op5_warc, op6_shards, op7_decontaminate, op8_passages, op9_url_rules, op10_quality, op11_resample, op12_toxicity, op13_collocations)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.ORACLE_SQL, "op3_exact_dedup": exact_dedup.ORACLE_SQL, "op4_ngram_join": ngram_join.ORACLE_SQL, "op5_warc": warc.ORACLE_SQL}
+    return {"op1_mix_sources": mixing.ORACLE_SQL, "op3_exact_dedup": exact_dedup.ORACLE_SQL, "op4_ngram_join": ngram_join.ORACLE_SQL, "op5_warc": warc.ORACLE_SQL, "op13_collocations": collocations.ORACLE_SQL}

@@ -86,15 +86,20 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return s, e, np.searchsorted(s, offsets)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word in order, and per text the index of its first word."""
-    s, e, first = word_spans(data, offsets)
+def span_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of each span, A-Z lower-cased."""
     with np.errstate(over="ignore"):
         terms = (_LOWER[data].astype(np.uint64) + np.uint64(1)) * _power("up", _BASE, len(data))
         total = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(terms, out=total[1:])
         h = (total[e] - total[s]) * _power("down", _INVERSE, len(data) + 1)[s]
-        return mix(h ^ (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), first
+        return mix(h ^ (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word in order, and per text the index of its first word."""
+    s, e, first = word_spans(data, offsets)
+    return span_hashes(data, s, e), first
 
 
 def shingle_hashes(words: np.ndarray, first: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
