@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import store
+from .shared import partitions, store
 
 #: The index holds at most so many labelled documents; its terms are at most so many.
 LABELLED_ROWS, TERMS = 16_384, 2_048
@@ -29,6 +29,8 @@ LEAST_SUPPORT, LEAST_DEVIATIONS = 3, 3.0
 PREFIXES = (5, 6, 7)
 NEIGHBOURS, BLOCK = 16, 64
 THRESHOLD, EVIDENCE = 0.3, 3
+#: Documents of a task of the search; stored vectors are narrow, and files of them would make few tasks.
+TASK_ROWS = 8_192
 #: Distinct terms that a task counts before it sends them off, and distinct words and vectors that it remembers.
 FLUSH_TERMS, REMEMBERED = 1 << 19, 1 << 18
 
@@ -120,55 +122,78 @@ def term_vectors(docs: DataFrame, terms: list[str]) -> DataFrame:
 
 
 class BlockMaxIndex:
-    """Postings by term in blocks of examples, with the largest weight of each block."""
+    """Postings by term in blocks of examples, with the largest weight of each block.
+
+    A cell is a term in a block. Cells are in order of terms and postings in order of cells, so that a query's cells, and the
+    postings of those it reads, are ranges of arrays.
+    """
 
     def __init__(self, vectors: list[tuple[list[int], np.ndarray]], ids: list[int], toxic: list[int], block: int = BLOCK):
         """vectors: unit vectors as (ascending terms, weights). Like examples are put together, which keeps maxima tight."""
         order = sorted(range(len(ids)), key=lambda i: (vectors[i][0], ids[i]))
         self.ids = np.array([ids[i] for i in order], np.int64)
         self.toxic = np.array([toxic[i] for i in order], np.float64)
-        self.of = {int(i): np.flatnonzero(self.ids == i) for i in set(ids)} if len(set(ids)) < len(ids) else {int(i): [k] for k, i in enumerate(self.ids)}
         self.block, self.blocks = block, -(-len(ids) // block)
-        postings: dict[int, list[tuple[int, float]]] = {}
-        for at, i in enumerate(order):
-            for t, w in zip(*vectors[i], strict=True):
-                postings.setdefault(t, []).append((at, float(w)))
-        self.postings, self.maxima = {}, {}
-        for t, list_ in postings.items():
-            at, w = np.array([a for a, _ in list_]), np.array([x for _, x in list_])
-            own, begin = np.unique(at // block, return_index=True)
-            self.maxima[t] = (own, np.maximum.reduceat(w, begin))
-            ends = [*begin[1:].tolist(), len(at)]
-            self.postings[t] = {int(b): (at[s:e] - b * block, w[s:e]) for b, s, e in zip(own, begin, ends, strict=True)}
+        size = [len(vectors[i][0]) for i in order]
+        term = np.array([t for i in order for t in vectors[i][0]], np.int64)
+        weight = np.array([w for i in order for w in vectors[i][1]], np.float64)
+        at = np.repeat(np.arange(len(order)), size)
+        by = np.lexsort((at, term))
+        term, self.at, self.weight = term[by], at[by], weight[by]
+        cell = term * max(self.blocks, 1) + self.at // block
+        own, self.cell_start = np.unique(cell, return_index=True)
+        self.cell_end = np.append(self.cell_start[1:], len(cell))
+        self.cell_block = own % max(self.blocks, 1)
+        self.cell_max = np.maximum.reduceat(self.weight, self.cell_start) if len(cell) else np.zeros(0)
+        self.term_start = np.searchsorted(own, np.arange(term.max(initial=-1) + 2) * max(self.blocks, 1))
+
+    def _cosines(self, cells: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Cosines with all examples, of which only those in blocks whose cells are all given are whole."""
+        postings = _ranges(self.cell_start[cells], self.cell_end[cells])
+        share = np.repeat(weights, self.cell_end[cells] - self.cell_start[cells])
+        return np.round(np.bincount(self.at[postings], share * self.weight[postings], minlength=len(self.ids)), 12)
 
     def nearest(self, terms: list[int], weights: np.ndarray, k: int = NEIGHBOURS, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Places of the k examples with the largest cosines above 0, ties to the smaller id, and those cosines.
 
-        Examples of the id ``without`` are left out. Blocks that can only tie with the k-th neighbour are read too.
+        The blocks with the largest bounds are read first, as many as hold k examples twice. What is in them sets a limit,
+        and of all other blocks those are read whose bound reaches it, also if only for a tie. Examples of the id ``without``
+        are left out.
         """
-        bounds = np.zeros(self.blocks)
-        query = [(t, float(w)) for t, w in zip(terms, weights, strict=True) if t in self.maxima]
-        for t, w in query:
-            own, most = self.maxima[t]
-            bounds[own] += w * most
-        best = (np.zeros(0, np.int64), np.zeros(0))
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or len(best[0]) >= k and bounds[b] < best[1][-1] - 1e-9:
-                break
-            cosine = np.zeros(self.block)
-            for t, w in query:
-                found = self.postings[t].get(int(b))
-                if found is not None:
-                    cosine[found[0]] += w * found[1]
-            if without is not None:
-                for at in self.of.get(without, ()):
-                    if at // self.block == b:
-                        cosine[at % self.block] = 0.0
+        known = [i for i, t in enumerate(terms) if t + 1 < len(self.term_start)]
+        t = np.array([terms[i] for i in known], np.int64)
+        starts, ends = self.term_start[t], self.term_start[t + 1]
+        cells, share = _ranges(starts, ends), np.repeat(weights[known], ends - starts)
+        own = self.cell_block[cells]
+        bounds = np.bincount(own, share * self.cell_max[cells], minlength=self.blocks)
+        read = np.zeros(self.blocks, bool)
+        found, limit = [], 0.0
+        first = np.argsort(-bounds, kind="stable")[: max(2, -(-2 * k // self.block))]
+        for step in (0, 1):
+            now = np.zeros(self.blocks, bool)
+            now[first] = True
+            if step:
+                now = ~read & (bounds >= limit - 1e-9)
+            use = (now & (bounds > 0))[own]
+            read |= now
+            cosine = self._cosines(cells[use], share[use])
             at = np.flatnonzero(cosine > 0)
-            places, cosines = np.concatenate((best[0], at + b * self.block)), np.round(np.concatenate((best[1], cosine[at])), 12)
-            first = np.lexsort((self.ids[places], -cosines))[:k]
-            best = (places[first], cosines[first])
-        return best
+            if without is not None:
+                at = at[self.ids[at] != without]
+            found.append((at, cosine[at]))
+            if not step and len(at) >= k:
+                limit = np.partition(cosine[at], len(at) - k)[len(at) - k]
+        places, cosines = (np.concatenate(x) for x in zip(*found, strict=True))
+        use = cosines >= limit
+        places, cosines = places[use], cosines[use]
+        best = np.lexsort((self.ids[places], -cosines))[:k]
+        return places[best], cosines[best]
+
+
+def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """All numbers from each start to its end, one range after another."""
+    size = ends - starts
+    return np.repeat(starts - np.cumsum(size) + size, size) + np.arange(size.sum())
 
 
 class Scorer:
@@ -205,7 +230,7 @@ def isotonic(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.array([p[0] / p[2] for p in pools]), np.array([p[1] / p[2] for p in pools])
 
 
-def _searched(vectors: DataFrame, scorer: Scorer, alone: bool) -> DataFrame:
+def _searched(vectors: DataFrame, scorer: Scorer, alone: bool, tasks: int) -> DataFrame:
     """vectors -> doc_id, vote, evidence. alone: leave out the example of the same id. Equal vectors are searched once a task."""
     shared = vectors.sparkSession.sparkContext.broadcast(scorer)
 
@@ -231,7 +256,8 @@ def _searched(vectors: DataFrame, scorer: Scorer, alone: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "vote", "score", "evidence"])
 
     schema = "doc_id long, vote double, score double, evidence array<struct<doc_id: long, cosine: double, toxic: int>>"
-    return vectors.select("doc_id", "terms", "counts").mapInArrow(run, schema)
+    rows = vectors.select("doc_id", "terms", "counts").repartition(tasks)
+    return rows.mapInArrow(run, schema)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS, terms: int = TERMS) -> DataFrame:
@@ -260,7 +286,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS
     scorer.prior = size.get(1, 0) / max(sum(size.values()), 1)
     scorer.index = BlockMaxIndex([(r.terms, scorer.vector(r.terms, r.counts)) for r in examples], [r.doc_id for r in examples], [r.toxic for r in examples])
     if examples:
-        votes = _searched(own, scorer, True).select("doc_id", "vote").join(F.broadcast(own.select("doc_id", "toxic").distinct()), "doc_id").collect()
+        votes = _searched(own, scorer, True, partitions(docs.sparkSession)).select("doc_id", "vote").join(F.broadcast(own.select("doc_id", "toxic").distinct()), "doc_id").collect()
         scorer.steps = isotonic(np.array([r.vote for r in votes]), np.array([r.toxic for r in votes], float))
-    scored = _searched(vectors, scorer, False)
+    scored = _searched(vectors, scorer, False, max(partitions(docs.sparkSession), n_docs // TASK_ROWS))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence")

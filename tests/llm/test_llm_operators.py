@@ -2,6 +2,8 @@
 
 import collections
 import gzip
+import hashlib
+import math
 import random
 import re
 import zlib
@@ -12,7 +14,7 @@ import pyarrow.fs as pafs
 import pytest
 from pyspark.sql import functions as F
 
-from haplospark.llm import decontaminate, exact_dedup, mixing, ngram_join, passages, quality, queries, sharding, shingles, tokenfile, url_rules, warc
+from haplospark.llm import collocations, decontaminate, exact_dedup, mixing, ngram_join, passages, quality, queries, resample, sharding, shingles, tokenfile, toxicity, url_rules, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, words string, row string, OF string, repeats int, label string, key long, keep string, id long"
 RNG = random.Random(7)
@@ -644,3 +646,166 @@ def test_quality_without_classes(spark, awkward, nothing):
     out = quality.score_quality(awkward, labels).collect()
     assert len(out) == awkward.count() and all(x.keep and x.quality_score is None for x in out)
     assert quality.score_quality(nothing, labels).isEmpty()
+
+
+# importance resampling
+
+FEATURE_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def lowered(text):
+    return re.sub("[A-Z]+", lambda m: m[0].lower(), text or "")
+
+
+def brute_resample(rows, targets, percent=5, least=20, buckets=10_000):
+    """Plain Python: (doc_id, n_features, weight, score, rank) of each row."""
+    features = lambda t: [" ".join(w[i : i + k]) for w in [FEATURE_WORD.findall(lowered(t))] for k in (1, 2, 3) for i in range(len(w) - k + 1)]
+    bucket = lambda f: zlib.crc32(f.encode()) % buckets
+    s, t = (collections.Counter(bucket(f) for x in texts for f in features(x)) for texts in ([x for _, x in rows], targets))
+    all_s, all_t = sum(s.values()), sum(t.values())
+    gain = lambda b: math.floor(1000 * math.log((t[b] + 1.0) * (all_s + buckets) / ((s[b] + 1.0) * (all_t + buckets))))
+    out = []
+    for d, x in rows:
+        own = features(x)
+        h = int(hashlib.sha256(f"42:{'null' if d is None else d}".encode()).hexdigest()[:8], 16)
+        weight = sum(gain(bucket(f)) for f in own)
+        out.append([d, len(own), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), None, len(FEATURE_WORD.findall(lowered(x)))])
+    able = sorted((r for r in out if r[5] >= least), key=lambda r: (-r[3], r[0] is None, r[0] or 0, r[1]))
+    for i, r in enumerate(able[: len(able) * percent // 100]):
+        r[4] = i + 1
+    return [tuple(r[:5]) for r in out]
+
+
+def ordered(rows):
+    return sorted(rows, key=lambda r: tuple((x is None, x or 0) for x in r))
+
+
+def test_resample_equals_brute_force(spark, awkward, nothing):
+    rows = [(i, prose(15 + i % 40, i)) for i in range(160)] + [(500 + i, prose(40, i % 3)) for i in range(30)] + [(None, prose(50, 9)), (None, None), (900, ""), (7, prose(22, 7)), (901, "ünï çode " * 12 + "x" * 200 + " Z9" * 20)]
+    targets = [prose(60, 1), prose(60, 2), None, "x" * 200 + " z9 z9"]
+    docs, target = documents(spark, rows), spark.createDataFrame([(t, 1) for t in targets], "text string, rank int")
+    columns = ["doc_id", "n_features", "weight", "score", "rank"]
+    for percent in (5, 50, 100):
+        got = resample.ranked_resample(docs.repartition(5), target, percent).select(*columns).collect()
+        assert ordered(map(tuple, got)) == ordered(brute_resample(rows, targets, percent))
+    own = [(r.doc_id, r.text) for r in awkward.collect()]
+    assert ordered(map(tuple, resample.ranked_resample(awkward, target.limit(0)).select(*columns).collect())) == ordered(brute_resample(own, []))
+    assert resample.ranked_resample(nothing, target).isEmpty() and resample.draw_documents(nothing, target).isEmpty()
+    drawn = resample.draw_documents(docs, target, 50)
+    assert drawn.columns == docs.columns
+    want = {r[0] for r in brute_resample(rows, targets, 50) if r[4]}
+    assert {r.doc_id for r in drawn.collect()} == want
+
+
+def test_resample_cuts_ties_by_id(spark):
+    scored = spark.createDataFrame([(i, s) for i, s in enumerate([5, 9, 5, 5, -3, 5, 9])] + [(None, 5)], "doc_id long, score long")
+    want = sorted([(-s, (1 << 63) - 1 if i is None else i) for i, s in [tuple(r) for r in scored.collect()]])
+    for n in range(1, 9):
+        assert resample.find_cutoff(scored, n) == (-want[n - 1][0], want[n - 1][1])
+    assert resample.find_cutoff(scored, 0) is None and resample.find_cutoff(scored, 9) is None
+
+
+# toxicity
+
+
+def test_block_max_search_is_exact():
+    r = np.random.default_rng(3)
+    vectors, ids = [], []
+    for i in range(700):
+        t = sorted(r.choice(40, size=int(r.integers(0, 7)), replace=False).tolist())
+        w = r.integers(1, 4, len(t)).astype(float)
+        vectors.append((t, w / np.sqrt((w * w).sum()) if len(t) else w))
+        ids.append(int(r.permutation(10_000)[0]) if i % 50 else 77)
+    index = toxicity.BlockMaxIndex(vectors, ids, [i % 2 for i in range(700)], block=16)
+    dense = np.zeros((700, 40))
+    for i, (t, w) in enumerate(vectors):
+        dense[i, t] = w
+    for i in range(0, 700, 7):
+        for without in (None, ids[i]):
+            cosine = np.round(dense @ dense[i], 12)
+            order = sorted((j for j in range(700) if cosine[j] > 0 and ids[j] != without), key=lambda j: (-cosine[j], ids[j]))[:9]
+            places, found = index.nearest(*vectors[i], k=9, without=without)
+            assert np.allclose(found, cosine[order], atol=1e-9) and sorted(zip(-np.round(found, 9), index.ids[places])) == sorted(zip(-np.round(cosine[order], 9), [ids[j] for j in order]))
+
+
+def test_isotonic_pools_violators():
+    x, y = toxicity.isotonic(np.array([0.1, 0.1, 0.2, 0.3, 0.4]), np.array([0.0, 1.0, 0.0, 1.0, 1.0]))
+    assert np.allclose(y, [1 / 3, 1.0]) and np.allclose(x, [0.4 / 3, 0.35])
+
+
+def toxic_corpus(n):
+    """Documents of which some hold words of a small invented list, or words built on an invented stem."""
+    r, bad = random.Random(5), ["zorg", "vlim", "krat"]
+    rows = []
+    for i in range(n):
+        w, toxic = prose(r.randint(5, 80), 1000 + i).split(" "), i % 7 == 0
+        if toxic:
+            w[len(w) // 2 : len(w) // 2] = r.sample(bad, 2) if i % 2 else ["quorfle" + r.choice(VOCABULARY) for _ in range(3)]
+        rows.append((i, " ".join(w), int(toxic)))
+    return rows
+
+
+def test_toxicity_on_held_out_documents(spark, nothing):
+    rows = toxic_corpus(900)
+    docs = documents(spark, [(d, t) for d, t, _ in rows] + [(2000, None), (2001, ""), (None, "zorg vlim"), (2002, rows[7][1]), (2002, rows[7][1])])
+    labels = spark.createDataFrame([(d, 0, y) for d, _, y in rows if d % 3] + [(None, 1, 1), (5000, 0, 1), (1, 0, None)], "doc_id long, score int, toxic int")
+    out = toxicity.score_toxicity(docs, labels)
+    assert out.columns == ["doc_id", "held_out", "score", "predicted", "evidence"] and out.count() == docs.count()
+    got = {r.doc_id: r for r in out.collect()}
+    for d, _, y in rows:
+        assert got[d].held_out == (zlib.crc32(str(d).encode()) % 4 == 2) and 0 <= got[d].score <= 1 and got[d].predicted == int(got[d].score >= 0.3)
+    unseen = [(got[d].predicted, y) for d, _, y in rows if got[d].held_out or not d % 3]
+    assert sum(p for p, y in unseen if y) >= 0.9 * sum(y for _, y in unseen) and sum(p for p, y in unseen if not y) <= 0.02 * len(unseen)
+    assert got[2000].score == got[2001].score < 0.3 and got[None].predicted == 1 and got[2002].score == got[7].score and got[7].evidence
+    assert all(e.cosine <= 1.000001 and e.toxic in (0, 1) for e in got[7].evidence)
+    assert {r.score for r in toxicity.score_toxicity(docs, labels.limit(0)).collect()} == {0.0}
+    assert toxicity.score_toxicity(nothing, labels).isEmpty()
+
+
+# collocations
+
+
+def brute_collocations(rows, top, least, cover=80):
+    counts, total = collections.defaultdict(collections.Counter), collections.Counter()
+    for lang, text in rows:
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", lowered(text)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            total[lang or "und"] += len(w)
+            for k in (1, 2, 3, 4):
+                counts[lang or "und"].update(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+    out = []
+    for lang, f in counts.items():
+        able = {p: a for p, a in f.items() if len(p) > 1 and a >= least}
+        held = collections.Counter()
+        for q, b in able.items():
+            for m in range(2, len(q)):
+                for i in range(len(q) - m + 1):
+                    held[q[i : i + m]] = max(held[q[i : i + m]], b)
+        best = []
+        for p, a in able.items():
+            if 100 * held[p] < cover * a:
+                score, k = min((2_000_000 * a // (f[p[:k]] + f[p[k:]]), k) for k in range(1, len(p)))
+                best.append((-score, -a, " ".join(p).encode(), f[p[:k]], f[p[k:]]))
+        out += [(lang, i + 1, p.decode(), -a, l, r, total[lang], -s) for i, (s, a, p, l, r) in enumerate(sorted(best)[:top])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("top", "ahead"), [(2000, 2), (12, 1), (3, 1)])
+def test_collocations_equal_brute_force(spark, top, ahead):
+    """Few words make many frequent phrases; some stand in longer ones nearly always; small tops stop before all is grown."""
+    r = random.Random(11)
+    few, fixed = VOCABULARY[:25], ["alpha beta gamma delta", "One two\tTHREE", "é ü ï", "in spite of"]
+    text = lambda: "".join(r.choice([*few, *few, *fixed]) + r.choice([" ", " ", " ", "  ", "\t", ". ", "\n", ", "]) for _ in range(r.randint(0, 90)))
+    rows = [(r.choice(["aa", "aa", "bb", None, "und"]), text()) for _ in range(420)] + [("aa", None), ("bb", ""), ("cc", "only once")]
+    docs = spark.createDataFrame([(i, t, g, 1, "x") for i, (g, t) in enumerate(rows)], "doc_id long, text string, lang string, rank int, phrase string").repartition(5)
+    got = collocations.mine_collocations(docs, top=top, least=8, ahead=ahead)
+    assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+    want = brute_collocations(rows, top, 8)
+    assert sorted(map(tuple, got.collect())) == want and len(want) >= 2 * min(top, 12)
+
+
+def test_collocations_of_awkward_tables(spark, awkward, nothing):
+    assert collocations.mine_collocations(nothing).isEmpty()
+    same(collocations.mine_collocations(awkward), collocations.ORACLE_SQL, documents=awkward.select("text", "lang"))
+    one = spark.createDataFrame([("a b " * 40_000 + ".", None)], "text string, lang string")
+    assert sorted(map(tuple, collocations.mine_collocations(one).collect())) == brute_collocations([(None, "a b " * 40_000)], 2000, 30)
