@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -90,16 +92,9 @@ def haplotype_distances(haplotype_table: DataFrame) -> DataFrame:
     return pairs.select("contig", F.col("a_haplotype").alias("h1"), F.col("b_haplotype").alias("h2"), differ.alias("weight"))
 
 
-def spanning_network(distances: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """The minimum spanning tree of each contig's haplotypes; ties go by (weight, h1, h2), which makes it unique.
-
-    Boruvka: each round every component takes its least edge out, and components that are so joined become one, so rounds
-    are at most the logarithm of the haplotypes. Each round's components are a checkpoint; the edges stay distributed.
-    """
-    edges = cut(distances.select("contig", "h1", "h2", "weight"))
-    nodes = edges.select("contig", F.col("h1").alias("node")).unionByName(edges.select("contig", F.col("h2").alias("node"))).distinct()
-    part = nodes.withColumn("part", F.col("node"))
-    tree = None
+def _joined_parts(edges: DataFrame, part: DataFrame, max_rounds: int) -> tuple[list[DataFrame], DataFrame]:
+    """Boruvka rounds over edges from the parts (contig, node, part): the edges chosen in each round, and the parts after them."""
+    chosen = []
     for _ in range(max_rounds):
         ends = edges.join(part.withColumnsRenamed({"node": "h1", "part": "p1"}), ["contig", "h1"]).join(part.withColumnsRenamed({"node": "h2", "part": "p2"}), ["contig", "h2"]).filter("p1 <> p2")
         out = ends.select("contig", F.explode(F.array(F.struct(F.col("p1").alias("own"), F.col("p2").alias("other")), F.struct(F.col("p2").alias("own"), F.col("p1").alias("other")))).alias("e"), "weight", "h1", "h2")
@@ -107,22 +102,99 @@ def spanning_network(distances: DataFrame, max_rounds: int = 64) -> DataFrame:
         least = cut(least.select("contig", "own", "m.*"))
         if least.isEmpty():
             break
-        new = least.select("contig", "h1", "h2", "weight").distinct()
-        tree = new if tree is None else tree.unionByName(new)
+        chosen.append(least.select("contig", "h1", "h2", "weight").distinct())
         # a component points to the one over its edge; of two that point at each other the lesser is the root
         jump = least.select("contig", "own", "other")
         back = jump.select("contig", F.col("own").alias("other"), F.col("other").alias("of"))
         jump = jump.join(back, ["contig", "other"], "left").select("contig", "own", F.when((F.col("of") == F.col("own")) & (F.col("own") < F.col("other")), F.col("own")).otherwise(F.col("other")).alias("root"))
         while True:
+            # a component without an edge of its own is the root of those that point at it
             on = jump.select("contig", F.col("own").alias("root"), F.col("root").alias("next"))
-            after = jump.join(on, ["contig", "root"]).select("contig", "own", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved"))
+            after = jump.join(on, ["contig", "root"], "left").select("contig", "own", F.coalesce("next", "root").alias("root"), (F.coalesce("next", "root") != F.col("root")).alias("moved"))
             after = cut(after)
             done = after.filter("moved").isEmpty()
             jump = after.drop("moved")
             if done:
                 break
         part = cut(part.join(jump.select("contig", F.col("own").alias("part"), "root"), ["contig", "part"], "left").select("contig", "node", F.coalesce("root", "part").alias("part")))
-    return edges.limit(0) if tree is None else tree.distinct()
+    return chosen, part
+
+
+def spanning_network(distances: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """The minimum spanning tree of each contig's haplotypes; ties go by (weight, h1, h2), which makes it unique.
+
+    Boruvka: each round every component takes its least edge out, and components that are so joined become one, so rounds
+    are at most the logarithm of the haplotypes. Each round's components are a checkpoint; the edges stay distributed.
+    """
+    edges = cut(distances.select("contig", "h1", "h2", "weight"))
+    nodes = edges.select("contig", F.col("h1").alias("node")).unionByName(edges.select("contig", F.col("h2").alias("node"))).distinct()
+    chosen, _ = _joined_parts(edges, nodes.withColumn("part", F.col("node")), max_rounds)
+    return reduce(DataFrame.unionByName, chosen, edges.limit(0)).distinct()
+
+
+#: Bases of a sequence that one long holds, two bits each.
+PACKED = 31
+
+
+def _packed_sequences(haplotype_table: DataFrame) -> DataFrame:
+    """contig, node, digits, longs: sequences of ACGT as digits 0 to 3, and as numbers of PACKED of them."""
+    digits = F.translate(F.upper("haplotype_seq"), "ACGT", "0123")
+    starts = F.sequence(F.lit(0), F.ceil(F.length("digits") / PACKED).cast("int") - 1)
+    longs = F.when(F.length("digits") == 0, F.array().cast("array<bigint>")).otherwise(F.transform(starts, lambda i: F.conv(F.substring(F.col("digits"), i * PACKED + 1, F.lit(PACKED)), 4, 10).cast("long")))
+    return haplotype_table.select("contig", F.col("haplotype").alias("node"), digits.alias("digits")).withColumn("longs", longs)
+
+
+def _hamming(x: str, y: str):
+    """Differing pairs of bits, by long: a pair differs if either of its bits does."""
+    odd = F.lit(0x5555555555555555)
+    differ = F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b).bitwiseOR(F.shiftrightunsigned(a.bitwiseXOR(b), 1)).bitwiseAND(odd)))
+    return F.aggregate(differ, F.lit(0), lambda total, n: total + n)
+
+
+def near_haplotypes(queries: DataFrame, nodes: DataFrame, radius: int) -> DataFrame:
+    """contig, h1 < h2, weight of pairs of different parts, one of them a query, whose sequences differ at 1 to radius places.
+
+    Places are dealt to radius + 1 segments in turn; sequences that differ at no more than radius places are equal in one of
+    them. A pair is taken at the first segment in which it is equal, so that it is met once.
+    """
+    n = radius + 1
+    deal = lambda df: df.withColumn("segments", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.array_join(F.filter(F.split("digits", ""), lambda x, i: i % n == k), "")))
+    met = lambda df: deal(df).select("contig", "node", "part", "asked", "longs", "segments", F.posexplode("segments").alias("k", "segment"))
+    one = met(queries).select("contig", "k", "segment", F.col("node").alias("q"), F.col("part").alias("part_q"), F.col("longs").alias("longs_q"), F.col("segments").alias("segments_q"))
+    pairs = one.join(met(nodes), ["contig", "k", "segment"])
+    pairs = pairs.filter((F.col("part_q") != F.col("part")) & (~F.col("asked") | (F.col("q") < F.col("node"))))
+    earlier = F.exists(F.sequence(F.lit(0), F.col("k")), lambda j: (j < F.col("k")) & (F.get("segments_q", j) == F.get("segments", j)))
+    near = pairs.filter(~earlier).withColumn("weight", _hamming("longs_q", "longs")).filter(F.col("weight") <= radius)
+    return near.select("contig", F.least("q", "node").alias("h1"), F.greatest("q", "node").alias("h2"), "weight")
+
+
+def haplotype_network(haplotype_table: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """The minimum spanning tree of each contig's haplotypes (contig, haplotype, haplotype_seq of ACGT), without all their pairs.
+
+    Edges of up to a radius are found by segments, joined by Boruvka rounds, and the radius doubles until each contig is one
+    part. Parts that differ by more than a radius keep no edge up to it: each edge of the tree was the least between its
+    parts, as no lighter one was left out. Pairs within a part aren't looked at again, and those within a contig's largest
+    part never after it has formed. Ties go by (weight, h1, h2). Columns: contig, h1, h2, weight.
+    """
+    nodes = cut(_packed_sequences(haplotype_table))
+    part = nodes.select("contig", "node", F.col("node").alias("part"))
+    longest = nodes.agg(F.max(F.length("digits"))).first()[0] or 0
+    found: list[DataFrame] = []
+    radius = 1
+    while True:
+        sizes = part.groupBy("contig", "part").agg(F.count(F.lit(1)).alias("n"))
+        giants = cut(sizes.groupBy("contig").agg(F.max(F.struct("n", "part")).alias("most"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("contig", F.col("most.part").alias("giant")))
+        if giants.isEmpty():
+            break
+        own = nodes.join(part, ["contig", "node"]).join(giants, "contig").withColumn("asked", F.col("part") != F.col("giant")).drop("giant")
+        edges = cut(near_haplotypes(own.filter("asked"), own, radius))
+        chosen, part = _joined_parts(edges, part, max_rounds)
+        found += chosen
+        if radius >= longest:
+            break
+        radius *= 2
+    empty = nodes.select("contig", F.col("node").alias("h1"), F.col("node").alias("h2"), F.lit(0).alias("weight")).limit(0)
+    return reduce(DataFrame.unionByName, found, empty).distinct()
 
 
 def haplotype_diversity_input(labels: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from ..catalog import query
 from ..fixtures import with_ctes
 from ..functions import columns as fn
 from ..operators import haplotypes as ops
-from ..operators import popgen
+from ..operators import ordination, popgen
 from ..operators import resampling as rs
 from ..operators.calls import variable_sites
 from .populations import COUNTS, DIVERSITY, HASH, OBSERVED, STANDARDISED, STRICT
@@ -87,10 +87,24 @@ def jn2_haplotype_distances(spark, sf_dir):
     return ops.haplotype_distances(ops.haplotypes(_labels(spark, sf_dir)))
 
 
-@query()
+def _boruvka_sql(rounds: int = 8) -> str:
+    """CTEs that join the parts of hp's haplotypes round by round over each part's least edge; enough for 2**rounds haplotypes."""
+    out = ["part0 AS MATERIALIZED (SELECT DISTINCT contig, node, node AS part FROM (SELECT contig, h1 AS node FROM hp UNION ALL SELECT contig, h2 FROM hp))"]
+    for r in range(rounds):
+        out.append(f"""ends{r} AS MATERIALIZED (SELECT hp.*, x.part AS p1, y.part AS p2 FROM hp JOIN part{r} x ON hp.contig = x.contig AND h1 = x.node JOIN part{r} y ON hp.contig = y.contig AND h2 = y.node WHERE x.part <> y.part)""")
+        out.append(f"""least{r} AS MATERIALIZED (SELECT * FROM (SELECT contig, p1 AS own, p2 AS other, weight, h1, h2 FROM ends{r} UNION ALL SELECT contig, p2, p1, weight, h1, h2 FROM ends{r}) QUALIFY row_number() OVER (PARTITION BY contig, own ORDER BY weight, h1, h2) = 1)""")
+        out.append(f"""jump{r}_0 AS MATERIALIZED (SELECT l.contig, l.own, CASE WHEN b.other = l.own AND l.own < l.other THEN l.own ELSE l.other END AS root FROM least{r} l JOIN least{r} b ON b.contig = l.contig AND b.own = l.other)""")
+        for k in range(rounds):
+            out.append(f"jump{r}_{k + 1} AS MATERIALIZED (SELECT a.contig, a.own, b.root FROM jump{r}_{k} a JOIN jump{r}_{k} b ON a.contig = b.contig AND a.root = b.own)")
+        out.append(f"part{r + 1} AS MATERIALIZED (SELECT p.contig, p.node, coalesce(j.root, p.part) AS part FROM part{r} p LEFT JOIN jump{r}_{rounds} j ON p.contig = j.contig AND p.part = j.own)")
+    out.append("network AS (" + " UNION ".join(f"SELECT contig, h1, h2, weight FROM least{r}" for r in range(rounds)) + ")")
+    return ", ".join(out)
+
+
+@query(with_ctes(f", {LABELS}, {TABLE}, {HAP_PAIRS}, {_boruvka_sql()} SELECT contig, h1, h2, weight FROM network", "calls"))
 def gr1_haplotype_network(spark, sf_dir):
-    """The network of all haplotypes; SQL's closure over all ranks is too slow, so tests compare with Kruskal's algorithm."""
-    return ops.spanning_network(ops.haplotype_distances(ops.haplotypes(_labels(spark, sf_dir))))
+    """The minimum spanning network of all haplotypes, found by growing radius; its SQL compares all pairs."""
+    return ops.haplotype_network(ops.haplotypes(_labels(spark, sf_dir)))
 
 
 @query(with_ctes(f""", p AS (SELECT DISTINCT contig, pos FROM calls), k AS (SELECT contig, pos, g.range::INT AS draw, row_number() OVER (PARTITION BY contig, g.range ORDER BY {HASH.format("'1729:' || contig || ':' || g.range || ':' || pos")}, pos) AS rn FROM p CROSS JOIN range(20) g),
@@ -125,12 +139,17 @@ def win4_average_rank(spark, sf_dir):
     return c.select("contig", "sample_id", fn.average_rank("missing", "contig").alias("rx"), fn.average_rank("log_depth", "contig").alias("ry"))
 
 
-@query(with_ctes(f""", {RCOV}, {RANKS.format(x='missing', y='log_depth')}, d AS (SELECT rk.*, g.range AS rep, row_number() OVER (PARTITION BY contig, g.range ORDER BY sample_id) AS slot,
-  row_number() OVER (PARTITION BY contig, g.range ORDER BY {HASH.format("'1729:' || contig || ':' || g.range || ':' || sample_id")}, sample_id) AS dest FROM rk CROSS JOIN range(99) g),
-  r AS (SELECT a.contig, a.rep, corr(a.rx, b.ry) AS r FROM d a JOIN d b ON a.contig = b.contig AND a.rep = b.rep AND a.slot = b.dest GROUP BY ALL), o AS (SELECT contig, corr(rx, ry) AS rho, count(*) AS n FROM rk GROUP BY contig)
-  SELECT o.contig, round(o.rho, 9) AS rho, o.n, round((count(*) FILTER (WHERE abs(r.r) >= abs(o.rho) - 1e-9) + 1) / 100.0::DOUBLE, 9) AS p FROM o JOIN r USING (contig) GROUP BY ALL""", "calls"))
+#: Doubled average ranks are whole numbers, so that replicates equal to the observed one are counted exactly.
+PERMUTED = """d2 AS (SELECT contig, sample_id, (2 * rx)::BIGINT AS rx, (2 * ry)::BIGINT AS ry FROM rk),
+  d AS (SELECT d2.*, g.range AS rep, row_number() OVER (PARTITION BY contig, g.range ORDER BY sample_id) AS slot, row_number() OVER (PARTITION BY contig, g.range ORDER BY {hash}, sample_id) AS dest FROM d2 CROSS JOIN range({n}) g),
+  r AS (SELECT a.contig, a.rep, sum(a.rx * b.ry) AS sxy FROM d a JOIN d b ON a.contig = b.contig AND a.rep = b.rep AND a.slot = b.dest GROUP BY ALL),
+  o AS (SELECT contig, corr(rx, ry) AS rho, count(*) AS n, sum(rx * ry) AS sxy, sum(rx) * sum(ry) AS sxsy FROM d2 GROUP BY contig)"""
+
+
+@query(with_ctes(f""", {RCOV}, {RANKS.format(x='missing', y='log_depth')}, {PERMUTED.format(n=9999, hash=HASH.format("'1729:' || contig || ':' || g.range || ':' || sample_id"))}
+  SELECT o.contig, round(o.rho, 9) AS rho, o.n, round((count(*) FILTER (WHERE abs(o.n * r.sxy - o.sxsy) >= abs(o.n * o.sxy - o.sxsy)) + 1) / 10000.0::DOUBLE, 9) AS p FROM o JOIN r USING (contig) GROUP BY ALL""", "calls"))
 def stat2_permutation_spearman(spark, sf_dir):
-    return rs.permutation_spearman(_covariates(spark, sf_dir), "missing", "log_depth", "sample_id", "contig", permutations=99)
+    return rs.permutation_spearman(_covariates(spark, sf_dir), "missing", "log_depth", "sample_id", "contig")
 
 
 @query("""WITH t AS (SELECT o_orderpriority AS grp, o_orderkey AS id, round(((o_orderkey * 7919) % 1009 + 1) / 1010.0::DOUBLE, 9) AS p FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY p, id) AS rk, count(*) OVER (PARTITION BY grp) AS m FROM t)
@@ -166,18 +185,52 @@ def agg20_pca_inputs(spark, sf_dir):
 
 @query(with_ctes(f", {INPUTS} SELECT a.contig, a.sample_id AS s1, b.sample_id AS s2, round(sum(a.z * b.z), 6) + 0.0 AS dot FROM inputs a JOIN inputs b ON a.contig = b.contig AND a.pos = b.pos AND a.sample_id <= b.sample_id GROUP BY ALL", "genotypes"))
 def stat7_gram_matrix(spark, sf_dir):
-    return rs.gram_matrix(rs.pca_inputs(_markers(spark, sf_dir))).withColumn("dot", F.round("dot", 6))
+    return ordination.gram_matrix(rs.pca_inputs(_markers(spark, sf_dir))).withColumn("dot", F.round("dot", 6))
+
+
+def _pca(markers, components=10):
+    return ordination.haploid_pca(rs.pca_inputs(markers), components)
+
+
+def _complete(markers):
+    """Markers that nearly all samples have."""
+    full = markers.groupBy("contig", "pos").agg(F.avg(F.col("g").isNotNull().cast("double")).alias("share")).filter("share >= 0.9")
+    return markers.join(full, ["contig", "pos"], "left_semi")
 
 
 @query()
 def stat7_haploid_pca(spark, sf_dir):
-    return rs.haploid_pca(rs.pca_inputs(_markers(spark, sf_dir)))
+    return _pca(_markers(spark, sf_dir))
+
+
+#: What the components of any correct ordination meet: their number, the inputs' sum of squares, and no residual or overlap.
+CHECKED = """SELECT contig, count(DISTINCT sample_id) AS samples, count(DISTINCT pos) AS markers, least(10, count(DISTINCT sample_id) - 1, count(DISTINCT pos)) AS components,
+  round(sum(z * z), 4) AS total, 0.0::DOUBLE AS residual, 0.0::DOUBLE AS overlap FROM inputs GROUP BY contig"""
+
+
+def _checked(inputs):
+    found = ordination.pca_checks(inputs, ordination.haploid_pca(inputs))
+    return found.withColumns({"total": F.round("total", 4), "residual": F.round("residual", 8), "overlap": F.round("overlap", 8)})
+
+
+@query(with_ctes(f", {INPUTS} {CHECKED}", "genotypes"))
+def stat7_pca_checks(spark, sf_dir):
+    return _checked(rs.pca_inputs(_markers(spark, sf_dir)))
+
+
+FULL = "markers AS (SELECT * FROM all_markers WHERE (contig, pos) IN (SELECT (contig, pos) FROM all_markers GROUP BY contig, pos HAVING avg((g IS NOT NULL)::INT) >= 0.9))"
+
+
+@query(with_ctes(f", {INPUTS.replace(MARKERS, MARKERS.replace('markers AS', 'all_markers AS') + ', ' + FULL)} {CHECKED}", "genotypes"))
+def stat9_pca_checks(spark, sf_dir):
+    """The same on the markers that nearly all samples have."""
+    return _checked(rs.pca_inputs(_complete(_markers(spark, sf_dir))))
 
 
 @query()
 def stat8_procrustes_test(spark, sf_dir):
     g = _markers(spark, sf_dir)
-    return rs.procrustes_test(rs.haploid_pca(rs.pca_inputs(g)), rs.haploid_pca(rs.pca_inputs(g.filter("pos % 10 = 0"))), permutations=199)
+    return rs.procrustes_test(_pca(g), _pca(g.filter("pos % 10 = 0")))
 
 
 @query()
@@ -186,18 +239,26 @@ def stat9_complete_site_pca(spark, sf_dir):
     from ..operators.sensitivity import classify_pca
 
     g = _markers(spark, sf_dir)
-    full = g.groupBy("contig", "pos").agg(F.avg(F.col("g").isNotNull().cast("double")).alias("share")).filter("share >= 0.9")
-    test = rs.procrustes_test(rs.haploid_pca(rs.pca_inputs(g)), rs.haploid_pca(rs.pca_inputs(g.join(full, ["contig", "pos"], "left_semi"))), permutations=199)
-    return test.withColumn("class", classify_pca(F.col("r"), F.col("p")))
+    return rs.procrustes_test(_pca(g), _pca(_complete(g))).withColumn("class", classify_pca(F.col("r"), F.col("p")))
+
+
+def _confounders(spark, sf_dir, markers):
+    coordinates = _pca(markers, 3).select("contig", "sample_id", "component", "value")
+    cov = _covariates(spark, sf_dir)
+    long = cov.select("contig", "sample_id", F.explode(F.create_map(*[x for c in ("missing", "log_depth", "concordance") for x in (F.lit(c), F.col(c))])).alias("covariate", "value"))
+    return rs.technical_confounders(coordinates, long)
 
 
 @query()
 def stat3_technical_confounders(spark, sf_dir):
     """Components of the ordination against the samples' missingness, depth and concordance."""
-    coordinates = rs.haploid_pca(rs.pca_inputs(_markers(spark, sf_dir)), 3).select("contig", "sample_id", "component", "value")
-    cov = _covariates(spark, sf_dir)
-    long = cov.select("contig", "sample_id", F.explode(F.create_map(*[x for c in ("missing", "log_depth", "concordance") for x in (F.lit(c), F.col(c))])).alias("covariate", "value"))
-    return rs.technical_confounders(coordinates, long, permutations=99)
+    return _confounders(spark, sf_dir, _markers(spark, sf_dir))
+
+
+@query()
+def stat3_complete_site_confounders(spark, sf_dir):
+    """The same with the ordination of the markers that nearly all samples have."""
+    return _confounders(spark, sf_dir, _complete(_markers(spark, sf_dir)))
 
 
 @query(with_ctes(f"""{STANDARDISED}, q AS (SELECT contig, popcode, median(round(differences::DOUBLE / nullif(sites, 0), 9)) AS median FROM t GROUP BY ALL), r AS (SELECT *, popcode IN ('NATION_1', 'NATION_2') AS named, row_number() OVER (PARTITION BY contig ORDER BY median DESC NULLS LAST, popcode) AS rk FROM q),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from ..catalog import query
 from ..fixtures import with_ctes
-from ..operators import distance
+from ..operators import distance, sketches
 from ..operators import identity as ops
 from ..operators import quality as dq
 
@@ -108,6 +108,46 @@ def stat11_calibrated_suspects(spark, sf_dir):
     return ops.calibrated_suspects(d, d.filter(m < 2).select("key_1", "key_2", F.when(m == 0, "within").otherwise("different").alias("kind")))
 
 
+#: Documents read as bases: every letter of the text is one of four. The hash is a bijection of the lesser strand's number.
+BASES = "translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', '01230123012301230123012301')"
+STRANDS = f"""b AS (SELECT doc_id, source, {BASES} AS t FROM documents),
+one AS (SELECT doc_id, source, i, substr(t, i::INT, 1)::UBIGINT AS f1, 3 - substr(t, i::INT, 1)::UBIGINT AS r1 FROM (SELECT *, unnest(range(1, length(t) + 1)) AS i FROM b)),
+two AS (SELECT *, f1 * 4 + lead(f1, 1) OVER w AS f2, r1 + 4 * lead(r1, 1) OVER w AS r2 FROM one WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+four AS (SELECT *, f2 * 16 + lead(f2, 2) OVER w AS f4, r2 + 16 * lead(r2, 2) OVER w AS r4 FROM two WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+eight AS (SELECT *, f4 * 256 + lead(f4, 4) OVER w AS f8, r4 + 256 * lead(r4, 4) OVER w AS r8 FROM four WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+whole AS (SELECT doc_id, source, f8 * 70368744177664 + lead(f8, 8) OVER w * 1073741824 + lead(f8, 16) OVER w * 16384 + lead(f4, 24) OVER w * 64 + lead(f2, 28) OVER w * 4 + lead(f1, 30) OVER w AS f,
+  r8 + 65536 * lead(r8, 8) OVER w + 4294967296 * lead(r8, 16) OVER w + 281474976710656 * lead(r4, 24) OVER w + 72057594037927936 * lead(r2, 28) OVER w + 1152921504606846976 * lead(r1, 30) OVER w AS r
+  FROM eight WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+km AS (SELECT doc_id, source, least(f, r)::UBIGINT AS x FROM whole WHERE f IS NOT NULL),
+hs AS (SELECT doc_id, source, xor(m, m >> 29) AS h FROM (SELECT doc_id, source, ((xor(x, x >> 31)::UHUGEINT * 11507291218515648293::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT AS m FROM km))"""
+
+
+def _bases(spark, sf_dir):
+    letters = F.regexp_replace(F.lower("text"), "[^a-z]", "")
+    return fx.table(spark, sf_dir, "documents").select("doc_id", "source", F.translate(letters, "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC").alias("bases"))
+
+
+@query(f"""WITH {STRANDS}, sk AS (SELECT source, h FROM (SELECT source, h, row_number() OVER (PARTITION BY source ORDER BY h) AS n FROM (SELECT DISTINCT source, h FROM hs)) WHERE n <= 100000)
+  SELECT source AS key, count(*) AS n, min(h)::VARCHAR AS least, max(h)::VARCHAR AS last, bit_xor(h)::VARCHAR AS mixed FROM sk GROUP BY source""")
+def stat11_sample_sketches(spark, sf_dir):
+    """Sketches of 100,000 canonical 31-mers, a sample being all documents of a source."""
+    hashes = sketches.sketch_hashes(sketches.bottom_sketches(_bases(spark, sf_dir), "source", "bases"))
+    shown = lambda x: F.when(x < 0, x.cast("decimal(20,0)") + F.lit("18446744073709551616").cast("decimal(20,0)")).otherwise(x.cast("decimal(20,0)")).cast("string")
+    ordered = hashes.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by("hash", "place").alias("least"), F.max_by("hash", "place").alias("last"), F.bit_xor("hash").alias("mixed"))
+    return ordered.select("key", "n", *[shown(F.col(c)).alias(c) for c in ("least", "last", "mixed")])
+
+
+@query(f"""WITH {STRANDS}, sk AS (SELECT doc_id, h FROM (SELECT doc_id, h, row_number() OVER (PARTITION BY doc_id ORDER BY h) AS n FROM (SELECT DISTINCT doc_id, h FROM hs)) WHERE n <= 1000),
+  pr AS (SELECT DISTINCT a.doc_id AS key_1, b.doc_id AS key_2 FROM sk a JOIN sk b ON a.h = b.h AND a.doc_id < b.doc_id),
+  sz AS (SELECT doc_id, list_sort(list(h)) AS hs FROM sk GROUP BY doc_id),
+  un AS (SELECT key_1, key_2, list_sort(list_distinct(list_concat(x.hs, y.hs)))[1:1000] AS u, list_intersect(x.hs, y.hs) AS common FROM pr JOIN sz x ON x.doc_id = key_1 JOIN sz y ON y.doc_id = key_2),
+  di AS (SELECT key_1, key_2, len(list_intersect(common, u))::BIGINT AS shared, len(u) AS total FROM un)
+  SELECT key_1, key_2, shared, round(shared::DOUBLE / total, 9) AS jaccard, round(-ln(2 * (shared::DOUBLE / total) / (1 + shared::DOUBLE / total)) / 31, 9) + 0.0 AS distance FROM di WHERE shared > 0 AND -ln(2 * (shared::DOUBLE / total) / (1 + shared::DOUBLE / total)) / 31 <= 0.005""")
+def stat11_near_sketches(spark, sf_dir):
+    """Documents at a Mash distance of at most 0.005 by sketches of 1,000 canonical 31-mers."""
+    return sketches.near_sketches(sketches.bottom_sketches(_bases(spark, sf_dir), "doc_id", "bases", size=1000), 0.005, size=1000)
+
+
 @query(with_ctes("SELECT sample_id, CASE WHEN sample_id % 10 = 0 THEN 'confirmed' WHEN sample_id % 4 = 0 THEN 'suspected' ELSE 'unresolved' END AS outcome, CASE WHEN sample_id % 10 = 0 THEN 'exclude' WHEN sample_id % 4 = 0 THEN 'report with and without' ELSE 'keep' END AS action FROM samples", "samples"))
 def stat12_identity_outcomes(spark, sf_dir):
     s = fx.samples(spark, sf_dir).select("sample_id")
