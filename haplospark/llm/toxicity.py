@@ -23,8 +23,9 @@ from .shared import partitions, store
 
 #: The index holds at most so many labelled documents; its terms are at most so many.
 LABELLED_ROWS, TERMS = 16_384, 2_048
-#: A term must be in so many examples of label 1, and more of them than expected by so many standard deviations.
-LEAST_SUPPORT, LEAST_DEVIATIONS = 3, 3.0
+#: A term must be in so many examples of label 1, more of them than expected by so many standard deviations, and by such a factor:
+#: with less, common words and chance finds come in, and examples vouch for terms that they have chosen themselves.
+LEAST_SUPPORT, LEAST_DEVIATIONS, LEAST_LIFT = 3, 4.0, 2.0
 #: Beginnings of words that count as terms, in characters.
 PREFIXES = (5, 6, 7)
 NEIGHBOURS, BLOCK = 16, 64
@@ -90,7 +91,7 @@ def choose_terms(counts: DataFrame, ones: int, zeros: int, limit: int = TERMS) -
     share = ones / max(ones + zeros, 1)
     expected = (F.col("ones") + F.col("zeros")) * F.lit(share)
     deviations = (F.col("ones") - expected) / F.sqrt(expected * F.lit(1 - share) + 0.5)
-    tied = counts.filter((F.col("ones") >= LEAST_SUPPORT) & (deviations >= LEAST_DEVIATIONS))
+    tied = counts.filter((F.col("ones") >= LEAST_SUPPORT) & (deviations >= LEAST_DEVIATIONS) & (F.col("ones") >= LEAST_LIFT * expected))
     return sorted(r.term for r in tied.orderBy(deviations.desc(), "term").limit(limit).collect())
 
 
