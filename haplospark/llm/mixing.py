@@ -94,10 +94,15 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats
 
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
-    """docs with each row as often as the mix takes it; rows that it takes 0 times go. Columns are those of docs."""
-    taken = mix_sources(docs, **options).select(F.col("doc_id").alias("of"), "repeats").filter("repeats > 0").dropDuplicates(["of"])
+    """docs with each row as often as the mix takes it; rows that it takes 0 times go. Columns are those of docs.
+
+    Rows of one id in one source share a place and are taken alike; an id that stands in several sources is taken by each
+    source's own plan. A row's repeats follow from its source, its place and its source's threshold, so that rows with the
+    same source and id are told by both.
+    """
+    taken = mix_sources(docs, **options).select(F.col("doc_id").alias("of"), F.col("source").alias("from"), "repeats").filter("repeats > 0").distinct()
     rows = docs.select(F.struct(*docs.columns).alias("row"))  # names of docs can't meet those used here
-    joined = rows.join(taken, F.col("row.doc_id").eqNullSafe(F.col("of")))
+    joined = rows.join(taken, F.col("row.doc_id").eqNullSafe(F.col("of")) & F.col("row.source").eqNullSafe(F.col("from")))
     return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select("row.*")
 
 

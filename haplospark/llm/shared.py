@@ -19,7 +19,7 @@ def shared_folder(spark: SparkSession) -> str:
     """A new folder below the shared one, as a URI; it exists on return."""
     top = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
     if not top:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError(f"{SETTING} must name a folder that all executors share")
         top = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set(SETTING, top)

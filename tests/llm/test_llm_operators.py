@@ -809,3 +809,13 @@ def test_collocations_of_awkward_tables(spark, awkward, nothing):
     same(collocations.mine_collocations(awkward), collocations.ORACLE_SQL, documents=awkward.select("text", "lang"))
     one = spark.createDataFrame([("a b " * 40_000 + ".", None)], "text string, lang string")
     assert sorted(map(tuple, collocations.mine_collocations(one).collect())) == brute_collocations([(None, "a b " * 40_000)], 2000, 30)
+
+
+def test_mix_of_ids_in_two_sources(spark):
+    """The written rows of each source hold what its plan takes, also where both sources have the same ids."""
+    rows = [(i, prose(1 + i % 7, i), s) for s in ("s0", "s1") for i in range(150)] + [(i, prose(5, i), "s2") for i in range(20)] + [(3, prose(4, 3), None), (None, prose(6, 1), "s1")]
+    docs = documents(spark, rows)
+    plan = {r.source: (r.taken, r.target) for r in mixing.mix_sources(docs).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()}
+    written = {r.source: r.words for r in mixing.apply_mix(docs).groupBy("source").agg(F.sum(mixing.words_of(F.col("text"))).alias("words")).collect()}
+    assert {s: t for s, (t, _) in plan.items() if t} == written
+    assert all(abs(taken - target) <= 7 for taken, target in plan.values())
