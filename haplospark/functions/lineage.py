@@ -8,10 +8,15 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df as a reliable checkpoint in the folder that the cluster names in spark.checkpoint.dir; where it names none, in a
-    temporary one. Executors may be lost afterwards."""
+    """df as a reliable checkpoint in the folder that the cluster names in spark.checkpoint.dir; executors may be lost afterwards.
+
+    Only a local session may name none: it gets a temporary folder.
+    """
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        top = spark.conf.get("spark.checkpoint.dir", None)
+        if not top and sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(top or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()

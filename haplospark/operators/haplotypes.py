@@ -14,6 +14,10 @@ from .calls import variable_sites
 from .distance import all_pairs
 
 AMBIGUOUS = "AMBIGUOUS"
+#: Steps of finding components' roots between two checks whether all are found.
+STEPS = 2
+#: The first radius of the search for edges, and the factor by which it grows.
+RADIUS, GROWTH = 2, 4
 
 
 def haplotype_sequences(calls: DataFrame) -> DataFrame:
@@ -108,10 +112,13 @@ def _joined_parts(edges: DataFrame, part: DataFrame, max_rounds: int) -> tuple[l
         back = jump.select("contig", F.col("own").alias("other"), F.col("other").alias("of"))
         jump = jump.join(back, ["contig", "other"], "left").select("contig", "own", F.when((F.col("of") == F.col("own")) & (F.col("own") < F.col("other")), F.col("own")).otherwise(F.col("other")).alias("root"))
         while True:
-            # a component without an edge of its own is the root of those that point at it
-            on = jump.select("contig", F.col("own").alias("root"), F.col("root").alias("next"))
-            after = jump.join(on, ["contig", "root"], "left").select("contig", "own", F.coalesce("next", "root").alias("root"), (F.coalesce("next", "root") != F.col("root")).alias("moved"))
-            after = cut(after)
+            # each step doubles how far a component sees; one without an edge of its own is the root of those that point at it
+            after = jump.withColumn("first", F.col("root"))
+            for _ in range(STEPS):
+                on = jump.select("contig", F.col("own").alias("root"), F.col("root").alias("next"))
+                jump = after.join(on, ["contig", "root"], "left").select("contig", "own", F.coalesce("next", "root").alias("root"), "first")
+                after = jump
+            after = cut(after.select("contig", "own", "root", (F.col("root") != F.col("first")).alias("moved")))
             done = after.filter("moved").isEmpty()
             jump = after.drop("moved")
             if done:
@@ -171,7 +178,7 @@ def near_haplotypes(queries: DataFrame, nodes: DataFrame, radius: int) -> DataFr
 def haplotype_network(haplotype_table: DataFrame, max_rounds: int = 64) -> DataFrame:
     """The minimum spanning tree of each contig's haplotypes (contig, haplotype, haplotype_seq of ACGT), without all their pairs.
 
-    Edges of up to a radius are found by segments, joined by Boruvka rounds, and the radius doubles until each contig is one
+    Edges of up to a radius are found by segments, joined by Boruvka rounds, and the radius grows until each contig is one
     part. Parts that differ by more than a radius keep no edge up to it: each edge of the tree was the least between its
     parts, as no lighter one was left out. Pairs within a part aren't looked at again, and those within a contig's largest
     part never after it has formed. Ties go by (weight, h1, h2). Columns: contig, h1, h2, weight.
@@ -180,7 +187,7 @@ def haplotype_network(haplotype_table: DataFrame, max_rounds: int = 64) -> DataF
     part = nodes.select("contig", "node", F.col("node").alias("part"))
     longest = nodes.agg(F.max(F.length("digits"))).first()[0] or 0
     found: list[DataFrame] = []
-    radius = 1
+    radius = RADIUS
     while True:
         sizes = part.groupBy("contig", "part").agg(F.count(F.lit(1)).alias("n"))
         giants = cut(sizes.groupBy("contig").agg(F.max(F.struct("n", "part")).alias("most"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("contig", F.col("most.part").alias("giant")))
@@ -192,7 +199,7 @@ def haplotype_network(haplotype_table: DataFrame, max_rounds: int = 64) -> DataF
         found += chosen
         if radius >= longest:
             break
-        radius *= 2
+        radius *= GROWTH
     empty = nodes.select("contig", F.col("node").alias("h1"), F.col("node").alias("h2"), F.lit(0).alias("weight")).limit(0)
     return reduce(DataFrame.unionByName, found, empty).distinct()
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,8 +19,12 @@ def half_open(hits: DataFrame, start: str, end: str) -> DataFrame:
     return hits.withColumns({"start": low - 1, "end": high, "strand": F.when(F.col(start) <= F.col(end), "+").otherwise("-")})
 
 
-def merge_intervals(intervals: DataFrame, *by: str) -> DataFrame:
-    """by..., start, end: the union; touching intervals merge. Islands begin where a start exceeds all earlier ends."""
+#: Bins of positions in which islands are joined, as powers of two: what touches a bin's edge meets in the next, wider bin.
+LEVELS = (14, 28, 48)
+
+
+def _islands(intervals: DataFrame, *by: str) -> DataFrame:
+    """Islands begin where a start exceeds all earlier ends."""
     order = W.partitionBy(*by).orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
     marked = intervals.withColumn("_new", F.when(reach.isNull() | (F.col("start") > reach), 1).otherwise(0))
@@ -26,6 +32,36 @@ def merge_intervals(intervals: DataFrame, *by: str) -> DataFrame:
     return marked.groupBy(*by, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
 
 
+def _joined_over_seams(pieces: DataFrame, levels: tuple[int, ...], *by: str) -> DataFrame:
+    """Islands of pieces that lie within bins of the first level each.
+
+    Islands are found bin by bin. One that touches no edge of its bin is whole; the others, two at most per bin, go on to the
+    next level, whose bins hold whole bins of the one before. No window has more than a bin's pieces.
+    """
+    whole = []
+    for bits in levels:
+        own = _islands(pieces.withColumn("_bin", F.shiftright(F.col("start").cast("long"), bits)), *by, "_bin")
+        first = F.shiftleft(F.col("_bin"), bits)
+        edge = (F.col("start") == first) | (F.col("end") == first + (1 << bits))
+        whole.append(own.filter(~edge).drop("_bin"))
+        pieces = own.filter(edge).drop("_bin")
+    return reduce(DataFrame.unionByName, whole, _islands(pieces, *by))
+
+
+def merge_intervals(intervals: DataFrame, *by: str, levels: tuple[int, ...] = LEVELS) -> DataFrame:
+    """by..., start, end: the union; touching intervals merge, and empty ones stay unless they touch another.
+
+    Intervals are cut at the edges of bins, so that a group's intervals are sorted bin by bin and not in one task.
+    """
+    bits = levels[0]
+    first, last = F.shiftright(F.col("start").cast("long"), bits), F.shiftright(F.greatest(F.col("start"), F.col("end") - 1).cast("long"), bits)
+    kinds = {c: intervals.schema[c].dataType for c in ("start", "end")}
+    cut = intervals.select(*by, "start", "end", F.explode(F.sequence(first, last)).alias("_b"))
+    begin = F.shiftleft(F.col("_b"), bits)
+    pieces = cut.select(*by, F.greatest(F.col("start"), begin).alias("start"), F.least(F.col("end"), begin + (1 << bits)).alias("end"))
+    return _joined_over_seams(pieces, levels, *by).withColumns({c: F.col(c).cast(k) for c, k in kinds.items()})
+
+
 def in_bins(intervals: DataFrame, bin_size: int, *keep: str) -> DataFrame:
     """keep..., bin, start, end: the piece of each interval in each bin of positions; a union by bin needs no task for all."""
     cut = intervals.filter("start < end").select(*keep, "start", "end", F.explode(F.sequence(F.floor(F.col("start") / bin_size), F.floor((F.col("end") - 1) / bin_size))).alias("bin"))
@@ -36,15 +72,17 @@ def covered_bases(intervals: DataFrame, *by: str) -> DataFrame:
     return merge_intervals(intervals, *by).groupBy(*by).agg(F.sum(F.col("end") - F.col("start")).cast("long").alias("bases"))
 
 
-def support_islands(support: DataFrame, total: str, fraction: float, length: int, *by: str, ceiling: bool = False) -> DataFrame:
+def support_islands(support: DataFrame, total: str, fraction: float, length: int, *by: str, ceiling: bool = False, levels: tuple[int, ...] = LEVELS) -> DataFrame:
     """(by..., pos, support, total) -> start, end of the longest runs of positions with enough support, of at least length.
 
-    Enough is support / total >= fraction, or with ``ceiling`` support >= ceil(total * fraction).
+    Enough is support / total >= fraction, or with ``ceiling`` support >= ceil(total * fraction). Runs are found in bins of
+    positions and joined over the bins' seams.
     """
     least = F.ceil(F.col(total) * fraction) if ceiling else F.col(total) * fraction
-    good = support.filter(F.col("support") >= least).withColumn("_run", F.col("pos") - F.row_number().over(W.partitionBy(*by).orderBy("pos")))
-    runs = good.groupBy(*by, "_run").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("end"))
-    return runs.filter(F.col("end") - F.col("start") >= length).drop("_run")
+    good = support.filter(F.col("support") >= least).withColumn("_bin", F.shiftright(F.col("pos").cast("long"), levels[0]))
+    good = good.withColumn("_run", F.col("pos") - F.row_number().over(W.partitionBy(*by, "_bin").orderBy("pos")))
+    runs = good.groupBy(*by, "_bin", "_run").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("end")).drop("_bin", "_run")
+    return _joined_over_seams(runs, levels, *by).filter(F.col("end") - F.col("start") >= length)
 
 
 def complement_intervals(intervals: DataFrame, length: int, *by: str) -> DataFrame:
@@ -62,7 +100,7 @@ def interval_overlap(features: DataFrame, intervals: DataFrame, feature_key: str
     Both sides are cut at the edges of bins of positions, so the range join is an equi-join on the bin.
     """
     f = in_bins(features, bin_size, feature_key).withColumnsRenamed({"start": "fs", "end": "fe"})
-    m = merge_intervals(in_bins(intervals, bin_size), "bin").withColumnsRenamed({"start": "ms", "end": "me"})
+    m = _islands(in_bins(intervals, bin_size), "bin").withColumnsRenamed({"start": "ms", "end": "me"})
     both = f.join(m, "bin").filter("fs < me and ms < fe")
     sums = both.groupBy(feature_key).agg(F.sum(F.least("fe", "me") - F.greatest("fs", "ms")).alias("overlap"))
     out = features.select(feature_key, "start", "end").join(sums, feature_key, "left").withColumn("overlap", F.coalesce("overlap", F.lit(0)).cast("long"))
@@ -72,7 +110,7 @@ def interval_overlap(features: DataFrame, intervals: DataFrame, feature_key: str
 
 def positions_in_intervals(table: DataFrame, intervals: DataFrame, bin_size: int = BIN) -> DataFrame:
     """Rows of table (pos, ...) inside any interval, once each: a semi join on bins of positions."""
-    m = merge_intervals(in_bins(intervals, bin_size), "bin").withColumnsRenamed({"start": "_s", "end": "_e", "bin": "_bin"})
+    m = _islands(in_bins(intervals, bin_size), "bin").withColumnsRenamed({"start": "_s", "end": "_e", "bin": "_bin"})
     binned = table.withColumn("_b", F.floor(F.col("pos") / bin_size))
     return binned.join(m, (F.col("_b") == F.col("_bin")) & (F.col("pos") >= F.col("_s")) & (F.col("pos") < F.col("_e")), "left_semi").drop("_b")
 

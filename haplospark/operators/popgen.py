@@ -20,11 +20,15 @@ def allele_counts(calls: DataFrame) -> DataFrame:
 
 
 def nucleotide_diversity(calls: DataFrame) -> DataFrame:
-    """Per population: joint sites (all samples callable), differences and comparisons over all pairs there, pi.
+    """Per population: joint sites (all samples callable), differences and comparisons over all pairs there, pi."""
+    return diversity_of_counts(allele_counts(calls))
+
+
+def diversity_of_counts(counts: DataFrame) -> DataFrame:
+    """The same from allele counts.
 
     No pairs are formed: n samples with allele counts c differ in (n * n - sum(c * c)) / 2 pairs at a site.
     """
-    counts = allele_counts(calls)
     joint = F.col("called") == F.col("n")
     squares = sum((F.col(f"c{b}") * F.col(f"c{b}") for b in BASES), F.lit(0))
     sites = counts.groupBy("contig", "popcode").agg(

@@ -208,14 +208,14 @@ CHECKED = """SELECT contig, count(DISTINCT sample_id) AS samples, count(DISTINCT
   round(sum(z * z), 4) AS total, 0.0::DOUBLE AS residual, 0.0::DOUBLE AS overlap FROM inputs GROUP BY contig"""
 
 
-def _checked(inputs):
+def checked_pca(inputs):
     found = ordination.pca_checks(inputs, ordination.haploid_pca(inputs))
     return found.withColumns({"total": F.round("total", 4), "residual": F.round("residual", 8), "overlap": F.round("overlap", 8)})
 
 
 @query(with_ctes(f", {INPUTS} {CHECKED}", "genotypes"))
 def stat7_pca_checks(spark, sf_dir):
-    return _checked(rs.pca_inputs(_markers(spark, sf_dir)))
+    return checked_pca(rs.pca_inputs(_markers(spark, sf_dir)))
 
 
 FULL = "markers AS (SELECT * FROM all_markers WHERE (contig, pos) IN (SELECT (contig, pos) FROM all_markers GROUP BY contig, pos HAVING avg((g IS NOT NULL)::INT) >= 0.9))"
@@ -224,7 +224,7 @@ FULL = "markers AS (SELECT * FROM all_markers WHERE (contig, pos) IN (SELECT (co
 @query(with_ctes(f", {INPUTS.replace(MARKERS, MARKERS.replace('markers AS', 'all_markers AS') + ', ' + FULL)} {CHECKED}", "genotypes"))
 def stat9_pca_checks(spark, sf_dir):
     """The same on the markers that nearly all samples have."""
-    return _checked(rs.pca_inputs(_complete(_markers(spark, sf_dir))))
+    return checked_pca(rs.pca_inputs(_complete(_markers(spark, sf_dir))))
 
 
 @query()

@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from ..catalog import query
 from ..fixtures import with_ctes
+from ..functions.lineage import cut
 from ..operators import evidence as ev
 from ..operators import haplotypes as hap
 from ..operators import popgen
+from ..operators import resampling as rs
+from ..operators import scenarios as sc
 from ..operators import sensitivity as ops
-from .haplotypes import LABELS
+from .haplotypes import CHECKED, INPUTS, LABELS, MARKERS, checked_pca
 from .haplotypes import TABLE as HAPLOTYPES
 from .populations import COUNTS, DIVERSITY, HUDSON
 
@@ -91,6 +94,65 @@ def stat13_scenario_haplotypes(spark, sf_dir):
     return split_key(hap.haplotypes(hap.haplotype_labels(by_scenario(_scenario_calls(spark, sf_dir)))))
 
 
+#: The scenarios of the filtered runs: three whole ones, and two that change only the support of the mask, on one contig.
+FILTERED = [
+    sc.Scenario("baseline", 1, 10, 0.9, 0.6, 0.5),
+    sc.Scenario("middle", 2, 15, 0.7, 0.55, 0.5),
+    sc.Scenario("strict", 3, 20, 0.5, 0.5, 0.5),
+    sc.Scenario("mask70", 2, 15, 0.0, 0.7, 0.5, "baseline", ("c1",)),
+    sc.Scenario("mask80", 2, 15, 0.0, 0.8, 0.5, "baseline", ("c1",)),
+]
+FILTERED_SQL = """scen AS (SELECT * FROM (VALUES ('baseline', 1, 10, 1, 0.9::DOUBLE, 0.6::DOUBLE, 0.5::DOUBLE, NULL), ('middle', 2, 15, 2, 0.7, 0.55, 0.5, NULL), ('strict', 3, 20, 3, 0.5, 0.5, 0.5, NULL), ('mask70', 2, 15, 1, 0.9, 0.7, 0.5, 'c1'), ('mask80', 2, 15, 1, 0.9, 0.8, 0.5, 'c1')) s(scenario, d, q, bd, b, f, mm, only_contig)),
+elig AS (SELECT s.scenario, g.contig, g.sample_id FROM scen s JOIN genotypes g ON s.only_contig IS NULL OR s.only_contig = g.contig GROUP BY s.scenario, g.contig, g.sample_id, s.bd, s.b HAVING avg((g.dp >= s.bd)::INT) >= s.b),
+own AS (SELECT s.*, g.* FROM genotypes g JOIN elig e USING (contig, sample_id) JOIN scen s ON s.scenario = e.scenario),
+good AS (SELECT scenario, contig, pos FROM own GROUP BY scenario, contig, pos, f HAVING count(*) FILTER (WHERE dp >= d) >= ceil(count(*) * f)),
+runs AS (SELECT scenario, contig, min(pos) AS start, max(pos) + 1 AS "end" FROM (SELECT *, pos - row_number() OVER (PARTITION BY scenario, contig ORDER BY pos) AS run FROM good) GROUP BY scenario, contig, run),
+islands AS (SELECT * FROM runs WHERE "end" - start >= 50),
+inside AS (SELECT o.* FROM own o JOIN islands i ON o.scenario = i.scenario AND o.contig = i.contig AND o.pos >= i.start AND o.pos < i."end"),
+passed AS (SELECT *, dp >= d AND gq >= q AND base <> 'N' AS pass FROM inside),
+sites AS (SELECT scenario, contig, pos, any_value(mm) AS mm, max(qual) AS best, count(*) AS n, count(gt) FILTER (WHERE pass) AS called, coalesce(sum(gt) FILTER (WHERE pass), 0) AS alt FROM passed GROUP BY ALL),
+layers AS (SELECT *, best >= 30 AND (n - called)::DOUBLE / n <= mm AS ok FROM sites),
+keyed AS (SELECT p.scenario || '|' || p.contig AS contig, p.sample_id, p.popcode, p.pos, CASE WHEN p.pass AND (p.base = p.ref OR (l.ok AND l.alt >= 1)) THEN p.base ELSE 'N' END AS base FROM passed p JOIN layers l USING (scenario, contig, pos)),
+genotyped AS (SELECT p.scenario || '|' || p.contig AS contig, p.sample_id, p.pos, CASE WHEN p.pass THEN p.gt END AS g FROM passed p JOIN layers l USING (scenario, contig, pos) WHERE l.ok AND l.alt BETWEEN 2 AND l.called - 2)"""
+NAMED = "split_part(contig, '|', 1) AS scenario, split_part(contig, '|', 2) AS contig"
+
+
+def _filtered(spark, sf_dir):
+    return sc.scenario_evidence(fx.genotypes(spark, sf_dir), FILTERED)
+
+
+@query(with_ctes(f', {FILTERED_SQL} SELECT scenario, contig, start, "end" FROM islands', "genotypes"))
+def stat13_scenario_islands(spark, sf_dir):
+    """Islands of at least 50 supported positions of each scenario, mask-only ones among them."""
+    g = fx.genotypes(spark, sf_dir)
+    found = sc.scenario_islands(g.join(sc.eligible_samples(g, FILTERED), ["contig", "sample_id"]), FILTERED)
+    names = F.array(*[F.lit(s.name) for s in FILTERED])
+    return found.select(F.element_at(names, F.col("scenario") + 1).alias("scenario"), "contig", "start", "end")
+
+
+@query(with_ctes(f", {FILTERED_SQL}, {S_DIV} SELECT {NAMED}, popcode, samples, joint_sites, round(differences::DOUBLE / nullif(compared, 0), 9) AS pi FROM diversity", "genotypes"))
+def stat13_filtered_diversity(spark, sf_dir):
+    d = popgen.diversity_of_counts(sc.scenario_counts(_filtered(spark, sf_dir), FILTERED))
+    return split_key(d).select("scenario", "contig", "popcode", "samples", "joint_sites", "pi")
+
+
+SCENARIO_INPUTS = INPUTS.replace(MARKERS, "markers AS (SELECT contig, sample_id, pos, g FROM genotyped)")
+
+
+@query(with_ctes(f", {FILTERED_SQL}, {SCENARIO_INPUTS} SELECT {NAMED}, pos, sample_id, round(z, 9) + 0.0 AS z FROM inputs", "genotypes"))
+def stat13_scenario_pca_inputs(spark, sf_dir):
+    """Standardised genotypes at each scenario's sites with either allele twice."""
+    return split_key(rs.pca_inputs(sc.scenario_markers(_filtered(spark, sf_dir), FILTERED))).select("scenario", "contig", "pos", "sample_id", "z")
+
+
+@query(with_ctes(f", {FILTERED_SQL}, {SCENARIO_INPUTS}, sizes AS (SELECT contig FROM inputs GROUP BY contig HAVING least(count(DISTINCT sample_id) - 1, count(DISTINCT pos)) >= 2), checked AS ({CHECKED.replace('FROM inputs', 'FROM inputs SEMI JOIN sizes USING (contig)')}) SELECT * REPLACE (split_part(contig, '|', 2) AS contig), split_part(contig, '|', 1) AS scenario FROM checked", "genotypes"))
+def stat13_scenario_pca_checks(spark, sf_dir):
+    """The ordination of each scenario, by what any correct one meets; scenarios without two components have none."""
+    inputs = rs.pca_inputs(sc.scenario_markers(_filtered(spark, sf_dir), FILTERED))
+    sizes = inputs.groupBy("contig").agg(F.least(F.count_distinct("sample_id") - 1, F.count_distinct("pos")).alias("n")).filter("n >= 2")
+    return split_key(checked_pca(cut(inputs.join(sizes, "contig", "left_semi"))))
+
+
 def _pairs(df, value, *key):
     base = df.filter("scenario = 'baseline'").drop("scenario")
     other = df.filter("scenario <> 'baseline'")
