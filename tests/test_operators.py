@@ -30,7 +30,7 @@ def test_nucleotide_diversity(spark):
 
 @pytest.mark.parametrize(
     ("p", "q", "sites", "fst"),
-    [(("AA", "AA"), ("TT", "TT"), 2, 1.0), (("A", "T"), ("A", "T"), 1, -1.0), (("AA", "AT"), ("AA", "AA"), 2, 0.0), (("A",), ("A", "T"), 0, None)],
+    [(("ACA", "ACT"), ("AGT", "AGT"), 3, 2 / 3), (("G", "C", "C"), ("C", "G"), 1, -2 / 3), (("AN", "AN"), ("TT", "TA"), 1, 1.0), (("GN", "NN"), ("GG", "GG"), 0, None)],
 )
 def test_hudson_fst(spark, p, q, sites, fst):
     rows = [(i, "P", s) for i, s in enumerate(p)] + [(10 + i, "Q", s) for i, s in enumerate(q)]
@@ -45,9 +45,9 @@ def test_hudson_blocks_keep_invariant_ones(spark):
 
 
 def test_haplotype_diversity(spark):
-    rows = [("c", "P", h) for h in ("H1", "H1", "H2", "AMBIGUOUS")] + [("c", "Q", "AMBIGUOUS"), ("c", "R", "H1")]
+    rows = [("c", "P", h) for h in ("H1", "H1", "H1", "H2", "H3", "AMBIGUOUS")] + [("c", "Q", "AMBIGUOUS"), ("c", "Q", "AMBIGUOUS"), ("c", "R", "H9")]
     got = {r.popcode: r.diversity for r in popgen.haplotype_diversity(spark.createDataFrame(rows, "contig string, popcode string, haplotype string")).collect()}
-    assert got["P"] == pytest.approx(2 / 3) and got["Q"] is None and got["R"] == 0.0
+    assert got["P"] == pytest.approx(0.7) and got["Q"] is None and got["R"] == 0.0
 
 
 def test_private_variants(spark):
@@ -99,23 +99,23 @@ def test_genotype_filters(spark):
 
 
 def test_intervals(spark):
-    i = spark.createDataFrame([(0, 5), (3, 8), (10, 12)], "start int, end int")
-    assert table(intervals.merge_intervals(i), "start", "end") == [(0, 8), (10, 12)]
-    assert intervals.covered_bases(i).first().bases == 10
-    assert table(intervals.complement_intervals(i, 20), "start", "end") == [(8, 10), (12, 20)]
-    support = spark.createDataFrame([(p, s, 10) for p, s in enumerate((8, 8, 7, 8, 8, 8, 0, 8, 8))], "pos int, support int, n int")
+    i = spark.createDataFrame([(9, 11), (2, 9), (14, 15), (22, 24), (20, 26)], "start int, end int")
+    assert table(intervals.merge_intervals(i), "start", "end") == [(2, 11), (14, 15), (20, 26)]
+    assert intervals.covered_bases(i).first().bases == 16
+    assert table(intervals.complement_intervals(i, 30), "start", "end") == [(0, 2), (11, 14), (15, 20), (26, 30)]
+    support = spark.createDataFrame([(p, s, 5) for p, s in enumerate((3, 4, 4, 1, 4, 5, 4, 2, 4))], "pos int, support int, n int")
     for ceiling in (False, True):
-        assert table(intervals.support_islands(support, "n", 0.8, 2, ceiling=ceiling), "start", "end") == [(0, 2), (3, 6), (7, 9)]
-    f = spark.createDataFrame([("a", 0, 4), ("b", 6, 12), ("c", 8, 10)], "k string, start int, end int")
-    got = table(intervals.interval_overlap(f, i, "k", bin_size=3), "k", "overlap", "class")
-    assert got == [("a", 4, "full"), ("b", 4, "partial"), ("c", 0, "none")]
+        assert table(intervals.support_islands(support, "n", 0.8, 2, ceiling=ceiling), "start", "end") == [(1, 3), (4, 7)]
+    f = spark.createDataFrame([("a", 3, 7), ("b", 10, 16), ("c", 11, 14)], "k string, start int, end int")
+    got = table(intervals.interval_overlap(f, i, "k", bin_size=4), "k", "overlap", "class")
+    assert got == [("a", 4, "full"), ("b", 2, "partial"), ("c", 0, "none")]
 
 
 def test_hits(spark):
-    rows = [(1, "q", "s", 90.0, 60, 1, 60, 1, 60, 100.0, 100, 100), (2, "q", "s", 50.0, 60, 41, 100, 100, 41, 50.0, 100, 100)]
+    rows = [(1, "q", "s", 96.0, 50, 1, 50, 11, 60, 80.0, 90, 90), (2, "q", "s", 70.0, 50, 31, 80, 75, 26, 40.0, 90, 90)]
     h = spark.createDataFrame(rows, "hit_no int, query string, subject string, identity double, length int, qstart int, qend int, sstart int, send int, bitscore double, qlen int, slen int")
     r = intervals.weighted_identity(h).first()
-    assert (r.identity, r.same_strand, r.reverse_strand) == (pytest.approx(74.0), 60, 40)
+    assert (r.identity, r.same_strand, r.reverse_strand) == (pytest.approx(86.25), 50, 30)
     assert intervals.best_hit_per_feature(h).first().hit_no == 1
 
 
