@@ -8,6 +8,7 @@ from .. import fixtures as fx
 from ..catalog import query
 from ..fixtures import with_ctes
 from ..functions import columns as fn
+from ..functions import ranks
 from ..operators import haplotypes as ops
 from ..operators import ordination, popgen
 from ..operators import resampling as rs
@@ -135,8 +136,8 @@ def stat1_spearman(spark, sf_dir):
 
 @query(with_ctes(f", {RCOV}, {RANKS.format(x='missing', y='log_depth')} SELECT contig, sample_id, rx, ry FROM rk", "calls"))
 def win4_average_rank(spark, sf_dir):
-    c = _covariates(spark, sf_dir)
-    return c.select("contig", "sample_id", fn.average_rank("missing", "contig").alias("rx"), fn.average_rank("log_depth", "contig").alias("ry"))
+    ranked = ranks.spread_average_rank(_covariates(spark, sf_dir), "missing", "rx", "contig")
+    return ranks.spread_average_rank(ranked, "log_depth", "ry", "contig").select("contig", "sample_id", "rx", "ry")
 
 
 #: Doubled average ranks are whole numbers, so that replicates equal to the observed one are counted exactly.
@@ -156,17 +157,17 @@ def stat2_permutation_spearman(spark, sf_dir):
   SELECT grp, id, p, round(least(1.0, min(p * m / rk) OVER (PARTITION BY grp ORDER BY rk DESC ROWS UNBOUNDED PRECEDING)), 9) AS q FROM r""")
 def win5_bh_adjust(spark, sf_dir):
     o = fx.table(spark, sf_dir, "orders")
-    return fn.bh_adjust(o.select(F.col("o_orderpriority").alias("grp"), F.col("o_orderkey").alias("id"), F.round(((F.col("o_orderkey") * 7919) % 1009 + 1) / 1010, 9).alias("p")), "p", "grp")
+    return ranks.spread_bh_adjust(o.select(F.col("o_orderpriority").alias("grp"), F.col("o_orderkey").alias("id"), F.round(((F.col("o_orderkey") * 7919) % 1009 + 1) / 1010, 9).alias("p")), "p", "grp")
 
 
 @query(with_ctes(f", {RCOV} SELECT contig, list_sort(list(log_depth))[(floor(0.1 * (count(*) - 1)) + 1)::INT] AS low, list_sort(list(log_depth))[(floor(0.9 * (count(*) - 1)) + 1)::INT] AS high FROM cov GROUP BY contig", "calls"))
 def win6_order_statistics(spark, sf_dir):
-    return _covariates(spark, sf_dir).groupBy("contig").agg(fn.order_statistic(F.col("log_depth"), 0.1).alias("low"), fn.order_statistic(F.col("log_depth"), 0.9).alias("high"))
+    return ranks.select_order_statistics(_covariates(spark, sf_dir), "log_depth", {"low": 0.1, "high": 0.9}, "contig")
 
 
 @query(with_ctes(f", {RCOV} SELECT contig, log_depth, round(row_number() OVER (PARTITION BY contig ORDER BY log_depth)::DOUBLE / count(*) OVER (PARTITION BY contig), 9) AS fraction FROM cov", "calls"))
 def win7_ecdf(spark, sf_dir):
-    return fn.ecdf(_covariates(spark, sf_dir), "log_depth", "contig")
+    return ranks.spread_ecdf(_covariates(spark, sf_dir), "log_depth", "contig")
 
 
 MARKERS = "markers AS (SELECT contig, sample_id, pos, gt AS g FROM genotypes)"

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from haplospark.functions import columns as fn
+from haplospark.functions import ranks
 from haplospark.operators import haplotypes, intervals, ordination, resampling, scenarios, sketches
 
 
@@ -243,3 +244,31 @@ def test_spearman_of_ties(spark):
     df = spark.createDataFrame([(1.0, 3.0), (1.0, 2.0), (2.0, 1.0), (None, 9.0)], "x double, y double")
     r = fn.spearman(df, "x", "y").first()
     assert (r.rho, r.n_pairs, r.n_dropped) == (pytest.approx(-0.8660254), 3, 1)
+
+
+# ranks
+
+
+def test_ranks_of_large_groups(spark):
+    """One group of most rows with many ties, and small ones, beside the windows over whole groups."""
+    r = random.Random(12)
+    rows = [("big", i, r.choice([0.5, 0.25, round(r.random(), 2)])) for i in range(900)] + [("two", 1, 0.3), ("two", 2, 0.1), (None, 3, 0.7)]
+    df = spark.createDataFrame(rows, "grp string, id long, p double").repartition(5)
+    got = table(ranks.spread_average_rank(df, "p", "rank", "grp").filter("grp is not null"), "grp", "id", "rank")
+    assert got == table(df.filter("grp is not null").withColumn("rank", fn.average_rank("p", "grp")), "grp", "id", "rank")
+    named = df.filter("grp is not null")
+    near = lambda rows: [(g, i, round(q, 12)) for g, i, q in rows]
+    assert near(table(ranks.spread_bh_adjust(named, "p", "grp"), "grp", "id", "q")) == near(table(fn.bh_adjust(named, "p", "grp"), "grp", "id", "q"))
+    assert table(ranks.spread_ecdf(named, "p", "grp"), "grp", "p", "fraction") == table(fn.ecdf(named, "p", "grp"), "grp", "p", "fraction")
+
+
+def test_selection_by_nested_histograms(spark):
+    r = random.Random(13)
+    rows = [("a", r.gauss(0, 1) ** 7) for _ in range(700)] + [("a", float("nan")), ("a", None), ("b", 2.0), ("b", 2.0), ("c", None)] + [("d", 1.0 + i * 2**-52) for i in range(9)] + [("e", -1e300), ("e", 1e300)]
+    df = spark.createDataFrame(rows, "grp string, v double").repartition(3)
+    fractions = {"low": 0.025, "half": 0.5, "high": 0.975}
+    got = {x.grp: (x.low, x.half, x.high) for x in ranks.select_order_statistics(df, "v", fractions, "grp").collect()}
+    for g in "abde":
+        own = sorted(v for n, v in rows if n == g and v is not None and v == v)
+        assert got[g] == tuple(own[int(q * (len(own) - 1))] for q in fractions.values())
+    assert "c" not in got
