@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -131,3 +131,22 @@ def acceptance_gate(**violations: DataFrame) -> DataFrame:
     """check, violations, status: a row per named table of violations. Findings about the science aren't violations."""
     rows = [df.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(name).alias("check"), "violations") for name, df in violations.items()]
     return reduce(DataFrame.unionByName, rows).withColumn("status", F.when(F.col("violations") == 0, "PASS").otherwise("FAIL"))
+
+
+def write_gated(spark: SparkSession, outputs: dict[str, DataFrame], checks: dict[str, dict[str, Column]], folder: str) -> DataFrame:
+    """Writes each output to a folder of its name as Parquet and counts the rows that break its checks while they are written.
+
+    checks: output -> check -> a condition that is true of rows that violate it (null is no violation). Gives output, check,
+    rows, violations, status; an empty output breaks no check. Counts are taken by the tasks that write: a task that is
+    repeated, or a stage that is recomputed before it, isn't counted twice. Rules over several rows are checked on what was
+    written, by ``acceptance_gate``.
+    """
+    seen = []
+    for name, df in outputs.items():
+        broken = checks.get(name, {})
+        noted = Observation()
+        counts = [F.count_if(c).alias(f"v{i}") for i, c in enumerate(broken.values())]
+        df.observe(noted, F.count(F.lit(1)).alias("rows"), *counts).write.parquet(f"{folder.rstrip('/')}/{name}")
+        found = noted.get
+        seen += [(name, check, found["rows"] or 0, n, "FAIL" if n else "PASS") for i, check in enumerate(broken) for n in [found[f"v{i}"] or 0]]
+    return spark.createDataFrame(seen, "output string, check string, rows long, violations long, status string")

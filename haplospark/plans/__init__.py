@@ -3,4 +3,4 @@
 
 def load() -> None:
     """Import the modules, which register their queries."""
-    from . import alignments, evidence, formats, haplotypes, identity, populations, scenarios  # noqa: F401
+    from . import alignments, evidence, files, formats, haplotypes, identity, populations, scenarios  # noqa: F401

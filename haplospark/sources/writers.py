@@ -75,3 +75,28 @@ def map_lines(diploid: DataFrame) -> DataFrame:
 def write_ped_map(diploid: DataFrame, path: str) -> None:
     ped_lines(diploid).orderBy("sample_id").select("value").write.mode("overwrite").text(f"{path}.ped")
     map_lines(diploid).orderBy("contig", "pos").select("value").write.mode("overwrite").text(f"{path}.map")
+
+
+def genotype_lines(genotypes: DataFrame) -> DataFrame:
+    """genotypes (contig, pos: 0-based, ref, alt, qual, sample_id, gt, dp, gq) -> contig, pos, value: a VCF line per site.
+
+    Samples are in order of their ids; a sample without a row at a site isn't allowed for, as calls are dense. No depth is a dot.
+    """
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("."))
+    value = F.concat_ws(":", text("gt"), F.when(F.col("dp") > 0, text("dp")).otherwise("."), text("gq"))
+    sites = genotypes.groupBy("contig", "pos", "ref", "alt", "qual").agg(F.array_sort(F.collect_list(F.struct("sample_id", value.alias("v")))).alias("s"))
+    start = F.concat_ws("\t", "contig", (F.col("pos") + 1).cast("string"), F.lit("."), "ref", "alt", text("qual"), F.lit("."), F.lit("."), F.lit("GT:DP:GQ"))
+    return sites.select("contig", "pos", F.concat_ws("\t", start, F.array_join(F.transform("s", lambda x: x["v"]), "\t")).alias("value"))
+
+
+def genotype_header(genotypes: DataFrame) -> DataFrame:
+    """value: the two header lines, as one row."""
+    names = genotypes.select("sample_id").distinct().agg(F.array_join(F.array_sort(F.collect_list("sample_id")), "\t").alias("names"))
+    head = "##fileformat=VCFv4.3\n" + "\t".join("#CHROM POS ID REF ALT QUAL FILTER INFO FORMAT".split())
+    return names.select(F.concat_ws("\t", F.lit(head), "names").alias("value"))
+
+
+def write_genotypes(genotypes: DataFrame, path: str) -> None:
+    """A VCF folder: the header in a file of its own, sites in order in the others."""
+    genotype_header(genotypes).write.mode("overwrite").text(path)
+    genotype_lines(genotypes).orderBy("contig", "pos").select("value").write.mode("append").text(path)
