@@ -59,19 +59,39 @@ def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confid
     """labelled (tokens, label) -> rule_id, tokens, label, confidence, support.
 
     FP-growth mines token combinations that go with a label in at least min_support of the rows; rules below
-    min_confidence or above max_tokens go, and so does a rule of which a part says the same at least as surely.
-
-    Two counts go before, which change no rule. Tokens that go with no label often enough are left out: at most tokens per
-    row / min_support are frequent, whatever the number of rows. FP-growth makes all 2**n parts of a row of n frequent
-    tokens, so where one has more than GROWN_TOKENS of them, combinations of up to max_tokens are counted instead. Rows
+    min_confidence or above max_tokens go, and so does a rule of which a part says the same at least as surely. Rows
     without a label are left out; null tokens are none.
     """
+    rules, named = mine_classes(labelled, min_support, min_confidence, max_tokens)
+    if not named:
+        return rules
+    members = F.create_map(*[x for name, tokens in sorted(_members(named).items()) for x in (F.lit(name), F.array(*map(F.lit, tokens)))])
+    out = rules.withColumn("named", F.array().cast("array<string>"))
+    for i in range(max_tokens):
+        out = out.withColumn("one", F.explode_outer(members[F.get("tokens", F.lit(i))]))
+        out = out.withColumn("named", F.when(F.col("one").isNull(), F.col("named")).otherwise(F.array_append("named", F.col("one"))))
+    out = out.withColumn("tokens", F.array_sort("named"))
+    return out.select(F.array_join("tokens", " ").alias("rule_id"), "tokens", "label", "confidence", "support")
+
+
+def mine_classes(labelled: DataFrame, min_support: float, min_confidence: float, max_tokens: int) -> tuple[DataFrame, dict[str, str]]:
+    """(the rules of mine_rules over classes of tokens, token -> name of its class, which is its first token by code point).
+
+    Before FP-growth two steps change no rule. Tokens that go with no label often enough are left out: at most tokens per
+    row / min_support are frequent, whatever the number of rows. Tokens that occur in just the same rows are one class: a
+    rule holds for each of them alike, and one with two of a class has a part that says the same. FP-growth makes all 2**n
+    parts of a row of n classes, so where one has more than GROWN_TOKENS of them, combinations of up to max_tokens are
+    counted instead.
+    """
     rows = labelled.filter("label is not null").select(F.coalesce(F.array_distinct("tokens"), F.array()).alias("tokens"), "label")
     total = rows.count()
     least = max(1, math.ceil(min_support * total - 1e-9))
     frequent = rows.select(F.explode("tokens").alias("token"), "label").groupBy("token", "label").count().filter(F.col("count") >= least)
     known = F.array(*map(F.lit, sorted(r.token for r in frequent.select("token").distinct().collect()))).cast("array<string>")
     rows = store(rows.select(F.array_sort(F.array_intersect("tokens", known)).alias("tokens"), "label"), "frequent_sets")
+    named = _classes(rows)
+    names = F.array(*map(F.lit, sorted(set(named.values())))).cast("array<string>")
+    rows = rows.withColumn("tokens", F.array_sort(F.array_intersect("tokens", names)))
     if rows.filter(F.size("tokens") > GROWN_TOKENS).isEmpty():
         items = rows.select(F.array_append("tokens", F.concat(F.lit(_LABEL), "label")).alias("items"))
         model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
@@ -82,23 +102,46 @@ def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confid
         rules = _counted_rules(rows, least, total, min_confidence, max_tokens)
     rules = rules.withColumn("confidence", F.round("confidence", 9)).withColumn("support", F.round("support", 9))
     rules = store(rules.withColumn("rule_id", F.array_join("tokens", " ")), "rules")
-    part = rules.select(F.col("tokens").alias("part"), F.col("label").alias("says"), F.col("confidence").alias("surely"), F.explode("tokens").alias("token"))
-    whole = rules.select("rule_id", "label", "tokens", "confidence", F.explode("tokens").alias("token"))
-    said = whole.join(part, "token").filter((F.col("label") == F.col("says")) & (F.size("part") < F.size("tokens")) & (F.col("surely") >= F.col("confidence")))
-    said = said.filter(F.size(F.array_except("part", "tokens")) == 0).select("rule_id", "label").distinct()
-    return store(rules.join(said, ["rule_id", "label"], "left_anti"), "pruned_rules")
+    if max_tokens < 2:
+        return rules, named
+    # each rule asks for its few parts by name
+    parts = F.filter(_combinations("tokens", max_tokens - 1), lambda c: F.size(c) < F.size("tokens"))
+    asked = rules.filter(F.size("tokens") > 1).select("rule_id", "label", "confidence", F.explode(parts).alias("part"))
+    said = rules.select(F.col("tokens").alias("part"), "label", F.col("confidence").alias("surely"))
+    weaker = asked.join(said, ["part", "label"]).filter("surely >= confidence").select("rule_id", "label").distinct()
+    return store(rules.join(weaker, ["rule_id", "label"], "left_anti"), "pruned_rules"), named
+
+
+def _classes(rows: DataFrame) -> dict[str, str]:
+    """rows (tokens) -> token -> the first of the tokens that occur in just the same rows, told by two 64-bit hashes and a count over distinct sets."""
+    sets = rows.select("tokens").distinct().select("tokens", F.xxhash64("tokens").alias("a"), F.xxhash64(F.lit(1), "tokens").alias("b"))
+    seen = sets.select(F.explode("tokens").alias("token"), "a", "b").groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b"))
+    first: dict[tuple, str] = {}
+    return {r.token: first.setdefault((r.n, r.a, r.b), r.token) for r in sorted(seen.collect(), key=lambda r: r.token)}
+
+
+def _members(named: dict[str, str]) -> dict[str, list[str]]:
+    members: dict[str, list[str]] = {}
+    for token, name in named.items():
+        members.setdefault(name, []).append(token)
+    return members
+
+
+def _combinations(tokens: str, upto: int) -> Column:
+    """All combinations of 1 to upto of the tokens of a sorted array, each sorted."""
+    grown = F.transform(tokens, lambda x: F.array(x))
+    parts = grown
+    for _ in range(upto - 1):
+        # each combination goes on with the tokens after its last one
+        longer = F.flatten(F.transform(grown, lambda c: F.transform(F.filter(tokens, lambda x: x > F.element_at(c, -1)), lambda x: F.array_append(c, x))))
+        parts, grown = F.concat(parts, longer), longer
+    return parts
 
 
 def _counted_rules(rows: DataFrame, least: int, total: int, min_confidence: float, max_tokens: int) -> DataFrame:
     """rows (tokens, label) -> tokens, label, confidence, support of all combinations of up to max_tokens that reach both bounds."""
     rows = rows.groupBy("tokens", "label").agg(F.count(F.lit(1)).alias("n"))
-    grown = F.transform("tokens", lambda x: F.array(x))
-    parts = grown
-    for _ in range(max_tokens - 1):
-        # each combination goes on with the tokens after its last one
-        longer = F.flatten(F.transform(grown, lambda c: F.transform(F.filter("tokens", lambda x: x > F.element_at(c, -1)), lambda x: F.array_append(c, x))))
-        parts, grown = F.concat(parts, longer), longer
-    counts = rows.select(F.explode(parts).alias("tokens"), "label", "n").groupBy("tokens", "label").agg(F.sum("n").alias("n"))
+    counts = rows.select(F.explode(_combinations("tokens", max_tokens)).alias("tokens"), "label", "n").groupBy("tokens", "label").agg(F.sum("n").alias("n"))
     whole = counts.groupBy("tokens").agg(F.sum("n").alias("all"), F.collect_list(F.struct("label", "n")).alias("by"))
     rules = whole.select("tokens", "all", F.explode("by").alias("x")).select("tokens", "x.label", (F.col("x.n") / F.col("all")).alias("confidence"), (F.col("x.n") / total).alias("support"), "x.n")
     return rules.filter((F.col("n") >= least) & (F.col("confidence") >= min_confidence)).drop("n")
@@ -123,7 +166,7 @@ def judge_urls(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES,
     The longest explicit rule decides. Other urls are judged by association rules, mined from labelled (url, label), or, if
     that isn't given, from those urls of pages that an explicit rule decides. A url that no mined rule fits is allowed.
 
-    Urls are cut down to the tokens that occur in rules and grouped before they are matched, so the index is asked once for
+    Urls are cut down to the classes of tokens that occur in rules and grouped before they are matched, so the index is asked once for
     each distinct set. Null urls and urls without ``://`` have empty host and path and are judged like any other. Repeated
     rows are judged alike. An empty table gives no rows; without any label nothing is mined.
     """
@@ -139,9 +182,13 @@ def judge_urls(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES,
     decided = rows.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.col("fit.verdict").alias("said"), "all_tokens")
     if labels.isEmpty():
         return decided.select("page_id", "host", "path", "rule", F.coalesce("said", F.lit(DEFAULT)).alias("verdict"))
-    mined = mine_rules(labels, **mining)
-    known = sorted(r[0] for r in mined.select(F.explode("tokens")).distinct().collect())
-    tokens = F.array_sort(F.array_intersect("all_tokens", F.array(*map(F.lit, known)) if known else F.array().cast("array<string>")))
+    mined, named = mine_classes(labels, **({"min_support": MIN_SUPPORT, "min_confidence": MIN_CONFIDENCE, "max_tokens": MAX_TOKENS} | mining))
+    asked = {r[0] for r in mined.select(F.explode("tokens")).distinct().collect()}
+    known = sorted(token for token, name in named.items() if name in asked)
+    tokens = F.array().cast("array<string>")
+    if known:
+        name_of = F.create_map(*[F.lit(x) for token in known for x in (token, named[token])])
+        tokens = F.array_sort(F.array_distinct(F.transform(F.array_intersect("all_tokens", F.array(*map(F.lit, known))), lambda x: name_of[x])))
     columns = ["page_id", "host", "path", "rule"]
     others = decided.filter("said is null").select(*columns, tokens.alias("tokens"))
     fits = others.filter(F.size("tokens") > 0)

@@ -562,6 +562,19 @@ def test_long_queries_are_mined_in_bounded_time(spark):
     assert rules[("tld:com",), "block"] == 0.9 and rules[("tld:net",), "allow"] == 1.0 and max(len(t) for t, _ in rules) == 3
 
 
+def test_parameters_that_come_together_are_one_class(spark):
+    rows = [(i, [f"p{j}" for j in range(300)] if i % 10 == 0 else ["q", f"r{i % 3}"], "block" if i % 10 == 0 else "allow") for i in range(100)]
+    frame = spark.createDataFrame([r[1:] for r in rows], "tokens array<string>, label string")
+    rules, named = url_rules.mine_classes(frame, 0.02, 0.75, 3)
+    assert {r.rule_id: (r.label, r.confidence, r.support) for r in rules.collect()} == {"p0": ("block", 1.0, 0.1), "q": ("allow", 1.0, 0.9)} | {
+        f"r{k}": ("allow", 1.0, sum(1 for i, t, _ in rows if i % 10 and i % 3 == k) / 100) for k in range(3)
+    } and sorted(t for t, n in named.items() if n == "p0") == sorted(f"p{j}" for j in range(300))
+    assert sorted(r.tokens for r in url_rules.mine_rules(frame, 0.02, 0.75, 3).collect() if r.label == "block") == sorted([f"p{j}"] for j in range(300))
+    pages = spark.createDataFrame([(i, f"http://a{i % 7}.test/x?" + "&".join(f"{t}=1" for t in tokens)) for i, tokens, _ in rows] + [(200, "http://new.test/?p17=4"), (201, "http://new.test/")], "page_id long, url string")
+    labelled = pages.filter("page_id < 200").selectExpr("url", "case when page_id % 10 = 0 then 'block' else 'allow' end as label")
+    assert {r.page_id: r.verdict for r in url_rules.judge_urls(pages, labelled).collect()} == {i: label for i, _, label in rows} | {200: "block", 201: "allow"}
+
+
 def test_both_ways_of_mining_agree(spark, monkeypatch):
     r = random.Random(8)
     rows = [(sorted(r.sample("abcdefg", r.randint(0, 5))), r.choice(["block", "block", "allow"])) for _ in range(300)] + [(None, "block"), (["a"], None)]
