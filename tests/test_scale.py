@@ -272,3 +272,33 @@ def test_selection_by_nested_histograms(spark):
         own = sorted(v for n, v in rows if n == g and v is not None and v == v)
         assert got[g] == tuple(own[int(q * (len(own) - 1))] for q in fractions.values())
     assert "c" not in got
+
+
+def test_pairs_of_samples_are_found_in_blocks(spark, monkeypatch):
+    """Distances of several blocks equal those from a join of sites, and no pair is shuffled after it was found."""
+    from haplospark.operators import distance
+
+    rows = [(c, i, p, "ACGTN"[(i * 7 + p * p * 3 + i * p) % 5]) for c, n in (("x", 11), ("y", 3)) for i in range(n) for p in range(0, 150, 3)]
+    calls = spark.createDataFrame([*rows, ("x", 99, 700, "A")], "contig string, sample_id long, pos int, base string")
+    monkeypatch.setattr(distance, "BLOCK", 4)
+    got = distance.pairwise_distance(calls)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "Exchange" not in plan.split("FlatMapGroupsInArrow")[0]
+    key = lambda df: {(r.contig, r.sample_1, r.sample_2): (r.differences, r.sites_compared) for r in df.filter("sites_compared > 0").collect()}
+    assert key(got) == key(distance.distances_by_sites(calls))
+    assert len(key(got)) == 55 + 3
+
+
+def test_repeated_pairs_are_told_without_a_row_per_pair(spark):
+    from haplospark.operators import distance
+
+    rows = [("x", a, b, 0, 5, 0.0) for a in range(40) for b in range(a + 1, 40)]
+    table = spark.createDataFrame([*rows, ("x", 3, 9, 1, 5, 0.2), ("x", 3, 9, 1, 5, 0.2), ("y", 5, 5, 7, 5, 1.4), (None, 1, 2, -1, 5, -0.2), (None, 1, 2, 0, 0, None)], "contig string, sample_1 long, sample_2 long, differences long, sites_compared long, p_distance double")
+    errors = distance.distance_errors(table)
+    plan = errors._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") <= 2  # one pass for the rows, one for what repeats
+    assert sorted((r.check, str(r.contig), r.sample_1, r.sample_2) for r in errors.collect()) == sorted(
+        [("order", "y", 5, 5), ("more_differences_than_sites", "y", 5, 5), ("negative", "None", 1, 2), ("repeated", "None", 1, 2), ("repeated", "x", 3, 9)]
+    )
+    long = spark.createDataFrame([(c, 1, i, i % 7) for c in "xy" for i in range(30)], "contig string, sample_1 long, sample_2 long, differences long")
+    assert {(r.contig, r.pairs, r.least, r.median, r.largest) for r in distance.distance_summary(long).collect()} == {(c, 30, 0, 3.0, 6) for c in "xy"}
