@@ -114,7 +114,7 @@ def snk2_distance_matrix(spark, sf_dir):
     calls = fx.calls(spark, sf_dir).filter(F.col("popcode").isin(*POPULATIONS))
     pops = calls.select(F.col("sample_id"), "popcode").distinct()
     pairs = distance.pairwise_distance(calls)
-    pairs = pairs.join(pops.withColumnsRenamed({"sample_id": "sample_1", "popcode": "p1"}), "sample_1").join(pops.withColumnsRenamed({"sample_id": "sample_2", "popcode": "p2"}), "sample_2").filter("p1 <> p2 and differences > 0")
+    pairs = pairs.join(F.broadcast(pops.withColumnsRenamed({"sample_id": "sample_1", "popcode": "p1"})), "sample_1").join(F.broadcast(pops.withColumnsRenamed({"sample_id": "sample_2", "popcode": "p2"})), "sample_2").filter("p1 <> p2 and differences > 0")
     sums = pairs.groupBy("contig", F.least("p1", "p2").alias("sample_1"), F.greatest("p1", "p2").alias("sample_2")).agg(F.sum("differences").alias("v"))
     return distance.distance_matrix(sums, "v", list(POPULATIONS), 0)
 
