@@ -302,3 +302,70 @@ def test_repeated_pairs_are_told_without_a_row_per_pair(spark):
     )
     long = spark.createDataFrame([(c, 1, i, i % 7) for c in "xy" for i in range(30)], "contig string, sample_1 long, sample_2 long, differences long")
     assert {(r.contig, r.pairs, r.least, r.median, r.largest) for r in distance.distance_summary(long).collect()} == {(c, 30, 0, 3.0, 6) for c in "xy"}
+
+
+def test_sketch_distances_from_places(spark):
+    """Shared hashes among the least of a union, from places alone: no sketch is joined to a pair."""
+    from haplospark.operators import identity
+
+    r = random.Random(3)
+    own = {i: sorted(r.sample([f"{x:03d}" for x in range(60)], r.randint(1, 12))) for i in range(25)}
+    df = spark.createDataFrame([(i, h) for i, hs in own.items() for h in hs], "doc long, hash string")
+    got = identity.sketch_distances(df, "doc", 12, 8)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    want = set()
+    for a in own:
+        for b in own:
+            if a < b and set(own[a]) & set(own[b]):
+                u = sorted(set(own[a]) | set(own[b]))[:12]
+                n = len(set(own[a]) & set(own[b]) & set(u))
+                want.add((a, b, n, round(n / len(u), 9)))
+    assert {(x.key_1, x.key_2, x.shared, round(x.jaccard, 9)) for x in got.collect()} == want
+
+
+def test_partial_sketches_of_many_short_records(spark):
+    """A sketch is sorted anew only when as much has come as it holds; packing in between makes no difference."""
+    r = random.Random(4)
+    rows = [(i % 3, "".join(r.choice("ACGT") for _ in range(40))) for i in range(300)]
+    df = spark.createDataFrame(rows, "key int, text string")
+    whole = {x.key: x.hashes for x in sketches.bottom_sketches(df, "key", "text", 5, 50).collect()}
+    for k in range(3):
+        h = np.concatenate([sketches.kmer_hashes(sketches._CODE[np.frombuffer(t.encode(), np.uint8)], 5)[1] for i, t in rows if i == k])
+        assert bytes(whole[k]) == np.unique(h)[:50].tobytes()
+
+
+def test_ranks_whose_products_pass_64_bits(spark):
+    """Of 60,000 items the product of both sums of doubled ranks passes 64 bits."""
+    n = 60_000
+    df = spark.range(n).select(F.lit("a").alias("grp"), F.col("id"), F.col("id").cast("double").alias("x"), ((F.col("id") * 7919) % n).cast("double").alias("y"))
+    got = resampling.permutation_spearman(df, "x", "y", "id", "grp", permutations=2).first()
+    assert got.n == n and -1 <= got.rho <= 1 and got.p in (1 / 3, 2 / 3, 1.0)
+
+
+def test_only_drawn_pairs_are_compared(spark):
+    from haplospark.operators import popgen
+
+    rows = [("x", f"p{i % 2}", i, p, "ACGTN"[(i * 7 + p * p * 3 + i * p) % 5]) for i in range(60) for p in range(20)]
+    calls = spark.createDataFrame(rows, "contig string, popcode string, sample_id long, pos int, base string")
+    got = popgen.standardised_diversity(calls, draws=3, size=4)
+    assert "b1" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.count() == 6 and got.filter("sites > 0").count() == 6
+
+
+def test_a_nexus_text_goes_with_none_of_its_rows(spark):
+    from haplospark.sources import readers
+
+    text = "TAXLABELS\n" + "\n".join(f"[{i}] 't{i}'" for i in range(1, 7)) + "\n;\nMATRIX\n" + "\n".join(f"[1, size=2]\t50\t{i} {i + 1}," for i in range(1, 6)) + "\n;\n"
+    got = readers.parse_split_nexus(spark.createDataFrame([("a", text)], "tree_id string, value string"))
+    above = got._jdf.queryExecution().optimizedPlan().toString().split("Generate explode")[0]
+    assert "value#" not in above
+    assert [x.members for x in got.orderBy("members").collect()] == [[f"t{i}", f"t{i + 1}"] for i in range(1, 6)]
+
+
+def test_conflicting_splits_meet_once(spark):
+    from haplospark.operators import splits
+
+    rows = [("1", m, 0.1, 90.0, 99.0) for m in (["a", "b", "c"], ["b", "c", "d"], ["a", "b"], ["d", "e"])]
+    got = splits.incompatible_splits(spark.createDataFrame(rows, "tree_id string, members array<string>, length double, sh_alrt double, ufboot double"), list("abcdefgh"))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") <= 2  # of each side's splits, not of pairs
+    assert sorted((x.split_1, x.split_2) for x in got.collect()) == [("a,b", "b,c,d"), ("a,b,c", "b,c,d"), ("b,c,d", "d,e")]
