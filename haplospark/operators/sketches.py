@@ -38,12 +38,23 @@ def kmer_hashes(codes: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
     bad = np.concatenate(([0], np.cumsum(codes > 3)))
     at = np.flatnonzero(bad[k:] == bad[:-k])
     bases = (codes & 3).astype(np.uint64)
-    forward, backward = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-    for j in range(k):
-        own = bases[j : j + n]
-        forward |= own << np.uint64(2 * (k - 1 - j))
-        backward |= (np.uint64(3) - own) << np.uint64(2 * j)
-    x = np.minimum(forward, backward)[at]
+    # numbers of 1, 2, 4... bases from every place, joined to those of k
+    forward, backward, length = bases, np.uint64(3) - bases, 1
+    whole = None
+    while True:
+        if k & length:
+            if whole is None:
+                whole = forward, backward, length
+            else:
+                f, b, l = whole  # noqa: E741
+                m = len(codes) - l - length + 1
+                whole = (f[:m] << np.uint64(2 * length)) | forward[l : l + m], b[:m] | (backward[l : l + m] << np.uint64(2 * l)), l + length
+        if 2 * length > k:
+            break
+        m = len(codes) - 2 * length + 1
+        forward, backward = (forward[:m] << np.uint64(2 * length)) | forward[length : length + m], backward[:m] | (backward[length : length + m] << np.uint64(2 * length))
+        length *= 2
+    x = np.minimum(whole[0], whole[1])[at]
     with np.errstate(over="ignore"):
         x = (x ^ (x >> np.uint64(31))) * np.uint64(FACTOR)
     return at, x ^ (x >> np.uint64(29))
@@ -60,24 +71,44 @@ def partial_sketches(records: DataFrame, key: str, text: str, k: int = K, size:
     own = records.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a key's sketch, what is to be merged into it, and how much that is: sorted anew only when as much has come as a sketch holds
         held: dict = {}
         total = sent = 0
+
+        def merged(key_) -> np.ndarray:
+            nonlocal total
+            own_, new, n = held[key_]
+            if new:
+                out = np.unique(np.concatenate((own_, *new)))[:size]
+                total += len(out) - len(own_) - n
+                held[key_] = [out, [], 0]
+            return held[key_][0]
+
         for batch in batches:
             keys = batch.column(0).to_pylist()
             for key_, text_ in zip(keys, batch.column(1).to_pylist(), strict=True):
                 _, hashes = kmer_hashes(_CODE[np.frombuffer((text_ or "").encode(), np.uint8)], k)
-                if len(hashes):
-                    before = held.get(key_)
-                    new = np.unique(hashes if before is None else np.concatenate((before, hashes)))[:size]
-                    total += len(new) - (0 if before is None else len(before))
-                    held[key_] = new
+                if not len(hashes):
+                    continue
+                mine = held.setdefault(key_, [np.zeros(0, np.uint64), [], 0])
+                if len(mine[0]) == size:
+                    hashes = hashes[hashes < mine[0][-1]]
+                mine[1].append(hashes)
+                mine[2] += len(hashes)
+                total += len(hashes)
+                if mine[2] >= size:
+                    merged(key_)
                 if total > HELD_HASHES:
-                    yield _packed(list(held), list(held.values()), batch.column(0).type, sent)
+                    for x in list(held):
+                        merged(x)
+                    yield _packed(list(held), [x[0] for x in held.values()], batch.column(0).type, sent)
                     sent += len(held)
                     held, total = {}, 0
             kind = batch.column(0).type
+        for x in list(held):
+            merged(x)
         if held:
-            yield _packed(list(held), list(held.values()), kind, sent)
+            yield _packed(list(held), [x[0] for x in held.values()], kind, sent)
 
     return own.mapInArrow(scan, f"key {own.schema['key'].dataType.simpleString()}, piece string, hashes binary")
 
