@@ -160,7 +160,8 @@ def parse_split_nexus(texts: DataFrame) -> DataFrame:
     """(tree_id, value: a splits NEXUS file) -> tree_id, members, length (weight / 100), n_taxa; trivial splits are left out."""
     taxa = F.regexp_extract_all("value", F.lit(r"(?m)^\[\d+\]\s+'?([^'\s]+)'?\s*$"), F.lit(1))
     rows = F.regexp_extract_all("value", F.lit(r"(?m)^\[[^\]]*\]\s+[\d.eE+-]+\s+[\d ]+,\s*$"), F.lit(0))
-    out = texts.select("tree_id", taxa.alias("taxa"), F.explode(rows).alias("row"))
+    # both are found before rows are made of them: a text goes with none of its rows
+    out = texts.select("tree_id", taxa.alias("taxa"), rows.alias("rows")).select("tree_id", "taxa", F.explode("rows").alias("row"))
     weight = F.regexp_extract("row", r"^\[[^\]]*\]\s+([\d.eE+-]+)\s", 1).cast("double")
     numbers = F.split(F.trim(F.regexp_extract("row", r"^\[[^\]]*\]\s+[\d.eE+-]+\s+([\d ]+),", 1)), r"\s+")
     out = out.select("tree_id", "taxa", (weight / 100).alias("length"), F.transform(numbers, lambda i: F.get("taxa", i.cast("int") - 1)).alias("members"))
