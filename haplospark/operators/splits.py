@@ -48,13 +48,14 @@ def supported_contraction(splits: DataFrame, taxa: list[str]) -> DataFrame:
 def incompatible_splits(splits: DataFrame, taxa: list[str]) -> DataFrame:
     """Pairs of strong splits of which all four intersections of sides have a member.
 
-    As sides are the smaller ones, two splits conflict only if they share a member, so candidates come from a join on it.
+    As sides are the smaller ones, two splits conflict only if they share a member, so candidates come from a join on it; a pair
+    counts where its first shared member meets, so that pairs needn't be told apart afterwards.
     """
     n = len(taxa)
     strong = splits.filter(is_strong(F.col("sh_alrt"), F.col("ufboot"))).withColumn("split_key", F.array_join("members", ",")).select("tree_id", "split_key", "members").distinct()
-    one = strong.select("tree_id", F.col("split_key").alias("split_1"), F.col("members").alias("m1"), F.explode("members").alias("member"))
-    two = strong.select("tree_id", F.col("split_key").alias("split_2"), F.col("members").alias("m2"), F.explode("members").alias("member"))
-    pairs = one.join(two, ["tree_id", "member"]).filter("split_1 < split_2").select("tree_id", "split_1", "split_2", "m1", "m2").distinct()
+    one = strong.select("tree_id", F.col("split_key").alias("split_1"), F.col("members").alias("m1"), F.explode(F.array_distinct("members")).alias("member"))
+    two = strong.select("tree_id", F.col("split_key").alias("split_2"), F.col("members").alias("m2"), F.explode(F.array_distinct("members")).alias("member"))
+    pairs = one.join(two, ["tree_id", "member"]).filter("split_1 < split_2").filter(F.array_min(F.array_intersect("m1", "m2")) == F.col("member"))
     conflict = (F.size(F.array_except("m1", "m2")) > 0) & (F.size(F.array_except("m2", "m1")) > 0) & (F.size(F.array_union("m1", "m2")) < n)
     return pairs.filter(conflict).select("tree_id", "split_1", "split_2")
 
