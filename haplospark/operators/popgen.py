@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import BASES, hash_int, is_callable, order_statistic, ratio
-from .distance import all_pairs, pairwise_distance
+from .distance import all_pairs, chosen_distances, pack_calls
 
 
 def allele_counts(calls: DataFrame) -> DataFrame:
@@ -173,21 +173,22 @@ def standardised_diversity(calls: DataFrame, draws: int = 1000, size: int = 4, s
     """Per population with at least ``size`` samples and draw: pi of ``size`` samples drawn without replacement.
 
     Differences and sites are summed over the pairs of the draw at pairwise-callable sites, or with ``joint`` at sites where
-    all samples of the population are callable. Pair sums are made once; a draw takes the samples with the least hashes.
+    all samples of the population are callable. A draw takes the samples with the least hashes; only pairs that are drawn are compared.
     """
     named = calls.filter(F.col("popcode").isNotNull() & (F.col("popcode") != ""))
     if joint:
         sites = named.groupBy("contig", "popcode", "pos").agg(F.count_if(~is_callable(F.col("base"))).alias("missing")).filter("missing = 0")
         named = named.join(sites, ["contig", "popcode", "pos"], "left_semi")
     within = named.withColumn("contig", F.concat_ws("\t", "contig", "popcode"))  # pairs only inside a population
-    pairs = pairwise_distance(within).withColumn("popcode", F.element_at(F.split("contig", "\t"), 2)).withColumn("contig", F.element_at(F.split("contig", "\t"), 1))
     members = calls.filter("popcode <> ''").groupBy("contig", "popcode").agg(F.array_sort(F.collect_set("sample_id")).alias("ids")).filter(F.size("ids") >= size)
     drawn = members.select("contig", "popcode", "ids", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
     ranked = F.array_sort(F.transform("ids", lambda s: F.struct(hash_int(seed, F.col("popcode"), F.col("draw"), s).alias("h"), s.alias("s"))))
     drawn = drawn.select("contig", "popcode", "draw", F.array_sort(F.transform(F.slice(ranked, 1, size), lambda x: x["s"])).alias("ids"))
     one = drawn.select("contig", "popcode", "draw", "ids", F.explode("ids").alias("sample_1"))
     two = one.select("contig", "popcode", "draw", "sample_1", F.explode("ids").alias("sample_2")).filter("sample_1 < sample_2")
-    sums = two.join(pairs, ["contig", "popcode", "sample_1", "sample_2"], "left").groupBy("contig", "popcode", "draw")
+    keyed = two.withColumn("_own", F.concat_ws("\t", "contig", "popcode"))
+    pairs = chosen_distances(pack_calls(within), keyed.select(F.col("_own").alias("contig"), "sample_1", "sample_2")).withColumnRenamed("contig", "_own")
+    sums = keyed.join(pairs, ["_own", "sample_1", "sample_2"], "left").groupBy("contig", "popcode", "draw")
     return sums.agg(F.coalesce(F.sum("differences"), F.lit(0)).alias("differences"), F.coalesce(F.sum("sites_compared"), F.lit(0)).alias("sites")).withColumn("pi", ratio("differences", "sites"))
 
 
