@@ -51,13 +51,14 @@ def parse_vcf(lines: DataFrame, samples: list[str]) -> DataFrame:
     FORMAT keys are matched by name for each line; anything but 0 and 1 is no genotype.
     """
     f = F.split("value", "\t")
-    keys = F.split(f[8], ":")
-    rows = lines.filter(~F.col("value").startswith("#") & (F.col("value") != "")).select(
-        f[0].alias("contig"), f[1].cast("int").alias("pos"), f[3].alias("ref"), F.split(f[4], ",").alias("alts"), f[5].try_cast("double").alias("qual"), keys.alias("keys"), F.posexplode(F.slice(f, 10, 1 << 30)).alias("i", "v")
+    # a line is split before rows are made of its samples: it goes with none of them
+    sites = lines.filter(~F.col("value").startswith("#") & (F.col("value") != "")).select(
+        f[0].alias("contig"), f[1].cast("int").alias("pos"), f[3].alias("ref"), F.split(f[4], ",").alias("alts"), f[5].try_cast("double").alias("qual"), F.split(f[8], ":").alias("keys"), F.slice(f, 10, 1 << 30).alias("all")
     )
+    rows = sites.select("contig", "pos", "ref", "alts", "qual", "keys", F.posexplode("all").alias("i", "v"))
     values = F.split("v", ":")
     field = lambda k: F.get(values, F.array_position("keys", k).cast("int") - 1)
-    names = F.array(*map(F.lit, samples))
+    names = F.split(F.lit("\t".join(samples)), "\t") if samples else F.array().cast("array<string>")  # one literal, however many
     return rows.select("contig", "pos", "ref", "alts", "qual", F.get(names, F.col("i")).alias("sample_id"), F.when(field("GT").isin("0", "1"), field("GT").cast("int")).alias("gt"), field("DP").try_cast("int").alias("dp"), field("GQ").try_cast("int").alias("gq"))
 
 

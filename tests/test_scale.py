@@ -369,3 +369,19 @@ def test_conflicting_splits_meet_once(spark):
     got = splits.incompatible_splits(spark.createDataFrame(rows, "tree_id string, members array<string>, length double, sh_alrt double, ufboot double"), list("abcdefgh"))
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") <= 2  # of each side's splits, not of pairs
     assert sorted((x.split_1, x.split_2) for x in got.collect()) == [("a,b", "b,c,d"), ("a,b,c", "b,c,d"), ("b,c,d", "d,e")]
+
+
+def test_a_vcf_line_goes_with_none_of_its_samples(spark):
+    from haplospark.sources import readers
+
+    got = readers.parse_vcf(spark.createDataFrame([("c\t5\t.\tA\tT\t9.5\t.\t.\tGT:DP:GQ\t0:3:7\t1:.:8",)], "value string"), ["a", "b"])
+    assert "value#" not in got._jdf.queryExecution().optimizedPlan().toString().split("Generate posexplode")[0]
+    assert [tuple(x) for x in got.orderBy("sample_id").collect()] == [("c", 5, "A", ["T"], 9.5, "a", 0, 3, 7), ("c", 5, "A", ["T"], 9.5, "b", 1, None, 8)]
+    assert [x.sample_id for x in readers.parse_vcf(spark.createDataFrame([("c\t5\t.\tA\tT\t9.5\t.\t.\tGT\t0",)], "value string"), []).collect()] == [None]
+
+
+def test_equal_intervals_open_no_gap(spark):
+    """The union of tied intervals, as of customer 2515 of sf0.1: an island that equal intervals open stays apart from the one before."""
+    own = [(4, 17), (156, 165), (165, 171), (172, 189), (172, 189)]
+    df = spark.createDataFrame([("a", s, e) for s, e in own], "name string, start int, end int")
+    assert table(intervals.merge_intervals(df, "name"), "start", "end") == [(4, 17), (156, 171), (172, 189)]
