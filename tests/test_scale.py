@@ -76,6 +76,23 @@ def test_gram_matrix_in_blocks(spark):
     assert len(got) == 23 * 24 // 2 and all(got[a * 7, b * 7] == pytest.approx(g[a, b], abs=1e-9) for a in range(23) for b in range(a, 23))
 
 
+def test_products_of_sample_blocks_are_never_shuffled(spark, monkeypatch):
+    """Two contigs, blocks that lack samples in some marker blocks, and slices smaller than a block."""
+    monkeypatch.setattr(ordination, "SENT", 20)
+    one, two = standardised(30, 40, 5), standardised(9, 6, 6)
+    inputs = long_form(spark, one, two).filter("not (sample_id = 14 and pos > 30)")
+    one[11:, 2] = 0
+    got = ordination.gram_matrix(inputs, block=8)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "FlatMapGroupsInArrow" not in plan and "Exchange" not in plan.split("MapInArrow")[0]
+    rows = got.collect()
+    found = {(r.contig, r.s1, r.s2): r.dot for r in rows}
+    assert len(rows) == len(found) == 30 * 31 // 2 + 9 * 10 // 2
+    for name, z in (("c0", one), ("c1", two)):
+        g = z.T @ z
+        assert all(found[name, a * 7, b * 7] == pytest.approx(g[a, b], abs=1e-9) for a in range(len(g)) for b in range(a, len(g)))
+
+
 # permutations
 
 
