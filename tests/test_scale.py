@@ -76,6 +76,20 @@ def test_gram_matrix_in_blocks(spark):
     assert len(got) == 23 * 24 // 2 and all(got[a * 7, b * 7] == pytest.approx(g[a, b], abs=1e-9) for a in range(23) for b in range(a, 23))
 
 
+def test_a_stage_of_the_pca_has_one_python_step(spark, monkeypatch):
+    """Orthonormal directions come from the rows that were written: no Python step reads from another one in its stage."""
+    plans = []
+    cut, totals = ordination.cut, ordination._totals
+    seen = lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or df
+    monkeypatch.setattr(ordination, "cut", lambda df: cut(seen(df)))
+    monkeypatch.setattr(ordination, "_totals", lambda state, *a: totals(seen(state), *a))
+    monkeypatch.setattr(ordination, "FULL", 20)
+    monkeypatch.setattr(ordination, "STEPS", 2)
+    ordination.haploid_pca(long_form(spark, standardised(40, 50, 8)), block=16)
+    state = [p for p in plans if ("gk#" in p or "y#" in p) and "cells#" not in p and "parquet" in p]
+    assert len(state) > 6 and all(p.count("MapInArrow") <= 1 for p in state)
+
+
 def test_products_of_sample_blocks_are_never_shuffled(spark, monkeypatch):
     """Two contigs, blocks that lack samples in some marker blocks, and slices smaller than a block."""
     monkeypatch.setattr(ordination, "SENT", 20)
