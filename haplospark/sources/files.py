@@ -26,6 +26,7 @@ from .readers import HITS, INTERVALS
 RANGE_BYTES, BATCH_LINES, BATCH_BYTES = 32 << 20, 8192, 8 << 20
 GENOTYPE = "struct<gt: int, dp: int, gq: int>"
 SITE = "contig string, pos int, ref string, alts array<string>, qual double"
+LONG_GENOTYPES = SITE + ", sample_id string, gt int, dp int, gq int"
 
 
 @dataclass
@@ -168,10 +169,30 @@ class HitFiles(_Source):
 
 
 class GenotypeFiles(_Source):
-    """VCF: contig, pos (1-based), ref, alts, qual and, by the header, a column per sample with gt (0, 1 or NULL), dp and gq."""
+    """VCF: contig, pos (1-based), ref, alts, qual and, by the header, a column per sample with gt (0, 1 or NULL), dp and gq.
+
+    With the option ``long`` a row per site and sample instead, as ``readers.parse_vcf`` gives them: for any number of samples,
+    where a column each would make a plan that grows with them.
+    """
 
     short, batch_rows = "vcf", 1024
 
+    def __init__(self, options: dict[str, str]) -> None:
+        super().__init__(options)
+        self.long = options.get("long", "false").lower() == "true"
+        self.names: list[str] = []
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        if self.long:
+            self.names, self.batch_rows = self.samples(), BATCH_LINES
+        return super().reader(schema)
+
+    def rows(self, part: Range, wanted: set[bytes] | None) -> Iterator[tuple]:
+        sites = super().rows(part, wanted)
+        if not self.long:
+            return sites
+        return ((*site[:5], name, *call) for site in sites for name, call in zip(self.names, site[5:], strict=True))
+
     def samples(self) -> list[str]:
         """The sample names of the first header line; only the heads of files are read."""
         system, _ = _located(self.options["path"])
@@ -184,6 +205,8 @@ class GenotypeFiles(_Source):
         return []
 
     def schema(self) -> str:
+        if self.long:
+            return LONG_GENOTYPES
         quoted = [f"`{s.replace('`', '``')}` {GENOTYPE}" for s in self.samples()]
         return ", ".join([SITE, *quoted])
 
@@ -191,10 +214,15 @@ class GenotypeFiles(_Source):
         keys = fields[8].split(":") if len(fields) > 8 else []
         at = [keys.index(k) if k in keys else -1 for k in ("GT", "DP", "GQ")]
         out = [fields[0], int(fields[1]), fields[3], fields[4].split(","), _number(fields[5], float)]
+        known: dict = {}  # equal values are parsed once per line
         for value in fields[9:]:
-            v = value.split(":")
-            gt, dp, gq = (v[i] if 0 <= i < len(v) else "" for i in at)
-            out.append({"gt": int(gt) if gt in ("0", "1") else None, "dp": _number(dp, int), "gq": _number(gq, int)})
+            call = known.get(value)
+            if call is None:
+                v = value.split(":")
+                gt, dp, gq = (v[i] if 0 <= i < len(v) else "" for i in at)
+                call = int(gt) if gt in ("0", "1") else None, _number(dp, int), _number(gq, int)
+                call = known[value] = call if self.long else dict(zip(("gt", "dp", "gq"), call, strict=True))
+            out.append(call)
         return tuple(out)
 
 
@@ -267,7 +295,10 @@ def open_files(spark: SparkSession, short: str, path: str, keys: list[str] | Non
 
 
 def long_genotypes(wide: DataFrame) -> DataFrame:
-    """A row per site with a column per sample -> a row per site and sample, as ``readers.parse_vcf`` gives them."""
+    """A row per site with a column per sample -> a row per site and sample, as ``readers.parse_vcf`` gives them.
+
+    The plan has an expression per sample; files of many samples are read with the option ``long``.
+    """
     from pyspark.sql import functions as F
 
     site = ["contig", "pos", "ref", "alts", "qual"]

@@ -59,6 +59,18 @@ def test_genotype_columns_come_from_the_header(spark, tmp_path):
     assert rows(files.long_genotypes(wide)) == rows(readers.read_genotypes(spark, path))
 
 
+def test_genotypes_as_rows_have_no_column_per_sample(spark, tmp_path):
+    g = spark.range(40).selectExpr("'k' as contig", "cast(id % 2 as int) as pos", "'A' as ref", "'T' as alt", "30.5D as qual", "concat('s', id div 2) as sample_id", "cast(case when id % 3 > 0 then id % 3 - 1 end as int) as gt", "cast(id % 5 as int) as dp", "cast(id as int) as gq")
+    path = str(tmp_path / "v")
+    writers.write_genotypes(g, path)
+    expected = rows(readers.read_genotypes(spark, path))
+    for size in (11, 1 << 20):
+        got = files.open_files(spark, "vcf", path, long="true", rangeBytes=str(size))
+        assert got.columns == ["contig", "pos", "ref", "alts", "qual", "sample_id", "gt", "dp", "gq"]
+        assert rows(got) == expected and len(expected) == 40
+    assert files.open_files(spark, "vcf", path, ["none"], long="true").count() == 0
+
+
 def test_lines_that_are_no_hits_fail_and_missing_folders_too(spark, tmp_path):
     (tmp_path / "h").write_text("q\ts\t1.0\n")
     with pytest.raises(Exception, match="11 columns"):
