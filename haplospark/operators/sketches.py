@@ -8,6 +8,7 @@ sketches meet some at a time, so that neither a k-mer nor a sample's k-mers are
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,10 @@ K, SIZE = 31, 100_000
 HELD_HASHES, FAN = 1 << 22, 8
 #: Sketches that hold one hash are compared in blocks of about so many.
 HOT = 256
+#: Sketches that one is compared with in one place, about.
+PARTNERS = 256
+#: Hashes that are told to all tasks as common, of those that so many sketches have at least, and the size of a bucket of places, about.
+MOST_COMMON, COMMON, BUCKET_BYTES = 1 << 20, 8, 16 << 20
 FACTOR = 0x9FB21C651E98DF25
 
 _CODE = np.full(256, 4, np.uint8)
@@ -160,60 +165,182 @@ def least_jaccard(cutoff: float, k: int) -> float:
     return x / (2 - x)
 
 
-def candidate_pairs(sketches: DataFrame, jaccard: float) -> DataFrame:
+def common_hashes(sketches: DataFrame, most: int = MOST_COMMON) -> tuple[np.ndarray, np.ndarray]:
+    """The commonest hashes, ascending, and about how many sketches have them: at most ``most``, whatever the input.
+
+    Tasks count what they hold and send on what they hold twice. This only orders hashes: any order gives the same pairs.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = [], 0
+
+        def counted() -> pa.RecordBatch:
+            h, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(h[n > 1]), pa.array(n[n > 1])], ["hash", "n"])
+
+        for batch in batches:
+            for b in batch.column(0):
+                held.append(np.frombuffer(b.as_py(), np.int64))
+                total += len(held[-1])
+                if total > HELD_HASHES:
+                    yield counted()
+                    held, total = [], 0
+        if held:
+            yield counted()
+
+    counts = sketches.select("hashes").mapInArrow(count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON)
+    found = counts.orderBy(F.desc("n"), "hash").limit(most).toArrow()
+    h, n = found.column("hash").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def prefix_entries(sketches: DataFrame, jaccard: float) -> DataFrame:
+    """key, size, hash, i: of the first n - ceil(jaccard * n) + 1 of each sketch's n hashes, common ones last, those that others have there.
+
+    Places are packed by bucket of the hash and shuffled once; what one sketch alone has ends in its bucket.
+    """
+    spark = sketches.sparkSession
+    told = spark.sparkContext.broadcast(common_hashes(sketches))
+    total = sketches.agg(F.sum(F.octet_length("hashes"))).first()[0] or 0
+    buckets = max(64, int(total * (1 - jaccard) * 2 / BUCKET_BYTES) + 1)
+    kind = sketches.schema["key"].dataType
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, df = told.value
+        keys, sizes, hashes, places, total = [], [], [], [], 0
+
+        def packed() -> pa.RecordBatch:
+            h, i = np.concatenate(hashes), np.concatenate(places)
+            own = np.repeat(np.arange(len(keys), dtype=np.uint32), [len(x) for x in hashes])
+            bucket = (h % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((h, bucket))
+            names, begin = np.unique(bucket[order], return_index=True)
+            columns: list[list] = [[], [], [], []]
+            for rows in np.split(order, begin[1:]):
+                mine, at = np.unique(own[rows], return_inverse=True)
+                columns[0].append([keys[k] for k in mine])
+                columns[1].append([sizes[k] for k in mine])
+                columns[2].append(h[rows].tobytes())
+                columns[3].append(zlib.compress(np.concatenate([at.astype(np.uint32), i[rows].astype(np.uint32)]).view(np.uint8).reshape(-1, 4).T.tobytes(), 1))
+            kinds = (pa.list_(batch.column(0).type), pa.list_(pa.int32()), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], ["bucket", "keys", "sizes", "hashes", "places"])
+
+        for batch in batches:
+            for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                h = np.frombuffer(data, np.uint64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    h = h[np.lexsort((h, np.where(known[at] == h, df[at], 0)))]
+                h = h[: len(h) - math.ceil(jaccard * len(h) - 1e-9) + 1]
+                keys.append(key)
+                sizes.append(len(data) // 8)
+                hashes.append(h)
+                places.append(np.arange(len(h)))
+                total += len(h)
+                if total > HELD_HASHES:
+                    yield packed()
+                    keys, sizes, hashes, places, total = [], [], [], [], 0
+        if keys:
+            yield packed()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, held = None, []
+
+        def shared() -> pa.RecordBatch:
+            keys = pa.concat_arrays([x[0] for x in held])
+            starts = np.cumsum([0, *(len(x[0]) for x in held[:-1])])
+            sizes, h = np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held])
+            pairs = [np.frombuffer(zlib.decompress(x[3]), np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel().reshape(2, -1) for x in held]
+            own = np.concatenate([p[0].astype(np.int64) + n for p, n in zip(pairs, starts.tolist(), strict=True)])
+            i = np.concatenate([p[1] for p in pairs]).astype(np.int32)
+            _, at, n = np.unique(h, return_inverse=True, return_counts=True)
+            use = n[at] > 1
+            return pa.RecordBatch.from_arrays([keys.take(pa.array(own[use])), pa.array(sizes[own[use]]), pa.array(h[use].view(np.int64)), pa.array(i[use])], ["key", "size", "hash", "i"])
+
+        for batch in batches:
+            for r in range(batch.num_rows):
+                bucket = batch.column(0)[r].as_py()
+                if bucket != name and held:
+                    yield shared()
+                    held = []
+                name = bucket
+                held.append((batch.column(1)[r].values, batch.column(2)[r].values.to_numpy(), np.frombuffer(batch.column(3)[r].as_py(), np.uint64), batch.column(4)[r].as_py()))
+        if held:
+            yield shared()
+
+    key = kind.simpleString()
+    dealt = sketches.select("key", "hashes").mapInArrow(deal, f"bucket int, keys array<{key}>, sizes array<int>, hashes binary, places binary")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, f"key {key}, size int, hash long, i int")
+
+
+def candidate_pairs(sketches: DataFrame, jaccard: float, copies: DataFrame) -> DataFrame:
     """key_1 < key_2 of all pairs of sketches that may share so much of the least hashes of their union, and few others.
 
-    Two such sketches share a hash among the first n - ceil(jaccard * n) + 1 of n of each, in any global order: here rare hashes
-    first. Each such place knows the one before it. Where both sketches of a pair have the same one before, the pair is met
-    there already, so runs of equal hashes make one row. A hash that many sketches have is met in blocks.
+    Pairs with the keys of ``copies`` (key) are left out; they go where rows are narrow, so that no sketch is shuffled for it.
+
+    Two such sketches share a hash among the first n - ceil(jaccard * n) + 1 of n of each, in any global order: here common
+    hashes last. Each such place knows the one before it of those that others have too. Where both sketches of a pair have the
+    same one before, the pair is met there already, so runs of equal hashes make one row. A hash that many have is met in blocks.
     """
-    hashes = sketch_hashes(sketches)
-    df = hashes.groupBy("hash").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    size = sketches.select("key", (F.octet_length("hashes") / 8).cast("int").alias("size"))
-    # hashes of one sketch alone come first in the order and can't be met: only their number counts
-    shared = hashes.join(df, "hash").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("df", "hash"))).alias("shared"))
-    left = shared.join(size, "key").withColumn("prefix", F.col("size") - F.ceil(F.lit(jaccard) * F.col("size") - 1e-9).cast("int") + 1)
-    first = left.withColumn("met", F.slice("shared", 1, F.greatest(F.lit(0), F.col("prefix") - (F.col("size") - F.size("shared")))))
-    entries = first.select("key", "size", F.posexplode("met").alias("i", "e"), "met").select(
-        "key", "size", F.col("e.hash").alias("hash"), F.col("e.df").alias("df"), F.when(F.col("i") > 0, F.get("met", F.col("i") - 1)["hash"]).alias("before")
+    met = cut(prefix_entries(sketches, jaccard).join(copies, "key", "left_anti"))
+    df = met.groupBy("hash").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    met = met.join(df, "hash", "left_semi")
+    shared = met.groupBy("key", "size").agg(F.array_sort(F.collect_list(F.struct("i", "hash"))).alias("met"))
+    entries = shared.select("key", "size", F.posexplode("met").alias("at", "e"), "met").select(
+        "key", "size", F.col("e.i").alias("i"), F.col("e.hash").alias("hash"), F.when(F.col("at") > 0, F.get("met", F.col("at") - 1)["hash"]).alias("before")
     )
-    entries = cut(entries)
+    entries = cut(entries.join(df, "hash"))
     blocks = F.ceil(F.col("df") / HOT).cast("int")
     every = entries.withColumns({"own": F.pmod(F.xxhash64("key"), blocks).cast("int"), "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
-    one = every.select("hash", F.col("own").alias("b1"), F.col("other").alias("b2"), F.col("key").alias("key_1"), F.col("before").alias("before_1"), F.col("size").alias("size_1"))
-    two = every.select("hash", F.col("other").alias("b1"), F.col("own").alias("b2"), F.col("key").alias("key_2"), F.col("before").alias("before_2"), F.col("size").alias("size_2"))
-    met = one.join(two, ["hash", "b1", "b2"]).filter("key_1 < key_2 and not (before_1 <=> before_2 and before_1 is not null)")
-    alike = F.least("size_1", "size_2") >= F.lit(jaccard) * F.greatest("size_1", "size_2") - 1e-9  # shared hashes are in both
-    return met.filter(alike).select("key_1", "key_2").distinct()
+    side = lambda n, a, b: every.select("hash", F.col(a).alias("b1"), F.col(b).alias("b2"), *[F.col(c).alias(f"{c}_{n}") for c in ("key", "before", "size", "i")])
+    both = side(1, "own", "other").join(side(2, "other", "own"), ["hash", "b1", "b2"]).filter("key_1 < key_2 and not (before_1 <=> before_2 and before_1 is not null)")
+    # what can still be shared from the first hash in common on; shared hashes are in both
+    left = F.least(F.col("size_1") - F.col("i_1"), F.col("size_2") - F.col("i_2"))
+    return both.filter(left >= F.lit(jaccard) * F.greatest("size_1", "size_2") - 1e-9).select("key_1", "key_2").distinct()
 
 
 def near_sketches(sketches: DataFrame, cutoff: float, k: int = K, size: int = SIZE) -> DataFrame:
     """key_1, key_2, shared, jaccard, distance of all pairs of sketches (key, hashes) whose Mash distance is at most the cutoff.
 
     shared counts what both have of the size least hashes of both. Equal sketches are one node of the search and take part as
-    all their keys; pairs are compared where their sketches meet, one pair at a time.
+    all their keys; pairs are compared where their sketches meet, one pair at a time. Sketches are read four times and not
+    written again: they should come from a table, as ``bottom_sketches`` gives them.
     """
     jaccard = least_jaccard(cutoff, k)
-    sketches = cut(sketches)
-    named = sketches.withColumn("name", F.sha2("hashes", 256))
-    nodes = cut(named.groupBy("name").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("n"), F.any_value("hashes").alias("hashes")))
-    pairs = candidate_pairs(nodes.select("key", "hashes"), jaccard)
-    both = pairs.join(nodes.select(F.col("key").alias("key_1"), F.col("hashes").alias("h1")), "key_1").join(nodes.select(F.col("key").alias("key_2"), F.col("hashes").alias("h2")), "key_2")
+    named = cut(sketches.select("key", F.sha2("hashes", 256).alias("name"), (F.octet_length("hashes") / 8).cast("long").alias("size")))
+    nodes = cut(named.groupBy("name").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("n"), F.any_value("size").alias("size")))
+    copies = named.join(nodes.select("name", F.col("key").alias("first")), "name").filter("key > first").select("key")
+    pairs = cut(candidate_pairs(sketches, jaccard, copies))
+    # a sketch is read once for all pairs that it is in, and sent once to each PARTNERS of those that come after it
+    chunks = pairs.groupBy("key_1").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).alias("chunks"))
+    dealt = pairs.join(chunks, "key_1").select("key_1", "key_2", F.pmod(F.xxhash64("key_2"), F.col("chunks")).alias("chunk"))
+    asked = dealt.select("key_1", "chunk", F.lit(0).alias("side"), F.col("key_1").alias("key")).distinct().unionByName(dealt.select("key_1", "chunk", F.lit(1).alias("side"), F.col("key_2").alias("key")))
+    asked = asked.groupBy("key").agg(F.collect_list(F.struct("key_1", F.col("key").alias("key_2"), "side", "chunk")).alias("x"))
+    sides = sketches.join(asked, "key").select(F.explode("x").alias("x"), "hashes").select("x.key_1", "x.key_2", "x.side", "hashes", "x.chunk")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = np.zeros(0, np.uint64)
         for batch in batches:
-            shared, union = [], []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                u = np.union1d(a, b)[:size]
-                common = np.intersect1d(a, b, assume_unique=True)
-                shared.append(int(np.searchsorted(common, u[-1], side="right")) if len(u) else 0)
-                union.append(len(u))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared, pa.int64()), pa.array(union, pa.int64())], ["key_1", "key_2", "shared", "total"])
+            rows, shared, union = [], [], []
+            for i, (side, data) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                own = np.frombuffer(data, np.uint64)
+                if side:
+                    u = np.union1d(before, own)[:size]
+                    common = np.intersect1d(before, own, assume_unique=True)
+                    rows.append(i)
+                    shared.append(int(np.searchsorted(common, u[-1], side="right")) if len(u) else 0)
+                    union.append(len(u))
+                else:
+                    before = own
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(shared, pa.int64()), pa.array(union, pa.int64())], ["key_1", "key_2", "shared", "total"])
 
     kind = nodes.schema["key"].dataType.simpleString()
-    near = both.select("key_1", "key_2", "h1", "h2").mapInArrow(compare, f"key_1 {kind}, key_2 {kind}, shared long, total long")
-    near = near.unionByName(nodes.filter("n > 1").select(F.col("key").alias("key_1"), F.col("key").alias("key_2"), (F.octet_length("hashes") / 8).cast("long").alias("shared"), (F.octet_length("hashes") / 8).cast("long").alias("total")))
+    met = sides.repartition("key_1", "chunk").sortWithinPartitions("key_1", "chunk", "side", "key_2")
+    near = met.mapInArrow(compare, f"key_1 {kind}, key_2 {kind}, shared long, total long")
+    near = near.unionByName(nodes.filter("n > 1").select(F.col("key").alias("key_1"), F.col("key").alias("key_2"), F.col("size").alias("shared"), F.col("size").alias("total")))
     j = F.col("shared") / F.col("total")
     near = near.withColumn("jaccard", j).withColumn("distance", F.when(F.col("shared") > 0, -F.log(2 * j / (1 + j)) / k + 0.0)).filter(F.col("distance") <= cutoff)
     of = nodes.select(F.col("key").alias("node"), "name").join(named.select("name", "key"), "name").select("node", "key")

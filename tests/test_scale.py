@@ -188,6 +188,24 @@ def test_near_sketches_equal_all_pairs(spark, monkeypatch):
         assert table(got, "key_1", "key_2", "shared") == sorted(want) and want
 
 
+def test_only_hashes_that_meet_become_rows(spark, monkeypatch):
+    """Of two near sketches and one apart, rows are the shared hashes of prefixes alone; which hashes count as common changes no pair."""
+    r = random.Random(15)
+    one, other = ("".join(r.choice("ACGT") for _ in range(400)) for _ in range(2))
+    rows = [(1, one), (2, one[:200] + "A" + one[200:]), (3, other), (4, one[:390])]
+    sketched = sketches.bottom_sketches(spark.createDataFrame(rows, "id long, text string"), "id", "text", 11, 300)
+    own = {i: brute_sketch([t], 11, 300) for i, t in rows}
+    jaccard = sketches.least_jaccard(0.01, 11)
+    first = {i: s[: len(s) - int(np.ceil(jaccard * len(s) - 1e-9)) + 1] for i, s in own.items()}
+    met = collections.Counter(h for s in first.values() for h in s)
+    got = sketches.prefix_entries(sketched, jaccard).collect()
+    assert sorted((x.key, x.hash % (1 << 64), x.i) for x in got) == sorted((i, h, s.index(h)) for i, s in first.items() for h in s if met[h] > 1)
+    want = table(sketches.near_sketches(sketched, 0.01, 11, 300), "key_1", "key_2", "shared")
+    assert {(a, b) for a, b, _ in want} >= {(1, 2)} and all(3 not in x[:2] for x in want)
+    monkeypatch.setattr(sketches, "COMMON", 2)
+    assert table(sketches.near_sketches(sketched, 0.01, 11, 300), "key_1", "key_2", "shared") == want
+
+
 # networks
 
 
