@@ -484,6 +484,22 @@ def test_passages_whose_parts_are_elsewhere(spark):
     assert {(500, 600), (600, 500)} <= placed(parts + both)
 
 
+def test_edited_passages_whose_parts_are_all_elsewhere(spark):
+    r = random.Random(5)
+    rows, pairs = [], set()
+    for k in range(6):
+        whole = [f"{w}{k}" for w in prose(60, 9500 + k).split(" ")]
+        other = list(whole)
+        for i in sorted(r.sample(range(60), 4), reverse=True):
+            other[i : i + 1] = r.choice([[], ["changed"], [other[i], "added"]])
+        pairs.add((9000 + 2 * k, 9001 + 2 * k))
+        texts = [(9000 + 2 * k, whole), (9001 + 2 * k, other), *((100 * k + n, whole[:30] if n < 40 else whole[30:]) for n in range(80))]
+        rows += [(d, " ".join([prose(60, 50_000 + 2 * d), *text, prose(60, 50_001 + 2 * d)])) for d, text in texts]
+    one, three = (sorted(map(tuple, passages.repeated_passages(documents(spark, rows).repartition(n)).collect())) for n in (1, 3))
+    assert one == three
+    assert pairs <= {x[:2] for x in one} and {p[::-1] for p in pairs} <= {x[:2] for x in one}
+
+
 def test_passages_at_all_places(spark):
     one, two = prose(60, 71), prose(60, 72)
     rows = [(1, one + " " + prose(80, 73) + " " + one), (2, prose(90, 74) + " " + one + " " + two), (3, two)]
