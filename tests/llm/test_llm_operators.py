@@ -10,6 +10,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pyarrow.fs as pafs
 import pytest
 from pyspark.sql import functions as F
@@ -500,6 +501,35 @@ def test_edited_passages_whose_parts_are_all_elsewhere(spark):
     assert pairs <= {x[:2] for x in one} and {p[::-1] for p in pairs} <= {x[:2] for x in one}
 
 
+def hot_places(texts, line):
+    """The places of the seeds of a line in texts, by unit."""
+    hashed = [words for _, words in passages._texts(pa.array(texts), 50)]
+    grams, _ = shingles.shingle_hashes(next(passages._texts(pa.array([line]), 5))[1], np.array([0, len(line.split(" "))]), 5)
+    seeds = np.unique(passages.hot_name(grams, passages._bucket(grams, 64)))
+    own = np.concatenate([x for words in hashed for x in passages.contexts(words, seeds, np.full(len(seeds), len(texts)), 64)])
+    own = own[np.lexsort((own["place"], own["key"], own["unit"]))]
+    return np.split(own, np.flatnonzero(np.diff(own["unit"])) + 1)
+
+
+def test_texts_with_only_a_line_in_common_are_not_aligned(monkeypatch):
+    line, whole = prose(12, 9600), prose(60, 9601).split(" ")
+    texts = [f"{prose(80, 60_000 + d)} {line} {prose(80, 70_000 + d)}" for d in range(300)]
+    texts += [" ".join([*whole[:30], line, *("changed" if k == 5 and d else w for k, w in enumerate(whole[30:]))]) for d in range(2)]
+    pairs, common = [], passages._common
+    monkeypatch.setattr(passages, "_common", lambda *given: pairs.append(len(given[2])) or common(*given))
+    found = {frozenset(own["key"][[i, j]].tolist()) for own in hot_places(texts, line) for i, j in passages.meetings(own, 50, 0.8)}
+    assert found == {frozenset(passages.text_key(w) for _, w in passages._texts(pa.array(texts[300:]), 50))}
+    assert 0 < sum(pairs) < 2_000
+
+
+def test_runs_of_one_word_have_few_places():
+    texts = [" ".join([prose(60, 80_000 + d), *["the"] * (100 + d), prose(60, 81_000 + d)]) for d in range(40)]
+    (own,) = hot_places(texts, "the the the the the")
+    assert np.unique(own["key"], return_counts=True)[1].max() <= 10
+    linked = {int(k) for i, j in passages.meetings(own, 50, 0.8) for k in own["key"][[i, j]]}
+    assert linked == set(own["key"].tolist()) and len(linked) == 40
+
+
 def test_passages_at_all_places(spark):
     one, two = prose(60, 71), prose(60, 72)
     rows = [(1, one + " " + prose(80, 73) + " " + one), (2, prose(90, 74) + " " + one + " " + two), (3, two)]
