@@ -530,6 +530,33 @@ def test_runs_of_one_word_have_few_places():
     assert linked == set(own["key"].tolist()) and len(linked) == 40
 
 
+def test_no_place_of_a_run_is_left_out():
+    r = random.Random(11)
+    texts = [" ".join([prose(60, 82_000 + d), *["the"] * n, prose(60, 83_000 + d)]) for d, n in enumerate((7, 60, 139, 400))]
+    texts += [" ".join(["the"] * 300), " ".join(["the", "a"] * 90), " ".join(r.choice(["the", "the", "the", "a"]) for _ in range(400))]
+    for line in ("the the the the the", "a the a the a"):
+        for own in hot_places(texts, line):
+            own = passages.every_place(own)
+            got = {(int(k), int(p), w.tobytes()) for k, p, w in zip(own["key"], own["place"], own["words"], strict=True)}
+            seed = own["words"][0, passages.MOST_GAP :][: passages.SEED_WORDS]
+            for _, words in passages._texts(pa.array(texts), 50):
+                short = np.concatenate([np.zeros(64, "<u4"), np.maximum(words >> np.uint64(32), np.uint64(1)).astype("<u4"), np.zeros(64, "<u4")])
+                grams, _ = shingles.shingle_hashes(words, np.array([0, len(words)]), 5)
+                places = [p for p in passages.seed_places(grams).tolist() if (short[64 + p : 69 + p] == seed).all()]
+                around = {short[p : p + passages.AROUND].tobytes() for p in places}
+                mine = {x for x in got if x[0] == passages.text_key(words)}
+                assert {w for *_, w in mine} == around and {p for _, p, _ in mine} <= set(places)
+                assert all(short[p : p + passages.AROUND].tobytes() == w for _, p, w in mine)
+
+
+def test_copies_within_a_text_are_linked(spark):
+    whole = prose(700, 9700)
+    texts = [" ".join([prose(60, 84_000 + d), whole, prose(60, 85_000 + d), *([whole] if d == 3 else [])]) for d in range(40)]
+    out = passages.repeated_passages(documents(spark, list(enumerate(texts)))).collect()
+    covered = {w for r in out if r.doc_id == 3 for w in range(r.first_word, r.first_word + r.n_words)}
+    assert covered >= {*range(60, 760), *range(820, 1520)}
+
+
 def test_passages_at_all_places(spark):
     one, two = prose(60, 71), prose(60, 72)
     rows = [(1, one + " " + prose(80, 73) + " " + one), (2, prose(90, 74) + " " + one + " " + two), (3, two)]
