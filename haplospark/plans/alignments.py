@@ -100,7 +100,7 @@ def jn2_all_pairs(spark, sf_dir):
 
 @query(with_ctes(f", {DISTANCES} SELECT contig, count(*) AS pairs, min(differences) AS least, round(median(differences), 9) AS median, max(differences) AS largest FROM distances GROUP BY contig", "calls"))
 def agg23_distance_summary(spark, sf_dir):
-    return distance.distance_summary(distance.pairwise_distance(fx.calls(spark, sf_dir)))
+    return distance.calls_summary(fx.calls(spark, sf_dir))
 
 
 POPULATIONS = ("NATION_1", "NATION_3", "NATION_5", "NATION_7", "NATION_9")

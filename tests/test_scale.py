@@ -338,6 +338,22 @@ def test_pairs_of_samples_are_found_in_blocks(spark, monkeypatch):
     assert len(key(got)) == 55 + 3
 
 
+def test_distances_are_counted_where_they_are_found(spark, monkeypatch):
+    """A summary of calls equals that of their pairs, also where a site has several bases, and no pair is a row in it."""
+    from haplospark.operators import distance
+
+    rows = [(c, f"s{i}", p, "ACGTN"[(i * 7 + p * p * 3 + i * p) % 5]) for c, n in (("x", 23), ("y", 3)) for i in range(n) for p in range(0, 300, 3)]
+    rows += [("x", "s9", p, b) for p in range(0, 90, 3) for b in "AC"]
+    calls = spark.createDataFrame([*rows, ("x", "z", 700, "A")], "contig string, sample_id string, pos int, base string")
+    monkeypatch.setattr(distance, "BLOCK", 4)
+    monkeypatch.setattr(distance, "TILE", 9)
+    counts = distance.difference_counts(distance.pack_calls(calls))
+    assert "sample_1" not in counts._jdf.queryExecution().optimizedPlan().toString()
+    pairs = distance.pairwise_distance(calls)
+    assert pairs.filter("sample_1 >= sample_2").isEmpty() and pairs.count() == 23 * 11 + 3
+    assert set(distance.calls_summary(calls).collect()) == set(distance.distance_summary(pairs).collect())
+
+
 def test_repeated_pairs_are_told_without_a_row_per_pair(spark):
     from haplospark.operators import distance
 
@@ -353,6 +369,32 @@ def test_repeated_pairs_are_told_without_a_row_per_pair(spark):
     assert {(r.contig, r.pairs, r.least, r.median, r.largest) for r in distance.distance_summary(long).collect()} == {(c, 30, 0, 3.0, 6) for c in "xy"}
 
 
+def test_partners_go_by_their_steps(spark):
+    """Integer partners are shuffled as steps; names, nulls and unsorted rows give the same."""
+    from haplospark.operators import distance
+
+    r = random.Random(8)
+    x = np.array(sorted(r.sample(range(-(2**40), 2**40), 50)))
+    assert (distance._unpack_partners(distance._pack_partners(x)) == x).all()
+    assert len(distance._pack_partners(np.arange(1000))) < 1100
+    rows = [("x", a, b) for a in range(30) for b in range(a + 1, 30)] + [("x", 3, 9), ("x", 28, 29), ("y", 3, 9), (None, 1, 2), (None, 1, 2)]
+    r.shuffle(rows)
+    for kind in ("long", "int", "string"):
+        df = spark.createDataFrame(rows, "contig string, sample_1 long, sample_2 long").select("contig", *[F.col(c).cast(kind).alias(c) for c in ("sample_1", "sample_2")]).repartition(3)
+        assert {(p.contig, int(p.sample_1), int(p.sample_2)) for p in distance.repeated_pairs(df, "contig").collect()} == {("x", 3, 9), ("x", 28, 29), (None, 1, 2)}
+
+
+def test_rounding_equals_that_of_decimals(spark):
+    from haplospark import catalog
+
+    r = random.Random(9)
+    values = [r.uniform(-2, 2) for _ in range(2000)] + [r.uniform(-1e6, 1e6) for _ in range(200)] + [a / 2.0**k for a in (-7, 3, 5) for k in range(1, 40)] + [0.0, -0.0, 5e-10, -5e-10, 1e300, float("nan"), float("inf"), None]
+    values += [a / b for a in range(1, 60) for b in range(1, 60)] + [k * 1e-9 + 5e-10 for k in range(200)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    both = catalog.rounded(df).withColumnRenamed("v", "w").join(df, "i").filter(~F.col("w").eqNullSafe(F.round("v", 9) + F.lit(0.0)))
+    assert both.isEmpty()
+
+
 def test_sketch_distances_from_places(spark):
     """Shared hashes among the least of a union, from places alone: no sketch is joined to a pair."""
     from haplospark.operators import identity
