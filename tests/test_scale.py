@@ -433,6 +433,17 @@ def test_ranks_whose_products_pass_64_bits(spark):
     assert got.n == n and -1 <= got.rho <= 1 and got.p in (1 / 3, 2 / 3, 1.0)
 
 
+def test_orders_by_hash_equal_those_of_hashlib():
+    import hashlib
+
+    r = random.Random(12)
+    items = [b"", b":x", *(f":{r.randrange(10 ** r.randint(1, 40))}".encode() for _ in range(500)), b":x", b":" + "\u00e9".encode() * 9]
+    orders = resampling._Orders(items)
+    for prefix in ("", "1729:c1:1:missing:0", "1729:c1:1:missing:77", "1729:c1:1:missing:9998", "x" * 53, "y" * 200):
+        heads = [hashlib.md5(prefix.encode() + i).digest()[:4] for i in items]
+        assert orders.by(prefix).tolist() == sorted(range(len(items)), key=lambda k: (heads[k], k))
+
+
 def test_only_drawn_pairs_are_compared(spark):
     from haplospark.operators import popgen
 
