@@ -414,6 +414,40 @@ def test_sketch_distances_from_places(spark):
     assert {(x.key_1, x.key_2, x.shared, round(x.jaccard, 9)) for x in got.collect()} == want
 
 
+def test_sketches_meet_in_blocks(spark, monkeypatch):
+    """Pairs of sketches from several blocks, a few at a time, and none of them is shuffled."""
+    from haplospark.operators import identity
+
+    r = random.Random(6)
+    own = {i: sorted(r.sample([f"{x:03d}" for x in range(60)], r.randint(1, 12))) for i in range(40)}
+    df = spark.createDataFrame([(str(i), h) for i, hs in own.items() for h in hs] + [("7", None), (None, "000")], "doc string, hash string")
+    monkeypatch.setattr(identity, "BLOCK", 6)
+    monkeypatch.setattr(identity, "MET", 5)
+    got = identity.sketch_distances(df, "doc", 12, 8)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.split("FlatMapGroupsInArrow")[0]
+    want = set()
+    for a in own:
+        for b in own:
+            if str(a) < str(b) and set(own[a]) & set(own[b]):
+                u = sorted(set(own[a]) | set(own[b]))[:12]
+                n = len(set(own[a]) & set(own[b]) & set(u))
+                want.add((str(a), str(b), n, round(n / len(u), 9)))
+    rows = got.collect()
+    assert {(x.key_1, x.key_2, x.shared, round(x.jaccard, 9)) for x in rows} == want and len(rows) == len(want)
+
+
+def test_controls_told_by_a_column_need_no_join(spark):
+    from haplospark.operators import identity
+
+    d = spark.createDataFrame([(1, 2, 0.3), (1, 3, 0.2), (2, 3, None), (3, 4, 0.1), (4, 5, 0.25)], "key_1 long, key_2 long, distance double")
+    kind = F.when(F.col("key_1") == 1, "within").when(F.col("key_1") == 4, "different")
+    one = identity.calibrated_suspects(d, kind)
+    two = identity.calibrated_suspects(d, d.select("key_1", "key_2", kind.alias("kind")).filter("kind is not null"))
+    assert one._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1  # with the limit
+    assert set(one.collect()) == set(two.collect()) and {(r.key_1, r.key_2) for r in one.filter("suspected").collect()} == {(1, 3), (3, 4)}
+
+
 def test_partial_sketches_of_many_short_records(spark):
     """A sketch is sorted anew only when as much has come as it holds; packing in between makes no difference."""
     r = random.Random(4)
